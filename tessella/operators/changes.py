@@ -36,6 +36,15 @@ _SCHEMA_ARROW = pa.schema([("table_name", pa.string()), ("row_id", pa.int64()),
 
 _DDL = "CREATE TABLE state (table_name VARCHAR, row_id BIGINT, slot VARCHAR, seq BIGINT, op VARCHAR, val VARCHAR, PRIMARY KEY (table_name, row_id, slot))"
 
+#: The slots that the changes of a batch write.
+_SLOTS = """
+WITH ok AS (SELECT table_name, row_id, seq, op, CASE WHEN json_valid(image) THEN image::JSON END AS j FROM changes),
+     keyed AS (SELECT *, unnest(json_keys(j)) AS k FROM ok WHERE op <> 'D' AND json_type(j) = 'OBJECT')
+SELECT table_name, row_id, CASE op WHEN 'U' THEN 'u' ELSE '' END AS slot, seq, op, '' AS val FROM ok
+UNION ALL
+SELECT table_name, row_id, 'c' || k, seq, op, coalesce(json_extract(j, '/' || replace(replace(k, '~', '~0'), '/', '~1'))::VARCHAR, 'null') FROM keyed
+"""
+
 #: In one statement a key may conflict once, so a batch first keeps its own greatest row of each slot.
 _UPSERT = """
 INSERT INTO state
@@ -56,15 +65,24 @@ FROM base b LEFT JOIN upd u USING (table_name, row_id) LEFT JOIN cell c USING (t
 
 
 def _database():
+    import warnings
+
     import duckdb
 
+    warnings.filterwarnings("ignore", message="Arrow output")
     db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
     db.execute(_DDL)
     return db
 
 
 def _upsert_all(db, batch: pa.RecordBatch) -> None:
-    db.register("batch", pa.Table.from_batches([batch]))
+    """Upsert a batch of changes (they have an image) or of slots."""
+    rows = pa.Table.from_batches([batch])
+    if "image" in batch.schema.names:
+        db.register("changes", rows)
+        rows = db.execute(_SLOTS).to_arrow_table()
+        db.unregister("changes")
+    db.register("batch", rows)
     db.execute(_UPSERT)
     db.unregister("batch")
 
@@ -86,9 +104,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _select(db, sql: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    found = db.execute(sql)
-    reader = found.to_arrow_reader(10_000) if hasattr(found, "to_arrow_reader") else found.fetch_record_batch(10_000)
-    for batch in reader:
+    for batch in db.execute(sql).to_arrow_reader(10_000):
         yield from pa.Table.from_batches([batch]).cast(schema).to_batches()
 
 
@@ -108,24 +124,19 @@ def table_key(c: Column) -> Column:
     return F.nullif(F.element_at(F.split(s, r"\."), -1), F.lit(""))
 
 
-def change_slots(log: DataFrame) -> DataFrame:
-    """The slots each valid change writes."""
+def valid_changes(log: DataFrame) -> DataFrame:
+    """The changes that can take effect: table_name, row_id, seq, op, image."""
     op = F.upper(F.regexp_replace("op", r"(?U)[\s\p{Cf}]+", ""))
-    valid = log.select(
+    return log.select(
         table_key(F.col("table_name")).alias("table_name"), F.col("row_id").cast("long").alias("row_id"), F.col("id").cast("long").alias("seq"), op.alias("op"),
-        F.expr("try_parse_json(row_image)").alias("image"),
+        F.col("row_image").alias("image"),
     ).filter(F.col("table_name").isNotNull() & F.col("row_id").isNotNull() & F.col("seq").isNotNull() & F.col("op").isin("I", "U", "D"))
-    head = F.struct(F.when(F.col("op") == "U", "u").otherwise("").alias("slot"), F.col("op").alias("op"), F.lit("").alias("val"))
-    cells = F.expr("""CASE WHEN op <> 'D' AND schema_of_variant(image) LIKE 'OBJECT%' THEN
-        transform(map_entries(CAST(image AS MAP<STRING, VARIANT>)), e -> struct(concat('c', e.key) AS slot, op AS op, coalesce(to_json(e.value), 'null') AS val)) END""")
-    slots = F.concat(F.array(head), F.coalesce(cells, F.expr("cast(array() as array<struct<slot:string,op:string,val:string>>)")))
-    return valid.select("table_name", "row_id", "seq", F.inline(slots)).select("table_name", "row_id", "slot", "seq", "op", "val")
 
 
 def final_state(log: DataFrame, buckets: int | None = None) -> DataFrame:
     """Rows that exist after all changes: table_name, row_id, id of the last change that took effect, row_image (JSON)."""
     ship(log.sparkSession)
-    folded = change_slots(log).mapInArrow(_fold, SLOT_SCHEMA)
+    folded = valid_changes(log).mapInArrow(_fold, SLOT_SCHEMA)
     keys = ["table_name", "row_id"]
     placed = folded.repartition(buckets, *keys) if buckets else folded.repartition(*keys)
     return placed.mapInArrow(_buckets, STATE_SCHEMA)
