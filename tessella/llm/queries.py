@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import bpe, mixture, spans
+from . import bpe, mixture, neighbours, spans
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.pairs(neighbours.nearest(table(spark, sf, "contract_chunk", "id", "embedding"), least=0.9))
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,7 +37,7 @@ def p10_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_coverage": p10_coverage}
+    return {"p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_coverage": p10_coverage}
 
 
 def oracle_sql() -> dict[str, str]:
