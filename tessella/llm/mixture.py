@@ -184,7 +184,8 @@ class Mixture:
 
     def mix(self) -> DataFrame:
         """The mix: shard, slot, block_from (place in the slot), source, pass, doc_id, token_from, token_to."""
-        return self.slots().join(self.blocks(), ["source", "block_no"]).select("shard", "slot", "block_from", "source", "pass", "block_no", "doc_id", "token_from", "token_to")
+        # The slots grow with the corpus, which the planner cannot see: never broadcast them.
+        return self.blocks().join(self.slots().hint("merge"), ["source", "block_no"]).select("shard", "slot", "block_from", "source", "pass", "block_no", "doc_id", "token_from", "token_to")
 
     def shares(self, mix: DataFrame | None = None) -> DataFrame:
         """Per named source: target and actual shares, tokens, and how often its most used block is used."""

@@ -30,7 +30,7 @@ from ..session import ship, staged
 
 #: Bounds of the number of pivots (it grows with the root of the number of vectors), files a vector is posted in,
 #: places of the order that are kept, and vectors compared by their rounded cosine in each file.
-PIVOTS_LEAST, PIVOTS_MOST, POSTINGS, PREFIX, RERANK = 64, 8192, 5, 6, 32
+PIVOTS_LEAST, PIVOTS_MOST, POSTINGS, PREFIX, RERANK = 64, 8192, 5, 8, 64
 #: Candidates reranked exactly beyond k, and the error allowed for the rounded cosine.
 SPARE, ROUNDING = 5, 0.02
 #: Vectors of an inverted file beyond which it is indexed again within itself.
@@ -183,7 +183,7 @@ def nearest(df: DataFrame, key: str = "id", vector: str = "embedding", dim: int
     asked = staged(rough.select("id").union(rough.select("other")).distinct(), "asked")
     read = reps.join(asked, "id", "left_semi").select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    read = read.withColumn("v", F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs)))).withColumn("norm", F.sqrt(dot("v", "v")))
+    read = read.withColumn("norm", F.sqrt(dot("v", "v")))
     exact = rough.join(read, "id").join(read.select(F.col("id").alias("other"), F.col("v").alias("w"), F.col("norm").alias("norm_w")), "other")
     exact = exact.select("id", "other", (dot("v", "w") / (F.col("norm") * F.col("norm_w"))).alias("cosine")).filter(F.col("cosine") >= least)
     best = _top(exact, k)

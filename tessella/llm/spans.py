@@ -4,8 +4,8 @@ All windows of `length` code points are compared without storing them all. Each
 its substrings of `minimiser` code points; consecutive windows with one minimiser form a super-k-mer, of which only
 (minimiser, record, start, windows) is kept at first. Two records that share a window share its minimiser, so
 super-k-mers whose minimiser occurs in one record only are dropped exactly. The others travel as one packed string to
-the bucket of their minimiser (a bucket with very many is salted by record), where the windows are cut, digested and
-counted: first within the task, then over all tasks, by 128-bit digests.
+the bucket of their minimiser, where the windows are cut and counted by 128-bit digests. A bucket with very many is
+salted by record; its windows are counted over all its tasks.
 
 Exact copies of whole records are one class from the start: only its representative is cut into windows, and the copies
 come back in by membership. Windows that stand in the same set of records are represented by one of them before pairs
@@ -25,12 +25,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..session import ship, staged
 
 LENGTH, MINIMISER = 200, 96
 #: Super-k-mers of one minimiser that go to one task; beyond, the bucket is salted.
-BUCKET_LIMIT = 50_000
+BUCKET_LIMIT = 2_000
 BLOCK_CHARS = 1_000_000
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -121,22 +122,64 @@ def _first_pass(length: int, m: int):
     return run
 
 
-def _cut(length: int):
-    """Windows of packed strings: each distinct (digest, record, position) of the bucket."""
+RUN_SCHEMA = "group binary, n int, doc_id long, start int, windows int"
+
+
+def _count(length: int):
+    """Of packed strings sorted by bucket: runs of windows that stand in one and the same set of records.
+
+    A run has the digest of its set of records, the number of records, its record, start and number of windows. Windows
+    of salted buckets leave one by one, with n = 0 and the digest of the window.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         digest = xxhash.xxh3_128_digest
+
+        def cut(s: str) -> list[bytes]:
+            return [digest(s[k : k + length].encode("utf-8", "surrogatepass")) for k in range(len(s) - length + 1)]
+
+        def closed(group: list[tuple]) -> list[tuple]:
+            cuts = [cut(s) for _, _, s in group]
+            records: dict[bytes, set] = {}
+            for (i, _, _), keys in zip(group, cuts, strict=True):
+                for key in keys:
+                    records.setdefault(key, set()).add(i)
+            names: dict[frozenset, bytes] = {}
+            rows = []
+            for (i, start, _), keys in zip(group, cuts, strict=True):
+                last, at = None, 0
+                for k, key in enumerate([*keys, None]):
+                    now = records[key] if key is not None else None
+                    if now is not last and now != last:
+                        if last is not None and len(last) > 1:
+                            f = frozenset(last)
+                            if f not in names:
+                                names[f] = digest(",".join(map(str, sorted(f))).encode())
+                            rows.append((names[f], len(f), i, start + at, k - at))
+                        last, at = now, k
+            return rows
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=["group", "n", "doc_id", "start", "windows"])
+
+        bucket, group = None, []
         for b in batches:
-            keys, ids, starts = [], [], []
-            for i, at, s in zip(b["doc_id"].tolist(), b["start"].tolist(), b["packed"].tolist(), strict=True):
-                n = len(s) - length + 1
-                keys += [digest(s[k : k + length].encode("utf-8", "surrogatepass")) for k in range(n)]
-                ids += [i] * n
-                starts += range(at, at + n)
-            for k in range(0, len(ids), 50_000):
-                yield pd.DataFrame({"window": keys[k : k + 50_000], "doc_id": ids[k : k + 50_000], "start": np.array(starts[k : k + 50_000], np.int32)})
+            rows: list[tuple] = []
+            for v, n, i, start, s in zip(*(b[c].tolist() for c in ("minimiser", "n", "doc_id", "start", "packed")), strict=True):
+                if n > BUCKET_LIMIT:
+                    rows += [(key, 0, i, start + k, 1) for k, key in enumerate(cut(s))]
+                    continue
+                if v != bucket and group:
+                    rows += closed(group)
+                    group = []
+                bucket = v
+                group.append((i, start, s))
+            if rows:
+                yield frame(rows)
+        if group:
+            yield frame(closed(group))
 
     return run
 
@@ -168,22 +211,24 @@ class SharedSpans:
             .select("minimiser", "n", "doc_id", "start", F.expr(f"substring(text, start + 1, windows + {length - 1})").alias("packed"))
         )
         salt = F.when(F.col("n") > BUCKET_LIMIT, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BUCKET_LIMIT))).otherwise(F.lit(0))
-        windows = packed.repartition("minimiser", salt).mapInPandas(_cut(length), "window binary, doc_id long, start int")
-        self.windows = staged(windows, "windows")
-
-    def _counted(self) -> DataFrame:
-        """Digest, number of records and a signature of the set of records, of each shared window."""
-        held = self.windows.select("window", "doc_id").distinct()
-        return held.groupBy("window").agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64("doc_id", F.lit(7)).cast("decimal(38,0)")).alias("s2"),
+        placed = packed.repartition("minimiser", salt).sortWithinPartitions("minimiser")
+        self.counted = staged(placed.mapInPandas(_count(length), RUN_SCHEMA), "counted")
+
+    def runs(self) -> DataFrame:
+        """Runs of windows with the set of records they stand in: group, n (records), doc_id, start, windows."""
+        open_ = self.counted.filter("n = 0")
+        sets = open_.select("group", "doc_id").distinct().groupBy("group").agg(
+            F.count("*").cast("int").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64("doc_id", F.lit(7)).cast("decimal(38,0)")).alias("s2"),
         ).filter("n > 1")
+        named = sets.select("group", "n", F.unhex(F.md5(F.concat_ws(",", "n", "s1", "s2"))).alias("set"))
+        late = open_.drop("n").join(named, "group").select(F.col("set").alias("group"), "n", "doc_id", "start", "windows")
+        return self.counted.filter("n > 1").unionByName(late)
 
     def pairs(self) -> DataFrame:
         """doc_id_a < doc_id_b of every two records that share a span."""
-        one_each = self._counted().groupBy("n", "s1", "s2").agg(F.min("window").alias("window")).select("window")
-        held = self.windows.join(one_each, "window", "left_semi").select("window", "doc_id").distinct()
+        held = self.runs().select("group", "doc_id").distinct()
         a, b = held.withColumnRenamed("doc_id", "a"), held.withColumnRenamed("doc_id", "b")
-        links = a.join(b, "window").filter("a < b").select("a", "b").distinct()
+        links = a.join(b, "group").filter("a < b").select("a", "b").distinct()
         m = self.members
         links = links.join(m.select(F.col("rep").alias("a"), F.col("doc_id").alias("ma")), "a", "left").join(m.select(F.col("rep").alias("b"), F.col("doc_id").alias("mb")), "b", "left")
         links = links.select(F.coalesce("ma", "a").alias("x"), F.coalesce("mb", "b").alias("y"))
@@ -192,18 +237,14 @@ class SharedSpans:
 
     def passages(self) -> DataFrame:
         """Maximal stretches of shared windows of each representative record: doc_id, start, end, records (most that share one window)."""
-        from pyspark.sql import Window as W
-
-        marked = self.windows.join(self._counted().select("window", "n"), "window").select("doc_id", "start", "n").distinct()
-        w = W.partitionBy("doc_id").orderBy("start")
-        step = marked.withColumn("new", (F.col("start") > F.coalesce(F.lag("start").over(w), F.lit(-2)) + 1).cast("int"))
-        run = step.withColumn("run", F.sum("new").over(w))
-        return run.groupBy("doc_id", "run").agg(F.min("start").alias("start"), (F.max("start") + self.length).alias("end"), F.max("n").alias("records")).drop("run")
+        w = W.partitionBy("doc_id").orderBy("start", "windows")
+        stop = F.col("start") + F.col("windows")
+        step = self.runs().withColumn("new", (F.col("start") > F.coalesce(F.max(stop).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
+        run = step.withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+        return run.groupBy("doc_id", "run").agg(F.min("start").alias("start"), (F.max(stop) + self.length - 1).alias("end"), F.max("n").alias("records")).drop("run")
 
     def coverage(self) -> DataFrame:
         """Of every record with shared text: n_chars, the code points covered by shared spans, and their share."""
-        from pyspark.sql import Window as W
-
         parts = self.passages()
         w = W.partitionBy("doc_id").orderBy("start")
         later = F.lead("start").over(w)
