@@ -5,7 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import bpe, mixture, neighbours, spans
+from . import bpe, lookalike, mixture, neighbours, pieces, spans
+
+
+def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.pieces(table(spark, sf, "bundle_chunk", "chunk_id", "clause_no", "text"), "chunk_id", "text", ("clause_no",))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks that come out in more than one piece."""
+    return p1_pieces(spark, sf).filter("pieces > 1").select("chunk_id").distinct()
+
+
+def p1_over_limit(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.over_limit(table(spark, sf, "bundle_chunk", "contract_history_id", "chunk_id", "text"), table(spark, sf, "chunk_stats"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.alike_pairs(
+        table(spark, sf, "contract_chunk", "id", "contract_history_id", "chunk_text"), "id", "chunk_text",
+        table(spark, sf, "bundle_chunk", "chunk_id", "contract_history_id", "text"), "chunk_id", "text", "contract_history_id",
+    )
+
+
+def p5_forms(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.same_form(table(spark, sf, "bundle_chunk", "chunk_id", "text").filter("text is not null"), "chunk_id", "text").distinct()
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,8 +61,20 @@ def p10_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_coverage": p10_coverage}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_over_limit": p1_over_limit, "p5_found": p5_found, "p5_forms": p5_forms, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_coverage": p10_coverage}
+
+
+_COST = r"(13 * length(regexp_replace(text, '[^\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}]', '', 'g')) + 7 * length(text))"
+
+P1_SQL = f"SELECT DISTINCT chunk_id FROM bundle_chunk WHERE {_COST} > 9600"
+
+P1_OVER_SQL = f"""
+WITH c AS (SELECT DISTINCT contract_history_id, chunk_id, text FROM bundle_chunk WHERE contract_history_id IS NOT NULL),
+n AS (SELECT contract_history_id, sum((coalesce({_COST}, 0) > 9600)::INT)::INT AS counted FROM c GROUP BY 1),
+s AS (SELECT contract_history_id, max(over_limit) AS reported FROM chunk_stats GROUP BY 1)
+SELECT n.contract_history_id, counted, coalesce(reported, -1)::INT AS reported FROM n LEFT JOIN s USING (contract_history_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": P1_SQL, "p1_over_limit": P1_OVER_SQL}
