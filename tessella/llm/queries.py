@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import bpe, lookalike, mixture, neighbours, pieces, spans
+from . import bpe, lookalike, mixture, neighbours, pieces, scans, spans
 
 
 def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,6 +32,18 @@ def p5_forms(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.same_form(table(spark, sf, "bundle_chunk", "chunk_id", "text").filter("text is not null"), "chunk_id", "text").distinct()
 
 
+def _scans(spark: SparkSession, sf: str) -> scans.Scans:
+    return scans.Scans(table(spark, sf, "contract_chunk", "id", "contract_history_id", "chunk_text", "page_start", "page_end"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _scans(spark, sf).found()
+
+
+def p6_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    return _scans(spark, sf).paragraphs()
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.pairs(neighbours.nearest(table(spark, sf, "contract_chunk", "id", "embedding"), least=0.9))
 
@@ -61,7 +73,7 @@ def p10_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_over_limit": p1_over_limit, "p5_found": p5_found, "p5_forms": p5_forms, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_coverage": p10_coverage}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_over_limit": p1_over_limit, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_coverage": p10_coverage}
 
 
 _COST = r"(13 * length(regexp_replace(text, '[^\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}]', '', 'g')) + 7 * length(text))"
