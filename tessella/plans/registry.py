@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import corpus
+from . import corpus, rights
+
+MODULES = [corpus, rights]
 
 
 def queries() -> dict:
-    return corpus.queries()
+    return {k: v for m in MODULES for k, v in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return corpus.oracle_sql()
+    return {k: v for m in MODULES for k, v in m.oracle_sql().items()}
