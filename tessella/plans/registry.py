@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, rights
+from . import corpus, documents, rights, search
 
-MODULES = [corpus, rights]
+MODULES = [corpus, rights, search, documents]
 
 
 def queries() -> dict:
