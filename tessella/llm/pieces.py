@@ -120,6 +120,7 @@ def pieces(df: DataFrame, key: str, text: str, keep: tuple[str, ...] = (), limit
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"piece_text": t[s:b], "overlap_chars": a - s} for s, a, b in split(t, limit, overlap)])
 
+    cut = cut.asNondeterministic()  # so that a filter on its result does not run it twice
     rows = df.select(key, *keep, F.col(text).alias("__t")).filter(F.col("__t").isNotNull() & (F.col("__t") != "")).distinct()
     rows = rows.withColumn("__over", cost_units(F.col("__t")) > limit * UNIT)
     one = F.array(F.struct(F.col("__t").alias("piece_text"), F.lit(0).alias("overlap_chars")))
