@@ -53,17 +53,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers that do not share the driver's sys.path (zip once per context)."""
     import importlib.util
-    import sys
 
     sc = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     if getattr(sc, "_tessella_shipped", False):
         return
     sc._tessella_shipped = True
-    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
-    if root in paths or sc.master.startswith("local["):
-        if root not in sys.path:
-            sys.path.insert(0, root)
+    if sc.master.startswith("local["):
         return
     if importlib.util.find_spec("tessella") is not None:
         import zipfile
