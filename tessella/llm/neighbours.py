@@ -156,9 +156,12 @@ def _rank(dim: int, k: int, least: float):
     return run
 
 
-def sample_pivots(vectors: DataFrame, count: int) -> np.ndarray:
-    """A bounded sample as unit vectors: the rows with the smallest hash of their id."""
-    rows = vectors.withColumn("h", F.xxhash64("id", F.lit(11))).orderBy("h", "id").limit(count).select("embedding").collect()
+def sample_pivots(vectors: DataFrame, count: int, n: int) -> np.ndarray:
+    """A bounded sample as unit vectors: the rows with the smallest hash of their id. n: how many rows there are; a
+    threshold on the hash lets about twice the sample through, so that tasks do not each send a whole sample."""
+    h = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 40))
+    some = vectors.withColumn("h", h).filter(F.col("h") <= int(min(1.0, (2.0 * count + 50) / n) * (1 << 40)))
+    rows = some.orderBy("h", "id").limit(count).select("embedding").collect()
     return unit(np.array([r[0] for r in rows], np.float32)).astype(np.float32)
 
 
@@ -176,7 +179,7 @@ def nearest(df: DataFrame, key: str = "id", vector: str = "embedding", dim: int
     copied = staged(groups.filter("rep < last").select("h1", "h2", "rep"), "copies")
     members = staged(hashed.join(copied, ["h1", "h2"]).select("id", "rep").distinct(), "members")
     reps = vectors.join(members.filter("id <> rep").select("id"), "id", "left_anti")
-    p = sample_pivots(reps, pivots or min(PIVOTS_MOST, max(PIVOTS_LEAST, 4 * math.isqrt(n))))
+    p = sample_pivots(reps, pivots or min(PIVOTS_MOST, max(PIVOTS_LEAST, 4 * math.isqrt(n))), n)
     posted = reps.mapInArrow(_post(p, dim), POSTING_SCHEMA)
     found = posted.repartition("file").sortWithinPartitions("file").mapInArrow(_rank(dim, k + SPARE, least - ROUNDING), "id long, other long, cosine float")
     rough = staged(_top(found.groupBy("id", "other").agg(F.max("cosine").alias("cosine")), k + SPARE).select("id", "other"), "rough")
