@@ -53,7 +53,7 @@ WITH g AS (
          regexp_replace(lower(trim(exclusivity)), '[\s_-]+', '_', 'g') AS exclusivity, replace(replace(period, '"', ''), ' ', '') AS p
   FROM rights_grant WHERE status = 'active' AND territory IS NOT NULL AND exclusivity IS NOT NULL AND period LIKE '%,%'),
 s AS (SELECT *, p[1] AS ob, p[-1] AS cb, split_part(p[2:-2], ',', 1) AS a, split_part(p[2:-2], ',', 2) AS z FROM g),
-d AS (SELECT contract_id, content_asset_id, territory, exclusivity,
+d AS (SELECT DISTINCT contract_id, content_asset_id, territory, exclusivity,
         CASE WHEN a IN ('', '-infinity') THEN -1000000 WHEN a = 'infinity' THEN 10000000 ELSE datediff('day', DATE '1970-01-01', a::DATE) + (ob = '(')::INT END AS lo,
         CASE WHEN z IN ('', 'infinity') THEN 10000000 WHEN z = '-infinity' THEN -1000000 ELSE datediff('day', DATE '1970-01-01', z::DATE) + (cb = ']')::INT END AS hi FROM s),
 o AS (SELECT *, max(hi) OVER (PARTITION BY contract_id, content_asset_id, territory, exclusivity ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before

@@ -23,7 +23,7 @@ def trigram_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("p_partkey", F.round(text.similarity(F.col("p_type"), F.lit("STANDARD PLATED STEEL")), 6).alias("score"))
 
 
-_TRG = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), w -> w <> ''), w -> list_transform(range(1, length(w)::INT + 2), i -> substr('  ' || w || ' ', i::INT, 3)))))"
+_TRG = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w)::INT + 2), lambda i: substr('  ' || w || ' ', i::INT, 3)))))"
 
 
 def entity_search(spark, sf):

@@ -47,7 +47,7 @@ def text_corpus(spark: SparkSession, path: str) -> DataFrame:
 def markdown_rows(df: DataFrame, text: str = "text") -> DataFrame:
     """path, row_no, cells of the pipe tables of Markdown texts (rules between head and body left out)."""
     lines = df.select("path", F.posexplode(F.split(text, "\r?\n")).alias("row_no", "line")).filter(F.col("line").rlike(r"^\s*\|.*\|\s*$") & ~F.col("line").rlike(r"^\s*\|[\s:|-]+\|\s*$"))
-    cells = F.transform(F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), r"\|"), lambda x: F.trim(x))
     return lines.select("path", "row_no", cells.alias("cells"))
 
 
