@@ -76,10 +76,10 @@ def sliding_windows(spark, sf):
 
 
 def quote_containment(spark, sf):
-    """Chunks whose beginning stands, blanks aside, in a document chunk of the same generation: recall of the bundle."""
+    """Chunks whose text stands, blanks aside, in a bundle chunk of the same generation: recall of the bundle."""
     c = table(spark, sf, "contract_chunk", "id", "contract_history_id", "chunk_text").filter("chunk_text IS NOT NULL AND contract_history_id IS NOT NULL").distinct()
     b = table(spark, sf, "bundle_chunk", "contract_history_id", "text").filter("text IS NOT NULL").distinct()
-    quote = c.select("id", "contract_history_id", F.substring(text.squash(F.col("chunk_text")), 1, 40).alias("q")).filter("length(q) = 40")
+    quote = c.select("id", "contract_history_id", text.squash(F.col("chunk_text")).alias("q")).filter("q <> ''")
     hit = quote.join(b.select("contract_history_id", text.squash(F.col("text")).alias("t")), "contract_history_id").filter(F.contains("t", "q"))
     return quote.join(hit.select("id").distinct().withColumn("hit", F.lit(1)), "id", "left").groupBy("contract_history_id").agg(F.count("*").alias("quotes"), F.count("hit").alias("found"))
 
@@ -183,9 +183,9 @@ SQL = {
     "slowest_three": "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 3",
     "safe_names": "SELECT DISTINCT id, coalesce(nullif(list_last(string_split(replace(file_path, '\\', '/'), '/')), ''), 'upload.pdf') AS name FROM contract_history",
     "page_routing": "SELECT contract_history_id, page_start, CASE WHEN sum(length(text)) < 30 THEN 'OCR' WHEN bool_or(contains(text, chr(65533)) OR contains(text, chr(8203))) THEN 'VERIFY' ELSE 'TEXT_LAYER' END AS route FROM (SELECT DISTINCT contract_history_id, page_start, text FROM bundle_chunk WHERE page_start IS NOT NULL AND text IS NOT NULL) GROUP BY ALL",
-    "quote_containment": r"""WITH c AS (SELECT DISTINCT id, contract_history_id, left(regexp_replace(chunk_text, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', '', 'g'), 40) AS q FROM contract_chunk WHERE chunk_text IS NOT NULL AND contract_history_id IS NOT NULL),
+    "quote_containment": r"""WITH c AS (SELECT DISTINCT id, contract_history_id, regexp_replace(chunk_text, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', '', 'g') AS q FROM contract_chunk WHERE chunk_text IS NOT NULL AND contract_history_id IS NOT NULL),
       b AS (SELECT DISTINCT contract_history_id, regexp_replace(text, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', '', 'g') AS t FROM bundle_chunk WHERE text IS NOT NULL),
-      q AS (SELECT * FROM c WHERE length(q) = 40) SELECT contract_history_id, count(*) AS quotes, count(*) FILTER (EXISTS (SELECT 1 FROM b WHERE b.contract_history_id = q.contract_history_id AND contains(t, q.q))) AS found FROM q GROUP BY 1""",
+      q AS (SELECT * FROM c WHERE q <> '') SELECT contract_history_id, count(*) AS quotes, count(*) FILTER (EXISTS (SELECT 1 FROM b WHERE b.contract_history_id = q.contract_history_id AND contains(t, q.q))) AS found FROM q GROUP BY 1""",
 }
 
 NAMES = (*SQL, "recall_at_k", "date_words", "json_from_reply", "greedy_chunks")

@@ -235,9 +235,9 @@ def grouping_sets(spark, sf):
 
 
 def intersect_except(spark, sf):
-    g = table(spark, sf, "lineitem", "l_suppkey", "l_returnflag")
-    a, r, n = (g.filter(F.col("l_returnflag") == x).select("l_suppkey").distinct() for x in "ARN")
-    return a.intersect(r).exceptAll(n.filter("l_suppkey % 3 = 0"))
+    g = table(spark, sf, "lineitem", "l_partkey", "l_returnflag")
+    a, r, n = (g.filter(F.col("l_returnflag") == x).select("l_partkey").distinct() for x in "ARN")
+    return a.intersect(r).exceptAll(n)
 
 
 def approx_distinct(spark, sf):
@@ -266,7 +266,7 @@ def upsert_latest(spark, sf):
 def round_robin(spark, sf):
     c = table(spark, sf, "contract", "id", "lang").groupBy("id").agg(F.max("lang").alias("lang"))
     w = W.partitionBy("lang").orderBy("id")
-    return c.withColumn("turn", F.row_number().over(w)).select("id", F.coalesce("lang", F.lit("?")).alias("lang"), "turn").filter("turn <= 5")
+    return c.withColumn("turn", F.row_number().over(w)).select("id", F.coalesce("lang", F.lit("?")).alias("lang"), "turn")
 
 
 def queue_position(spark, sf):
@@ -283,9 +283,10 @@ def claim_next(spark, sf):
 
 def cdc_diff(spark, sf):
     """Changes between two snapshots of the orders."""
-    o = table(spark, sf, "orders", "o_orderkey", "o_orderstatus", "o_totalprice")
-    old = o.filter("o_orderkey % 7 <> 0")
-    new = o.filter("o_orderkey % 11 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 5 == 0, F.lit("X")).otherwise(F.col("o_orderstatus")))
+    o = table(spark, sf, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+    old = o.filter("o_orderdate < TIMESTAMP_NTZ'1998-01-01'").select("o_orderkey", "o_orderstatus")
+    urgent = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("X")).otherwise(F.col("o_orderstatus"))
+    new = o.filter("o_orderdate >= TIMESTAMP_NTZ'1993-01-01'").select("o_orderkey", urgent.alias("o_orderstatus"))
     return R.snapshot_diff(old, new, ["o_orderkey"])
 
 
@@ -296,8 +297,8 @@ def changelog_batch(spark, sf):
 
 
 def patched_contracts(spark, sf):
-    c = table(spark, sf, "contract", "id", "title", "grantor").groupBy("id").agg(F.max("title").alias("title"), F.max("grantor").alias("grantor"))
-    p = c.filter("id % 4 = 0").select("id", F.concat(F.lit("new "), F.col("id").cast("string")).alias("title"))
+    c = table(spark, sf, "contract", "id", "title", "grantor", "lang").groupBy("id").agg(F.max("title").alias("title"), F.max("grantor").alias("grantor"), F.max("lang").alias("lang"))
+    p = c.filter("lang = 'ja'").select("id", F.concat(F.lit("new "), F.col("id").cast("string")).alias("title"))
     return R.patch(c, p, ["id"]).select("id", F.coalesce("title", F.lit("")).alias("title"), "grantor")
 
 
@@ -381,17 +382,17 @@ SQL = {
     "json_report": """SELECT contract_id, '[' || string_agg('{"version":' || version || ',"kind":"' || document_kind || '"}', ',' ORDER BY version, document_kind) || ']' AS report FROM (SELECT DISTINCT contract_id, version, document_kind FROM contract_history) GROUP BY 1""",
     "rollup_cube": "SELECT coalesce(l_returnflag, '*') AS flag, coalesce(l_linestatus, '*') AS line, sum(l_quantity)::BIGINT AS quantity, grouping_id(l_returnflag, l_linestatus)::INT AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "grouping_sets": "SELECT coalesce(o_orderstatus, '*') AS status, coalesce(o_orderpriority, '*') AS priority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
-    "intersect_except": "(SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R') EXCEPT SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'N' AND l_suppkey % 3 = 0",
+    "intersect_except": "(SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N'",
     "filtered_search": "WITH l AS (SELECT id AS contract_id, max(lang) AS lang FROM contract GROUP BY 1) SELECT DISTINCT g.id, g.contract_id, coalesce(lang, '?') AS lang FROM rights_grant g JOIN l USING (contract_id) WHERE legal_right IN ('TRANSMISSION', 'BROADCAST') AND exploitation_mode IN ('SVOD', 'AVOD', 'TV_LINEAR') AND status = 'active' AND lang IS DISTINCT FROM 'ko'",
     "tag_sets": "SELECT contract_id, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM (SELECT contract_id, unnest([legal_right, exploitation_mode]) AS tag FROM rights_grant WHERE contract_id IS NOT NULL) WHERE tag IS NOT NULL GROUP BY 1",
     "upsert_latest": "SELECT tmpid, coalesce(length(payload), 0)::INT AS size FROM (SELECT *, row_number() OVER (PARTITION BY tmpid ORDER BY created_at DESC, payload DESC NULLS LAST) AS rn FROM extract_result) WHERE rn = 1",
-    "round_robin": "WITH c AS (SELECT id, max(lang) AS lang FROM contract GROUP BY 1) SELECT id, coalesce(lang, '?') AS lang, turn::INT AS turn FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY id) AS turn FROM c) WHERE turn <= 5",
+    "round_robin": "WITH c AS (SELECT id, max(lang) AS lang FROM contract GROUP BY 1) SELECT id, coalesce(lang, '?') AS lang, turn::INT AS turn FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY id) AS turn FROM c)",
     "queue_position": "SELECT event_id, (rank() OVER (PARTITION BY user_id ORDER BY ts) - 1)::INT AS before FROM events WHERE event_type = 'error'",
     "claim_next": "SELECT event_id, strftime(ts + INTERVAL 600 SECONDS, '%Y-%m-%d %H:%M:%S') AS lease FROM events WHERE event_type = 'error' OR (event_type = 'click' AND value < 1) ORDER BY ts, event_id LIMIT 1",
-    "cdc_diff": """WITH o AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 7 <> 0), n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 11 <> 0)
+    "cdc_diff": """WITH o AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'), n AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderdate >= TIMESTAMP '1993-01-01')
       SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'I' WHEN n.o_orderkey IS NULL THEN 'D' ELSE 'U' END AS op FROM o FULL JOIN n USING (o_orderkey) WHERE o.o_orderkey IS NULL OR n.o_orderkey IS NULL OR o.o_orderstatus IS DISTINCT FROM n.o_orderstatus""",
     "changelog_batch": "SELECT id, upper(trim(min(op))) AS op FROM change_log WHERE processed_at IS NULL AND op IS NOT NULL GROUP BY 1 ORDER BY id LIMIT 50",
-    "patched_contracts": "SELECT id, CASE WHEN id % 4 = 0 THEN 'new ' || id ELSE coalesce(max(title), '') END AS title, max(grantor) AS grantor FROM contract GROUP BY id",
+    "patched_contracts": "SELECT id, CASE WHEN max(lang) = 'ja' THEN 'new ' || id ELSE coalesce(max(title), '') END AS title, max(grantor) AS grantor FROM contract GROUP BY id",
     "json_access": "SELECT event_type, sum((props->>'$.k')::BIGINT)::BIGINT AS total, count(props->>'$.k') AS n, max((props->>'$.k')::BIGINT) AS most FROM events GROUP BY 1",
     "json_array_explode": "SELECT i::INT AS i, count(*) AS n FROM (SELECT unnest(range(0, (props->>'$.k')::INT % 3 + 1)) AS i FROM events) GROUP BY 1",
     "evidence_keys": "SELECT field, count(DISTINCT id) AS n FROM (SELECT id, unnest(json_keys(CASE WHEN json_valid(evidence) THEN evidence END)) AS field FROM rights_grant) GROUP BY 1",

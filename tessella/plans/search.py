@@ -18,8 +18,8 @@ FIELD_PATTERNS = (
 
 
 def trigram_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers' segments against part types of one size: trigram similarity."""
-    p = table(spark, sf, "part", "p_partkey", "p_type").filter("p_partkey < 200")
+    """Trigram similarity of every part's type to a phrase."""
+    p = table(spark, sf, "part", "p_partkey", "p_type")
     return p.select("p_partkey", F.round(text.similarity(F.col("p_type"), F.lit("STANDARD PLATED STEEL")), 6).alias("score"))
 
 
@@ -107,7 +107,7 @@ def filter_interpretation(spark, sf):
 
 
 SQL = {
-    "trigram_similarity": f"WITH t AS (SELECT p_partkey, {_TRG.format('p_type')} AS a, {_TRG.format(chr(39) + 'STANDARD PLATED STEEL' + chr(39))} AS b FROM part WHERE p_partkey < 200) SELECT p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS score FROM t",
+    "trigram_similarity": f"WITH t AS (SELECT p_partkey, {_TRG.format('p_type')} AS a, {_TRG.format(chr(39) + 'STANDARD PLATED STEEL' + chr(39))} AS b FROM part) SELECT p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS score FROM t",
     "plain_keys": "SELECT lower(regexp_replace(p_name, '[\\s[:punct:]_]+', '', 'g')) AS key, count(*) AS n FROM part GROUP BY 1",
     "vector_knn": _E + " SELECT vec_id, round(c, 5) AS cosine FROM s ORDER BY cosine DESC, vec_id LIMIT 10",
     "minmax_global": _E + " SELECT vec_id, round((c - min(c) OVER ()) / (max(c) OVER () - min(c) OVER ()), 5) AS scaled FROM s",
