@@ -125,7 +125,7 @@ def _first_pass(length: int, m: int):
 RUN_SCHEMA = "group binary, n int, doc_id long, start int, windows int"
 
 
-def _count(length: int):
+def _count(length: int, limit: int):
     """Of packed strings sorted by bucket: runs of windows that stand in one and the same set of records.
 
     A run has the digest of its set of records, the number of records, its record, start and number of windows. Windows
@@ -168,7 +168,7 @@ def _count(length: int):
         for b in batches:
             rows: list[tuple] = []
             for v, n, i, start, s in zip(*(b[c].tolist() for c in ("minimiser", "n", "doc_id", "start", "packed")), strict=True):
-                if n > BUCKET_LIMIT:
+                if n > limit:
                     rows += [(key, 0, i, start + k, 1) for k, key in enumerate(cut(s))]
                     continue
                 if v != bucket and group:
@@ -187,7 +187,7 @@ def _count(length: int):
 class SharedSpans:
     """Spans of at least `length` code points that stand in more than one record."""
 
-    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, minimiser: int = MINIMISER) -> None:
+    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, minimiser: int = MINIMISER, bucket_limit: int = BUCKET_LIMIT) -> None:
         spark = docs.sparkSession
         ship(spark)
         self.length = length
@@ -210,9 +210,9 @@ class SharedSpans:
             .join(kept, "doc_id")
             .select("minimiser", "n", "doc_id", "start", F.expr(f"substring(text, start + 1, windows + {length - 1})").alias("packed"))
         )
-        salt = F.when(F.col("n") > BUCKET_LIMIT, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BUCKET_LIMIT))).otherwise(F.lit(0))
+        salt = F.when(F.col("n") > bucket_limit, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / bucket_limit))).otherwise(F.lit(0))
         placed = packed.repartition("minimiser", salt).sortWithinPartitions("minimiser")
-        self.counted = staged(placed.mapInPandas(_count(length), RUN_SCHEMA), "counted")
+        self.counted = staged(placed.mapInPandas(_count(length, bucket_limit), RUN_SCHEMA), "counted")
 
     def runs(self) -> DataFrame:
         """Runs of windows with the set of records they stand in: group, n (records), doc_id, start, windows."""
