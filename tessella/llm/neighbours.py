@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -207,3 +207,80 @@ def _top(df: DataFrame, k: int) -> DataFrame:
 def pairs(found: DataFrame) -> DataFrame:
     """id_a < id_b of every pair of which one is among the nearest of the other."""
     return found.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+# --- searches of a stated query set -----------------------------------------------------------------------------------
+
+#: Pivots of a search, rows and queries that meet in one task, and the share of rows whose cosine is found.
+SEARCH_PIVOTS, ROWS_BLOCK, QUERIES_BLOCK, RERANK_SHARE = 128, 20_000, 20_000, 0.1
+
+
+def _places(dim: int, pivots: np.ndarray):
+    """id, the place of every pivot in the vector's order, and the vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+            order = np.argsort(-(unit(raw).astype(np.float32) @ pivots.T), axis=1, kind="stable") if len(raw) else np.empty((0, len(pivots)), np.int64)
+            place = np.empty(order.shape, np.uint8)
+            np.put_along_axis(place, order, np.arange(len(pivots), dtype=np.uint8)[None, :].repeat(len(raw), 0), 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in place], pa.binary()), pa.array([r.tobytes() for r in raw], pa.binary())], names=["id", "places", "vec"])
+
+    return run
+
+
+def _search_block(dim: int, k: int):
+    def read(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, first = np.unique(t.column("id").to_numpy(), return_index=True)
+        t = t.take(pa.array(first))
+        places = np.frombuffer(b"".join(t.column("places").to_pylist()), np.uint8).reshape(len(ids), -1)
+        return ids, places, unit(np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float32).reshape(-1, dim))
+
+    def run(key, rows: pa.Table, asked: pa.Table) -> pa.Table:
+        out = []
+        if rows.num_rows and asked.num_rows:
+            ids, places, x = read(rows)
+            q_ids, q_places, q = read(asked)
+            files = np.ascontiguousarray(places.T).astype(np.int16)  # per pivot its inverted file: the place it has in each vector
+            c = min(len(ids), max(20 * k, int(RERANK_SHARE * len(ids))))
+            for a in range(0, len(q_ids), 128):
+                own = q_places[a : a + 128].astype(np.int16)
+                far = np.zeros((len(own), len(ids)), np.int16)
+                for p in range(files.shape[0]):
+                    far += np.abs(files[p][None, :] - own[:, p, None])
+                for i in range(len(own)):
+                    cand = np.argpartition(far[i], c - 1)[:c]
+                    cos = x[cand] @ q[a + i]
+                    cos[ids[cand] == q_ids[a + i]] = -2
+                    top = np.argsort(-cos, kind="stable")[:k]
+                    best = cand[top]
+                    keep = cos[top] > -1.5
+                    out.append((np.full(keep.sum(), q_ids[a + i]), ids[best][keep], cos[top][keep]))
+        ids, other, cos = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table({"id": pa.array(ids, pa.int64()), "other": pa.array(other, pa.int64()), "cosine": pa.array(cos, pa.float64())})
+
+    return run
+
+
+def search(df: DataFrame, queries: Column, key: str = "id", vector: str = "embedding", dim: int = 64, k: int = 5) -> DataFrame:
+    """id, other, cosine of the k most similar rows of each row for which `queries` (a condition on id) holds.
+
+    All rows and all queries meet once, in blocks of bounded size: in each, the footrule distance over all pivots is
+    summed up through the pivots' inverted files and its nearest tenth is reranked exactly.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    vectors = usable(df, key, vector, dim)
+    n = vectors.count()
+    if n == 0:
+        return spark.createDataFrame([], "id long, other long, cosine double")
+    p = sample_pivots(vectors, SEARCH_PIVOTS, n)
+    placed = vectors.mapInArrow(_places(dim, p), "id long, places binary, vec binary")
+    asked = placed.filter(queries)
+    rb, qb = -(-n // ROWS_BLOCK), -(-vectors.filter(queries).count() // QUERIES_BLOCK) or 1
+    block = lambda m, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    rows = placed.select("id", "places", "vec", block(rb, 21).alias("rb"), every(qb).alias("qb"))
+    asked = asked.select("id", "places", "vec", every(rb).alias("rb"), block(qb, 22).alias("qb"))
+    found = rows.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInArrow(_search_block(dim, k), "id long, other long, cosine double")
+    return _top(found, k)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from . import bpe, lookalike, mixture, neighbours, pieces, scans, spans
@@ -48,6 +49,12 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.pairs(neighbours.nearest(table(spark, sf, "contract_chunk", "id", "embedding"), least=0.9))
 
 
+def p7_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 most similar chunks of every chunk whose id is divisible by 50, against all rows."""
+    found = neighbours.search(table(spark, sf, "contract_chunk", "id", "embedding"), F.col("id") % 50 == 0)
+    return found.select("id", "other", F.round("cosine", 6).alias("cosine"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode(table(spark, sf, "documents", "doc_id", "text"))
 
@@ -73,7 +80,7 @@ def p10_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_over_limit": p1_over_limit, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_coverage": p10_coverage}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_over_limit": p1_over_limit, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_coverage": p10_coverage}
 
 
 _COST = r"(13 * length(regexp_replace(text, '[^\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}]', '', 'g')) + 7 * length(text))"

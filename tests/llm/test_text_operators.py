@@ -3,6 +3,7 @@ import unicodedata
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import bpe, lookalike, mixture, neighbours, pieces, queries, scans, spans
 
@@ -147,6 +148,18 @@ def test_recall_against_brute_force(spark):
     assert len(got & want) / len(want) >= 0.9
 
 
+def test_search_recall(spark):
+    x = np.random.default_rng(3).normal(size=(3000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, embedding array<float>")
+    u = neighbours.unit(x)
+    got = {(r.id, r.other) for r in neighbours.search(df, F.col("id") % 50 == 0).collect()}
+    s = u[::50] @ u.T
+    s[np.arange(60), np.arange(0, 3000, 50)] = -2
+    want = {(i * 50, int(j)) for i in range(60) for j in np.argsort(-s[i])[:5]}
+    assert len(got) == 300 and len(got & want) / 300 >= 0.9
+    assert neighbours.search(df.limit(0), F.col("id") % 50 == 0).count() == 0
+
+
 def test_copies_and_unusable(spark):
     a, b = [1.0] + [0.0] * 63, [1.0, 0.1] + [0.0] * 62
     nan = [float("nan")] + [1.0] * 63
