@@ -108,8 +108,8 @@ def _is_records(t: T.DataType) -> bool:
 
 def _settle(t: T.DataType) -> T.DataType:
     """Inferred types as stored: numbers, booleans and conflicts stay text (they were made text before)."""
-    if isinstance(t, T.StructType):
-        return T.StructType([T.StructField(f.name, _settle(f.dataType)) for f in t.fields])
+    if isinstance(t, T.StructType):  # files cannot hold a struct without fields, but an object without fields is one
+        return T.StructType([T.StructField(f.name, _settle(f.dataType)) for f in t.fields] or [T.StructField("_", T.StringType())])
     if isinstance(t, T.ArrayType):
         return T.ArrayType(_settle(t.elementType))
     return T.StringType()

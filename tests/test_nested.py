@@ -35,5 +35,13 @@ def test_tables(spark):
     assert subjects[0].title == "x" and subjects[0].parent_key == grants[g].row_key and grants[g].f_ordinal == "7"
 
 
+def test_odd_shapes(spark):
+    docs = ['{"parties": [{}], "x": {}, "order by": 1, "1st": {"a-b": 2}, "chunks": [[{"y": 1}]]}', '{"parties": [{"refs": [{"a": 1}, null]}], "x": [], "void": null}', "[]", "{}", '"{}"', '{"notes": [{"k": {"issues": {"z": []}}}]}']
+    df = spark.createDataFrame([(str(i), d, None) for i, d in enumerate(docs)], SCHEMA)
+    flat = flatten(df, "tmpid", "payload", "created_at")
+    got = {(r.record_id, r.child_path) for r in flat.links().collect()}
+    assert got == {("0", "parties[0]"), ("1", "parties[0]"), ("1", "parties[0]/refs[0]"), ("5", "notes[0]/issues[0]")}
+
+
 def test_empty(spark):
     assert flatten(spark.createDataFrame([], SCHEMA), "tmpid", "payload", "created_at").links().count() == 0
