@@ -72,3 +72,10 @@ def ship(spark: SparkSession) -> None:
                         full = os.path.join(folder, f)
                         z.write(full, os.path.relpath(full, root))
         sc.addPyFile(at)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Before a costly map: use all cores where the scan has fewer partitions than there are (few or small files).
+    df must be a scan with filters and projections only; larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
