@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from ..session import ship
+from ..session import ship, spread
 
 #: Distinct pre-tokens a worker remembers before it forgets all.
 MEMO_LIMIT = 400_000
@@ -306,7 +306,7 @@ def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
 
     ship(df.sparkSession)
     path = path or default_vocabulary()
-    df = df.select(*keep, text)
+    df = spread(df.select(*keep, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)

@@ -22,12 +22,13 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..session import ship, staged
+from ..session import ship, spread, staged
 
 # Letters that cannot be told from a Latin letter, and that letter.
 LOOKALIKE = (
@@ -141,7 +142,9 @@ def mapping_table(spark: SparkSession) -> DataFrame:
     """ch, parts (its decomposed characters with their combining class)."""
     rows = [(c, [(x, unicodedata.combining(x)) for x in d]) for c, d in mapping().items()]
     rows += [(chr(cp), [(chr(cp), unicodedata.combining(chr(cp)))]) for cp in range(0x300, 0x1F000) if not 0xD800 <= cp < 0xE000 and unicodedata.combining(chr(cp)) and chr(cp) not in mapping()]
-    return spark.createDataFrame(rows, "ch string, parts array<struct<c:string,class:int>>")
+    parts = pa.list_(pa.struct([("c", pa.string()), ("class", pa.int32())]))
+    columns = {"ch": [c for c, _ in rows], "parts": pa.array([[{"c": x, "class": k} for x, k in p] for _, p in rows], parts)}
+    return spark.createDataFrame(pa.table(columns))
 
 
 def clusters_form(clusters: DataFrame) -> DataFrame:
@@ -171,7 +174,7 @@ def same_form(df: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) ->
     """key, kept columns, form: the text in the form all texts that look like it have. One row per distinct row."""
     ship(df.sparkSession)
     special, other = classes()
-    rows = df.select(key, *keep, F.regexp_replace(text, "\r\n", "\n").alias("__t")).withColumn("__dirty", F.coalesce(F.col("__t").rlike(special), F.lit(False)))
+    rows = spread(df.select(key, *keep, F.regexp_replace(text, "\r\n", "\n").alias("__t"))).withColumn("__dirty", F.coalesce(F.col("__t").rlike(special), F.lit(False)))
     clean = rows.filter(~F.col("__dirty")).select(key, *keep, settled(F.col("__t")).alias("form"))
     dirty = rows.filter("__dirty")
     # Neighbouring plain characters go together; a cluster takes the plain character before it.

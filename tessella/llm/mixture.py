@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..session import ship, staged
+from ..session import ship, spread, staged
 from .bpe import default_vocabulary, encoder
 
 BLOCK_TOKENS = 512
@@ -127,7 +127,7 @@ class Mixture:
         self.spark, self.block, self.seed = spark, block, seed
         goal = targets.select(source_key(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeat").cast("int").alias("repeat"))
         goal = goal.filter(F.col("source").isNotNull()).groupBy("source").agg(F.max(F.struct("share", "repeat")).alias("m")).select("source", "m.share", "m.repeat")
-        named = docs.select(F.col("doc_id"), source_key(F.col("source")).alias("source"), "text").join(goal.select("source"), "source", "left_semi")
+        named = spread(docs.select(F.col("doc_id"), source_key(F.col("source")).alias("source"), "text")).join(goal.select("source"), "source", "left_semi")
         self.sizes = staged(count_tokens(named, "text", ("doc_id", "source"), path).filter("n_tokens > 0"), "sizes")
         totals = self.sizes.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
         self.plan = self._plan(goal.join(totals, "source", "left").orderBy("source").collect())
