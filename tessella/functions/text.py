@@ -140,3 +140,40 @@ def merge_patch(target: pd.Series, patch: pd.Series) -> pd.Series:
 def camel(name: str) -> str:
     first, *rest = name.split("_")
     return first + "".join(w.capitalize() for w in rest)
+
+
+def replace_phrases(phrases: dict[str, str]):
+    """A function of text columns that replaces phrases in one pass, longest first, whatever blanks stand between their words."""
+    wanted = sorted(phrases, key=len, reverse=True)
+    pattern = re.compile("|".join(r"\s+".join(map(re.escape, p.split())) for p in wanted)) if wanted else None
+    by_key = {re.sub(r"\s+", " ", p.strip()): r for p, r in phrases.items()}
+
+    @F.pandas_udf(T.StringType())
+    def replace(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x if x is None or pattern is None else pattern.sub(lambda m: by_key[re.sub(r"\s+", " ", m.group())], x))
+
+    return replace
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def reading_order(boxes: pd.Series) -> pd.Series:
+    """Order of boxes (x0, y0, x1, y1) as they are read: in lines from the top, each line from the left.
+
+    A box joins the line whose middle lies within half its height."""
+
+    def order(found) -> list[int] | None:
+        if found is None:
+            return None
+        rows = sorted(range(len(found)), key=lambda i: ((found[i][1] + found[i][3]) / 2, found[i][0]))
+        lines: list[list[int]] = []
+        for i in rows:
+            middle, height = (found[i][1] + found[i][3]) / 2, abs(found[i][3] - found[i][1])
+            if lines:
+                last = lines[-1][0]
+                if abs((found[last][1] + found[last][3]) / 2 - middle) <= max(height, abs(found[last][3] - found[last][1])) / 2:
+                    lines[-1].append(i)
+                    continue
+            lines.append([i])
+        return [i for line in lines for i in sorted(line, key=lambda k: found[k][0])]
+
+    return boxes.map(order)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, documents, rights, search
+from . import corpus, documents, extras, rights, search
 
-MODULES = [corpus, rights, search, documents]
+MODULES = [corpus, rights, search, documents, extras]
 
 
 def queries() -> dict:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Uploads must begin with this and be no larger.
 PDF_MAGIC, MAX_BYTES = b"%PDF-", 100 * 1024 * 1024
+# Columns of the manifest file.
 MANIFEST = (
     "contract_id string, language string, template_family string, agreement_type string, document_title string, canonical_path string, canonical_sha256 string, "
     "actual_pages int, pdf_path string, pdf_sha256 string, used_by_scenario_ids string, scenario_roles string"

@@ -57,3 +57,10 @@ def test_files(spark, tmp_path):
     (tmp_path / "t.md").write_text("# T\n| a | b |\n|---|---|\n| 1 | 2 |\n")
     assert [r.cells for r in files.markdown_rows(files.text_corpus(spark, str(tmp_path / "t.md"))).collect()] == [["a", "b"], ["1", "2"]]
     assert files.stored_path("/s", 1, 2) == "/s/1/2.pdf"
+
+
+def test_phrases_and_boxes(spark):
+    f = text.replace_phrases({"sole right": "A", "right": "B"})
+    assert one(spark, f(F.lit("the sole\n right and a right"))) == "the A and a B"
+    boxes = F.array(*[F.array(*[F.lit(float(v)) for v in b]) for b in ((50, 1, 60, 11), (0, 0, 10, 10), (0, 20, 10, 30))])
+    assert one(spark, text.reading_order(boxes)) == [1, 0, 2]
