@@ -7,8 +7,17 @@ one of the usual dresses, when the number is one of the pages of the chunk. With
 A mark at a line's end is a hyphenation if the two halves make a word of the corpus, else it stays. A word is misread if
 folding commonly confused characters makes it equal to a word that the corpus has far more often.
 
-The vocabulary (word, folded word, count) is aggregated over all chunks, before and after the shuffle; it is never
-collected or broadcast. Only the learned document words reach the driver, at most WORDS_MOST of them, most frequent
+Confusions are the fixed ones below and those the corpus shows. Words that differ in one place (one character, or two
+Latin letters for one) from a word far more frequent are joined by a key with that place left out; each counts for the
+right word that looks most like it (by a fixed confusion; by fewest differing jamo; by the nearest ideograph, as these
+stand in order of radical and strokes). A confusion is learned if few pairs of words that it joins are about equally
+frequent and its wrong words stand in the generations that have heads or page numbers far more than their right words do: a
+rare word of the language stands in scans and other texts alike. Where all generations are scans, or none is known to be
+one, many different words must show it.
+
+The vocabulary (word, count, count in scanned generations) is aggregated over all chunks, before and after the shuffle; it
+is never collected or broadcast. Only the learned confusions (pairs of characters) and document words reach the driver, of
+these at most WORDS_MOST, most frequent
 first: they are fixed expressions, and a head without one of them has no form that could be told from the clause.
 
 Defined results: null and empty texts have no findings and no paragraphs; repeated rows count once; with a null page_start
@@ -19,7 +28,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -35,6 +43,9 @@ from .lookalike import INVISIBLE, mapping
 WORDS_MOST, RECURRING = 1000, 0.25
 #: How often more than a misread form its right form must stand in the corpus, and how often at least.
 DOMINANCE, COMMON = 4, 3
+#: To learn a confusion: occurrences of a right word at least; different words that show it, or occurrences in scans and how
+#: much more often its wrong words stand in scans than their right words.
+LEARN_FROM, KINDS, IN_SCANS, SCAN_ODDS = 12, 5, 5, 3
 
 # Characters that recognition puts in place of others (wrong, right).
 CONFUSED_PAIRS = "rnm cld vvw"
@@ -45,9 +56,12 @@ CONFUSED = (
 )
 
 _MARK = "-‐¬­"
-_LAST_HALF = re.compile(rf"([A-Za-zÀ-ɏ0-9]*[A-Za-zÀ-ɏ])[{_MARK}]\s*$")
-_FIRST_HALF = re.compile(r"\s*([a-zà-ɏ0-9]*[a-zà-ɏ][A-Za-zà-ɏ0-9]*)")
-_WORD = re.compile(r"[A-Za-zÀ-ɏ0-9]*[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ0-9]*|[가-힣]+|[一-鿿々]+")
+# Signs that stand for a letter within a word, or before one.
+_SIGN = "!|$@"
+_MORE = rf"(?:[{_SIGN}]{{1,2}}[A-Za-zÀ-ɏ0-9]*[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ0-9]*)*"
+_LAST_HALF = re.compile(rf"([A-Za-zÀ-ɏ0-9{_SIGN}]*[A-Za-zÀ-ɏ])[{_MARK}]\s*$")
+_FIRST_HALF = re.compile(rf"\s*([!|]?[a-zà-ɏ0-9]*[a-zà-ɏ][A-Za-zà-ɏ0-9]*{_MORE})")
+_WORD = re.compile(rf"(?:(?<![^\s(“\"'])[!|](?=[a-zà-ɏ]))?[A-Za-zÀ-ɏ0-9]*[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ0-9]*{_MORE}|[가-힣]+|[一-鿿々]+")
 _HEAD = re.compile(
     r"^\s*(?P<before>(?:[-\[〔(<]*\s*(?:page|p\.)?\s*\d{1,4}\s*[\])〕>-]*\s{2,})?)(?P<title>\S.*?)\s+(?P<type>\S+)\s+(?P<no>(?=(?:\S*\d){5})[0-9A-Za-z]{2,7}-?[0-9A-Za-z]{2,6})"
     r"(?P<after>(?:\s*[(（].{1,30}[)）]|\s+[—–-]+\s+\S.{0,30}|)(?:\s+[-\[〔(]*\s*(?:page|p\.)?\s*\d{1,4}(?:\s*(?:/|of)\s*\d{1,4})?\s*[\])〕-]*)?)\s*$",
@@ -73,22 +87,69 @@ def plain(text: str) -> str:
     return text if text.isascii() else unicodedata.normalize("NFC", text.replace("\r\n", "\n").translate(_fold_table()))
 
 
-@lru_cache(maxsize=1)
-def _confusions() -> tuple[tuple[tuple[str, str], ...], dict[int, str], re.Pattern]:
-    pairs = tuple((x[:2], x[2]) for x in CONFUSED_PAIRS.split())
-    single = {ord(x[0]): x[1] for x in CONFUSED.split()}
-    return pairs, single, re.compile("|".join([*(p for p, _ in pairs), f"[{''.join(map(chr, single))}]"]))
+Learned = tuple[tuple[str, str], ...]
+
+
+@lru_cache(maxsize=8)
+def _confusions(learned: Learned = ()) -> tuple[tuple[tuple[str, str], ...], dict[int, str], re.Pattern]:
+    """Two characters that are one, one for all that are confused, and what a misread word contains."""
+    both = [*((x[:2], x[2]) for x in CONFUSED_PAIRS.split()), *((x[0], x[1]) for x in CONFUSED.split()), *learned]
+    pairs = tuple(dict.fromkeys((a, b) if len(a) == 2 else (b, a) for a, b in both if len(a) + len(b) == 3))
+    root: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while c in root:
+            c = root[c]
+        return c
+
+    for a, b in both:
+        if len(a) == len(b) == 1 and top(a) != top(b):
+            root[top(a)] = top(b)
+    return pairs, {ord(c): top(c) for c in root}, re.compile("|".join(sorted({re.escape(a) for a, _ in both}, key=len, reverse=True)))
 
 
 @lru_cache(maxsize=200_000)
-def folded(word: str) -> str:
+def folded(word: str, learned: Learned = ()) -> str:
     """The word with all commonly confused characters as one."""
-    pairs, single, _ = _confusions()
+    pairs, single, _ = _confusions(learned)
     for wrong, right in pairs:
         word = word.replace(wrong, right)
     return word.translate(single)
 
 
+def _places(words: DataFrame, keep: dict[str, str]) -> DataFrame:
+    """Each word with each place left out: key, what stood there, and the columns to keep under their new names."""
+    at = "transform(sequence(1, length(word)), i -> struct(concat(left(word, i - 1), '\\u0001', substring(word, i + 1)) AS key, substring(word, i, 1) AS c))"
+    two = "transform(sequence(1, length(word) - 1), i -> struct(concat(left(word, i - 1), '\\u0001', substring(word, i + 2)) AS key, substring(word, i, 2) AS c))"
+    places = F.expr(f"inline(IF(word < '\u0250', concat({at}, {two}), {at}))")
+    return words.filter("length(word) >= 2").select(*(F.col(c).alias(k) for c, k in keep.items()), places)
+
+
+def _unlike() -> str:
+    """How much the characters of a confusion differ in look (SQL over a and b)."""
+    x, y = "(ascii(a) - 44032)", "(ascii(b) - 44032)"
+    known = ", ".join(f"'{x[:-1]}>{x[-1]}'" for x in (CONFUSED_PAIRS + " " + CONFUSED).split())
+    jamo = " + ".join(f"CAST({f.format(x)} <> {f.format(y)} AS INT)" for f in ("{} div 588", "{} % 588 div 28", "{} % 28"))
+    return f"CASE WHEN concat(a, '>', b) IN ({known}) THEN -1 WHEN length(a) + length(b) > 2 THEN 1 WHEN ascii(a) BETWEEN 44032 AND 55203 THEN {jamo} WHEN ascii(a) >= 12288 THEN abs(ascii(a) - ascii(b)) ELSE 0 END"
+
+
+def learn(vocabulary: DataFrame) -> Learned:
+    """Confusions (wrong, right) that the corpus shows; vocabulary: word, n, and of these in scans."""
+    wrong = _places(vocabulary, {"word": "w", "n": "n", "scans": "s"}).withColumnRenamed("c", "a")
+    right = _places(vocabulary.filter(F.col("n") >= LEARN_FROM), {"word": "r", "n": "m", "scans": "rs"}).withColumnRenamed("c", "b")
+    both = wrong.join(right, "key").filter(
+        "a <> b AND n <= m AND length(a) + length(b) < 4 AND NOT (length(a) + length(b) = 3 AND (startswith(a, b) OR endswith(a, b) OR startswith(b, a) OR endswith(b, a)))"
+    )
+    pairs = staged(both.select("w", "n", "s", "r", "m", "rs", "a", "b", F.expr(f"m >= {DOMINANCE} * n").alias("far"), F.expr(_unlike()).alias("unlike")), "confused")
+    equal = pairs.filter("NOT far").groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.count("*").alias("equal"))
+    one = pairs.filter("far").groupBy("w").agg(F.min(F.struct("unlike", -F.col("m"), "r", "a", "b", "n", "s", "m", "rs")).alias("p")).select("p.*")
+    shown = one.groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "s", "m", "rs")), F.count("*").alias("kinds"), F.max("unlike").alias("unlike"))
+    shown = shown.join(equal, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left").na.fill(0, ["equal"])
+    scanned = f"s >= {IN_SCANS} AND s * (m - rs) >= {SCAN_ODDS} * (n - s) * rs AND (ascii(a) NOT BETWEEN 44032 AND 55203 OR unlike < 2)"
+    kept = shown.filter(f"IF(rs > 0 AND m > rs, {scanned}, kinds >= {KINDS}) AND {KINDS} * equal <= kinds")
+    return tuple(sorted((r.a, r.b) for r in kept.select("a", "b").collect()))
+
+
 def head_of(line: str) -> re.Match | None:
     if not 8 <= len(line) <= 140 or re.search(r"[。、，,;；]", line):
         return None
@@ -210,30 +271,23 @@ def head_words(chunks: DataFrame) -> tuple[str, ...]:
     return tuple(r[0] for r in rate.filter((F.col("again") >= 2) & (F.col("again") >= RECURRING * F.col("lines"))).orderBy(F.desc("again"), "word").limit(WORDS_MOST).select("word").collect())
 
 
-_FACTS = "tag string, id long, word string, fold string, n long"
+_FACTS = "tag string, id long, grp long, words array<string>"
 
 
 def _facts(words: tuple[str, ...]):
-    suspect = _confusions()[2]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            count: Counter = Counter()
             rows: list[tuple] = []
-            for i, t, p, q in zip(b["id"].tolist(), b["t"].tolist(), b["p"].tolist(), b["q"].tolist(), strict=True):
+            for i, g, t, p, q in zip(b["id"].tolist(), b["grp"].tolist(), b["t"].tolist(), b["p"].tolist(), b["q"].tolist(), strict=True):
                 page = Page(t, None if p < 0 else int(p), None if q < 0 else int(q), words)
                 if page.head:
-                    rows.append(("running_head", i, None, None, 1))
+                    rows.append(("running_head", i, g, None))
                 if page.number:
-                    rows.append(("page_number", i, None, None, 1))
-                rows += [("broken", i, w, folded(w), 1) for w in {w for _, w in page.broken}]
-                own = _WORD.findall("\n".join(page.joined()))
-                count.update(own)
-                rows += [("word", i, w, folded(w), 1) for w in set(own) if suspect.search(w)]
-            rows += [("vocabulary", None, w, folded(w), n) for w, n in count.items()]
-            out = pd.DataFrame(rows, columns=["tag", "id", "word", "fold", "n"])
-            out["id"] = out["id"].astype("Int64")
-            yield out
+                    rows.append(("page_number", i, g, None))
+                if page.broken:
+                    rows.append(("broken", i, g, sorted({w for _, w in page.broken})))
+                rows.append(("words", i, g, _WORD.findall("\n".join(page.joined()))))
+            yield pd.DataFrame(rows, columns=["tag", "id", "grp", "words"])
 
     return run
 
@@ -246,20 +300,32 @@ class Scans:
         self.chunks = spread(self.chunks.filter(F.col("id").isNotNull() & F.col("t").isNotNull()))
         self.words = head_words(self.chunks.select("grp", "id", "t"))
         self.facts = staged(self.chunks.mapInPandas(_facts(self.words), _FACTS), "facts")
-        v = self.facts.filter("tag = 'vocabulary'").groupBy("word", "fold").agg(F.sum("n").alias("n"))
-        self.vocabulary = staged(v, "vocabulary")
+        scans = self.facts.filter("tag IN ('running_head', 'page_number')").select("grp", F.lit(1).alias("scan")).distinct()
+        own = self.facts.filter("tag = 'words'").join(scans, "grp", "left").select(F.explode("words").alias("word"), F.coalesce("scan", F.lit(0)).alias("scan"))
+        counted = staged(own.groupBy("word").agg(F.count("*").alias("n"), F.sum("scan").alias("scans")), "counted")
+        self.learned = learned = learn(counted)
+
+        @F.pandas_udf("string")
+        def fold(w: pd.Series) -> pd.Series:
+            return w.map(lambda x: folded(x, learned))
+
+        self.fold = fold
+        self.vocabulary = staged(counted.select("word", fold("word").alias("fold"), "n"), "vocabulary")
         self.best = self.vocabulary.groupBy("fold").agg(F.max(F.struct("n", "word")).alias("m")).select("fold", F.col("m.word").alias("best"), F.col("m.n").alias("best_n"))
 
     def misread(self) -> DataFrame:
         """id, word, best: misread words of each chunk and what they should be."""
-        wrong = self.vocabulary.join(self.best, "fold").filter((F.col("word") != F.col("best")) & (F.col("best_n") >= COMMON) & (F.col("best_n") >= DOMINANCE * F.col("n")))
-        whole = self.facts.filter("tag = 'word'").select("id", "word").distinct().join(wrong.select("word", "best"), "word").select("id", "word", "best")
+        suspect = _confusions(self.learned)[2].pattern
+        wrong = self.vocabulary.filter(F.col("word").rlike(suspect)).join(self.best, "fold").filter((F.col("word") != F.col("best")) & (F.col("best_n") >= COMMON) & (F.col("best_n") >= DOMINANCE * F.col("n")))
+        own = self.facts.filter("tag = 'words'").select("id", F.explode(F.array_distinct("words")).alias("word")).filter(F.col("word").rlike(suspect))
+        whole = own.join(wrong.select("word", "best"), "word").select("id", "word", "best")
         halves = self.mended().filter((F.col("word") != F.col("best")) & (F.col("best_n") >= COMMON)).select("id", "word", "best")
         return whole.unionByName(halves).distinct()
 
     def mended(self) -> DataFrame:
         """id, word, best, best_n: words broken over two lines."""
-        return self.facts.filter("tag = 'broken'").select("id", "word", "fold").distinct().join(self.best, "fold").select("id", "word", "best", "best_n")
+        broken = self.facts.filter("tag = 'broken'").select("id", F.explode("words").alias("word")).distinct()
+        return broken.withColumn("fold", self.fold("word")).join(self.best, "fold").select("id", "word", "best", "best_n")
 
     def found(self) -> DataFrame:
         """id, kind: what page and scan added to each chunk."""
