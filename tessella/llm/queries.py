@@ -30,7 +30,11 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_forms(spark: SparkSession, sf: str) -> DataFrame:
-    return lookalike.same_form(table(spark, sf, "bundle_chunk", "chunk_id", "text").filter("text is not null"), "chunk_id", "text").distinct()
+    """The form of every text of both tables: table_name, chunk_id (as text), form."""
+    own = table(spark, sf, "contract_chunk", "id", "chunk_text").select(F.lit("contract_chunk").alias("table_name"), F.col("id").cast("string").alias("chunk_id"), F.col("chunk_text").alias("text"))
+    bundle = table(spark, sf, "bundle_chunk", "chunk_id", "text").select(F.lit("bundle_chunk").alias("table_name"), "chunk_id", "text")
+    texts = own.unionByName(bundle).filter("chunk_id is not null and text is not null")
+    return lookalike.same_form(texts, "chunk_id", "text", ("table_name",)).select("table_name", "chunk_id", "form").distinct()
 
 
 def _scans(spark: SparkSession, sf: str) -> scans.Scans:

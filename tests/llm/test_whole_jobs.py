@@ -1,4 +1,4 @@
-from tessella.llm import scans
+from tessella.llm import queries, scans
 
 
 def test_confusions_are_learned_from_the_corpus(spark):
@@ -16,3 +16,12 @@ def test_confusions_are_learned_from_the_corpus(spark):
     assert {r.id for r in s.found().filter("kind = 'misread'").collect()} == {i for i in range(0, 60, 9)}
     text = {r.id: r.paragraph for r in s.paragraphs().collect()}
     assert "within" in text[0] and "영수증을" in text[0] and "記載" in text[0] and "手帳" in text[1]
+
+
+def test_forms_of_both_tables(spark, tmp_path):
+    a = spark.createDataFrame([(1, "ａ b"), (1, "ａ b"), (2, None), (3, "c")], "id long, chunk_text string")
+    b = spark.createDataFrame([("1", "a b"), ("x", "é"), ("y", None)], "chunk_id string, text string")
+    a.write.parquet(f"{tmp_path}/contract_chunk.parquet")
+    b.write.parquet(f"{tmp_path}/bundle_chunk.parquet")
+    got = sorted(tuple(r) for r in queries.p5_forms(spark, str(tmp_path)).collect())
+    assert got == [("bundle_chunk", "1", "a b"), ("bundle_chunk", "x", "é"), ("contract_chunk", "1", "a b"), ("contract_chunk", "3", "c")]
