@@ -80,11 +80,15 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p10_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return spans.SharedSpans(table(spark, sf, "documents", "doc_id", "text")).coverage()
+    return spans.SharedSpans(table(spark, sf, "documents", "doc_id", "text")).coverage(every=True)
+
+
+def p10_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.SharedSpans(table(spark, sf, "documents", "doc_id", "text"), aligned=True).passages()
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_over_limit": p1_over_limit, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_coverage": p10_coverage}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_over_limit": p1_over_limit, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_coverage": p10_coverage, "p10_passages": p10_passages}
 
 
 _COST = r"(13 * length(regexp_replace(text, '[^\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}]', '', 'g')) + 7 * length(text))"

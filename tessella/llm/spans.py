@@ -125,11 +125,12 @@ def _first_pass(length: int, m: int):
 RUN_SCHEMA = "group binary, n int, doc_id long, start int, windows int"
 
 
-def _count(length: int, limit: int):
+def _count(length: int, limit: int, aligned: bool = False):
     """Of packed strings sorted by bucket: runs of windows that stand in one and the same set of records.
 
     A run has the digest of its set of records, the number of records, its record, start and number of windows. Windows
-    of salted buckets leave one by one, with n = 0 and the digest of the window.
+    of salted buckets leave one by one, with n = 0 and the digest of the window. If aligned, runs also end where a window has
+    another neighbour in some other place, so that two runs that share a window are the same text.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,13 +147,26 @@ def _count(length: int, limit: int):
             for (i, _, _), keys in zip(group, cuts, strict=True):
                 for key in keys:
                     records.setdefault(key, set()).add(i)
+            before: dict[bytes, bytes | None] = {}
+            forks: set[bytes] = set()  # windows at which runs begin
+            if aligned:
+                after: dict[bytes, bytes | None] = {}
+                ends: set[bytes] = set()
+                for keys in cuts:
+                    for p, key, q in zip([None, *keys[:-1]], keys, [*keys[1:], None], strict=True):
+                        if before.setdefault(key, p) != p:
+                            forks.add(key)
+                        if after.setdefault(key, q) != q:
+                            ends.add(key)
+                for keys in cuts:
+                    forks.update(q for p, q in zip(keys[:-1], keys[1:], strict=True) if p in ends)
             names: dict[frozenset, bytes] = {}
             rows = []
             for (i, start, _), keys in zip(group, cuts, strict=True):
                 last, at = None, 0
                 for k, key in enumerate([*keys, None]):
                     now = records[key] if key is not None else None
-                    if now is not last and now != last:
+                    if key in forks or now is not last and now != last:
                         if last is not None and len(last) > 1:
                             f = frozenset(last)
                             if f not in names:
@@ -187,11 +201,12 @@ def _count(length: int, limit: int):
 class SharedSpans:
     """Spans of at least `length` code points that stand in more than one record."""
 
-    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, minimiser: int = MINIMISER, bucket_limit: int = BUCKET_LIMIT) -> None:
+    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, minimiser: int = MINIMISER, bucket_limit: int = BUCKET_LIMIT, aligned: bool = False) -> None:
         spark = docs.sparkSession
         ship(spark)
         self.length = length
         self.docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.col("doc_id").isNotNull() & (F.char_length("text") >= length))
+        self.all = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias("n_chars")).filter("doc_id IS NOT NULL").distinct()
         # Classes of exact copies.
         digests = self.docs.select("doc_id", F.md5("text").alias("digest"))
         classes = digests.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
@@ -212,7 +227,7 @@ class SharedSpans:
         )
         salt = F.when(F.col("n") > bucket_limit, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / bucket_limit))).otherwise(F.lit(0))
         placed = packed.repartition("minimiser", salt).sortWithinPartitions("minimiser")
-        self.counted = staged(placed.mapInPandas(_count(length, bucket_limit), RUN_SCHEMA), "counted")
+        self.counted = staged(placed.mapInPandas(_count(length, bucket_limit, aligned), RUN_SCHEMA), "counted")
 
     def runs(self) -> DataFrame:
         """Runs of windows with the set of records they stand in: group, n (records), doc_id, start, windows."""
@@ -236,6 +251,34 @@ class SharedSpans:
         return links.unionByName(inside).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
     def passages(self) -> DataFrame:
+        """Each longest passage that two records have in common: doc_id_a < doc_id_b, start_a, start_b, length.
+
+        Runs of equal text are laid side by side and joined along one distance of their starts. Copies have the passages
+        of their representative; two copies have their whole text. Needs runs that are aligned.
+        """
+        runs = self.runs()
+        texts = self.docs.join(runs.select("doc_id").distinct(), "doc_id", "left_semi")
+        same = F.unhex(F.md5(F.expr(f"substring(text, start + 1, windows + {self.length - 1})")))
+        runs = staged(texts.join(runs, "doc_id").select("group", "doc_id", "start", "windows", same.alias("same")).distinct(), "same")
+        a = runs.select("group", "same", F.col("doc_id").alias("a"), F.col("start").alias("start_a"), "windows")
+        b = runs.select("group", "same", F.col("doc_id").alias("b"), F.col("start").alias("start_b"))
+        beside = a.join(b, ["group", "same"]).filter("a < b").withColumn("shift", F.col("start_b") - F.col("start_a"))
+        w = W.partitionBy("a", "b", "shift").orderBy("start_a")
+        stop = F.col("start_a") + F.col("windows")
+        step = beside.withColumn("new", (F.col("start_a") > F.coalesce(F.max(stop).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
+        run = step.withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+        found = run.groupBy("a", "b", "shift", "run").agg(F.min("start_a").alias("start_a"), F.max(stop).alias("stop"))
+        found = found.select("a", "b", "start_a", (F.col("start_a") + F.col("shift")).alias("start_b"), (F.col("stop") - F.col("start_a") + self.length - 1).alias("length"))
+        m = self.members
+        found = found.join(m.select(F.col("rep").alias("a"), F.col("doc_id").alias("ma")), "a", "left").join(m.select(F.col("rep").alias("b"), F.col("doc_id").alias("mb")), "b", "left")
+        found = found.select(F.coalesce("ma", "a").alias("x"), F.coalesce("mb", "b").alias("y"), "start_a", "start_b", "length")
+        sizes = self.docs.select(F.col("doc_id").alias("x"), F.char_length("text").alias("length")).distinct()
+        inside = m.select("rep", F.col("doc_id").alias("x")).join(m.select("rep", F.col("doc_id").alias("y")), "rep").filter("x < y").join(sizes, "x")
+        both = found.unionByName(inside.select("x", "y", F.lit(0).alias("start_a"), F.lit(0).alias("start_b"), "length"))
+        ends = lambda p, q: F.when(F.col("x") < F.col("y"), F.col(p)).otherwise(F.col(q))
+        return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), ends("start_a", "start_b").alias("start_a"), ends("start_b", "start_a").alias("start_b"), "length")
+
+    def stretches(self) -> DataFrame:
         """Maximal stretches of shared windows of each representative record: doc_id, start, end, records (most that share one window)."""
         w = W.partitionBy("doc_id").orderBy("start", "windows")
         stop = F.col("start") + F.col("windows")
@@ -243,17 +286,22 @@ class SharedSpans:
         run = step.withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
         return run.groupBy("doc_id", "run").agg(F.min("start").alias("start"), (F.max(stop) + self.length - 1).alias("end"), F.max("n").alias("records")).drop("run")
 
-    def coverage(self) -> DataFrame:
-        """Of every record with shared text: n_chars, the code points covered by shared spans, and their share."""
-        parts = self.passages()
+    def coverage(self, every: bool = False) -> DataFrame:
+        """Of every record with shared text: n_chars, the code points covered by shared spans, and their share; with
+        `every` also of the records that share nothing, or have no text."""
+        parts = self.stretches()
         w = W.partitionBy("doc_id").orderBy("start")
         later = F.lead("start").over(w)
         covered = parts.withColumn("own", F.least(F.col("end"), F.coalesce(later, F.col("end"))) - F.col("start")).groupBy("doc_id").agg(F.sum("own").cast("long").alias("shared_chars"))
         sizes = self.docs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"))
         copies = self.members.select("doc_id", F.lit(True).alias("copied"))
-        return (
+        found = (
             sizes.join(copies, "doc_id", "left").join(covered, "doc_id", "left")
             .filter(F.col("copied") | F.col("shared_chars").isNotNull())
             .select("doc_id", "n_chars", F.when(F.col("copied"), F.col("n_chars")).otherwise(F.col("shared_chars")).alias("shared_chars"))
             .withColumn("shared_share", F.round(F.col("shared_chars") / F.col("n_chars"), 6))
         )
+        if not every:
+            return found
+        none = self.all.join(found.select("doc_id"), "doc_id", "left_anti")
+        return found.unionByName(none.select("doc_id", "n_chars", F.lit(0).cast("long").alias("shared_chars"), F.lit(0.0).alias("shared_share")))

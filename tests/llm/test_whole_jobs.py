@@ -1,4 +1,8 @@
-from tessella.llm import queries, scans
+import random
+
+import pytest
+
+from tessella.llm import queries, scans, spans
 
 
 def test_confusions_are_learned_from_the_corpus(spark):
@@ -25,3 +29,42 @@ def test_forms_of_both_tables(spark, tmp_path):
     b.write.parquet(f"{tmp_path}/bundle_chunk.parquet")
     got = sorted(tuple(r) for r in queries.p5_forms(spark, str(tmp_path)).collect())
     assert got == [("bundle_chunk", "1", "a b"), ("bundle_chunk", "x", "é"), ("contract_chunk", "1", "a b"), ("contract_chunk", "3", "c")]
+
+
+def brute_passages(docs, n):
+    out = set()
+    for i, s in docs:
+        for j, t in docs:
+            if i < j and s == t:
+                out |= {(i, j, 0, 0, len(s))} if len(s) >= n else set()
+            elif i < j:
+                for shift in range(-len(s) + n, len(t) - n + 1):
+                    k = max(0, -shift)
+                    while k < len(s) and k + shift < len(t):
+                        e = k
+                        while e < len(s) and e + shift < len(t) and s[e] == t[e + shift]:
+                            e += 1
+                        if e - k >= n:
+                            out.add((i, j, k, k + shift, e - k))
+                        k = e + 1
+    return out
+
+
+@pytest.mark.parametrize("limit", [2000, 2])
+def test_passages_against_brute_force(spark, limit):
+    rnd = random.Random(5)
+    long = ["".join(rnd.choice("abcd é🎬한 ") for _ in range(90)) for _ in range(8)]
+    docs = [(i, "".join(rnd.choice(long)[rnd.randint(0, 30) :] for _ in range(rnd.randint(1, 3)))) for i in range(25)]
+    docs += [(200 + k, long[0] + long[1]) for k in range(3)] + [(300 + k, "only copies " * 3 + long[2][::-1]) for k in range(2)] + [(9, ""), (400, "short")][1:]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [tuple(r) for r in spans.SharedSpans(df, length=60, minimiser=25, bucket_limit=limit, aligned=True).passages().collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_passages(docs, 60)
+
+
+def test_coverage_of_every_document(spark, tmp_path):
+    text = "".join(map(chr, range(0x4E00, 0x4F00)))
+    docs = [(1, text), (2, text), (3, "x" + text[:200]), (4, "alone"), (5, None), (6, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_chars, r.shared_chars, r.shared_share) for r in queries.p10_coverage(spark, str(tmp_path)).collect()}
+    assert got == {1: (256, 256, 1.0), 2: (256, 256, 1.0), 3: (201, 200, 0.995025), 4: (5, 0, 0.0), 5: (0, 0, 0.0), 6: (0, 0, 0.0)}
+    assert {tuple(r) for r in queries.p10_passages(spark, str(tmp_path)).collect()} == {(1, 2, 0, 0, 256), (1, 3, 0, 1, 200), (2, 3, 0, 1, 200)}
