@@ -1,16 +1,22 @@
 """The k most similar vectors of every vector (problem 7), by a permutation index.
 
-A bounded sample of the vectors serves as pivots. Every vector is represented by the order in which it sees its nearest
-pivots and is posted, with that order, in the inverted files of the first of them. Two similar vectors see nearly the same
-pivots first and so meet in an inverted file. There the others of the file are ranked by the footrule distance of the
-orders (places beyond the prefix count as the last), and the nearest of each vector are compared by the cosine of vectors rounded to 8 bits, which is what the files hold. The best of all files
-are reranked by the exact cosine, for which only the vectors in question are read again.
-Files of more than FILE_LIMIT vectors are indexed again within themselves, with pivots of their own, so no file is ever
-compared as a whole; sampled pivots follow the density of the data, which keeps the files even. All vectors are indexed.
+A sample of the vectors serves as pivots; their number grows with the root of the number of vectors, so that the
+inverted files, of which there is one per pivot, grow with the root as well and each fits a task. Every vector is
+represented by the order in which it sees its nearest pivots and is posted, with that order, in the inverted files of
+all of them. Two similar vectors see nearly the same pivots first and so meet in an inverted file. There the others of
+the file are ranked by the footrule distance of the orders (places beyond the prefix count as the last); those in the
+nearest share of the file are compared by the cosine of vectors rounded to 8 bits, which is what the files hold. The
+best of all files are reranked by the exact cosine, for which only the vectors in question are read again.
+A file that sampling left large is laid out in parts: each part ranks its own vectors against the whole file, so the
+work of no file hangs on one task. All vectors are indexed; `nearest` asks for all of them, `search` for those of a
+stated query set, over the same files.
 
 Exact copies of a vector are one class: its representative is indexed, the copies come back in at the end, each with the
 k smallest ids among the most similar (ties of the cosine go to the smaller id).
 
+Recall is set by the number of pivots and postings. NEAR suits neighbours with a cosine of 0.9 or so, FAR those that are
+nearly orthogonal to each other (see the README for measured recall of both).
+
 Defined results: vectors that are null, all zero, of another length or hold NaN, infinity or null take no part; repeated
 rows of an id count once; an empty table gives no rows; other columns are ignored.
 """
@@ -19,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +35,27 @@ from pyspark.sql import Window as W
 
 from ..session import ship, staged
 
-#: Bounds of the number of pivots (it grows with the root of the number of vectors), files a vector is posted in,
-#: places of the order that are kept, and vectors compared by their rounded cosine in each file.
-PIVOTS_LEAST, PIVOTS_MOST, POSTINGS, PREFIX, RERANK = 64, 8192, 5, 8, 64
+
+@dataclass(frozen=True)
+class Index:
+    """pivots: how many times the root of the number of vectors; postings: files a vector is posted in; prefix: places
+    of the order that the footrule distance looks at; share: the part of a file whose cosine is found."""
+
+    pivots: float
+    postings: int
+    prefix: int
+    share: float
+
+
+NEAR = Index(pivots=4, postings=5, prefix=8, share=0.25)
+FAR = Index(pivots=8, postings=24, prefix=10, share=0.5)
 #: Candidates reranked exactly beyond k, and the error allowed for the rounded cosine.
-SPARE, ROUNDING = 5, 0.02
-#: Vectors of an inverted file beyond which it is indexed again within itself.
-FILE_LIMIT = 3000
-POSTING_SCHEMA = "file int, id long, seen binary, vec binary"
+SPARE, ROUNDING = 3, 0.02
+#: Vectors of a file that one part ranks, and pairs held in memory at once.
+PART, PAIRS = 4096, 1 << 21
+#: One vector in so many is read to see how large the files are.
+SAMPLED = 64
+POSTING_SCHEMA = "file int, id long, asked boolean, seen binary, vec binary"
 
 
 def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
@@ -52,103 +72,113 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """The nearest pivots of each unit vector, nearest first."""
-    near = x.astype(np.float32) @ pivots.T
-    prefix = min(prefix, near.shape[1])
-    first = np.argpartition(-near, prefix - 1, axis=1)[:, :prefix] if prefix < near.shape[1] else np.tile(np.arange(prefix), (len(x), 1))
-    own = np.take_along_axis(near, first, axis=1)
-    return np.take_along_axis(first, np.argsort(-own, axis=1, kind="stable"), axis=1).astype(np.int16)
+def orders(x: np.ndarray, pivots: np.ndarray, places: int) -> np.ndarray:
+    """The nearest pivots of each unit vector, nearest first.
+
+    The nearest lie in the blocks of pivots with the greatest maxima, so only these blocks are searched."""
+    places, width = min(places, len(pivots)), 32
+    out = np.empty((len(x), places), np.int32)
+    blocks = -(-len(pivots) // width)
+    for a in range(0, len(x), step := max(1, (1 << 23) // (blocks * width))):
+        near = np.full((len(x[a : a + step]), blocks * width), -9, np.float32)
+        near[:, : len(pivots)] = x[a : a + step].astype(np.float32) @ pivots.T
+        if blocks > places:
+            best = np.argpartition(-near.reshape(len(near), blocks, width).max(axis=2), places - 1, axis=1)[:, :places]
+            of = (best[:, :, None] * width + np.arange(width)).reshape(len(near), -1)
+            near = np.take_along_axis(near, of, axis=1)
+        else:
+            of = np.broadcast_to(np.arange(blocks * width), near.shape)
+        first = np.argpartition(-near, places - 1, axis=1)[:, :places]
+        rank = np.argsort(-np.take_along_axis(near, first, axis=1), axis=1, kind="stable")
+        out[a : a + step] = np.take_along_axis(of, np.take_along_axis(first, rank, axis=1), axis=1)
+    return out
 
 
 def footrule_nearness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """L(L+1)/2 minus half the footrule distance of order prefixes: the sum over shared pivots of L - the later place."""
     size = a.shape[1]
-    out = np.zeros((len(a), len(b)), np.int8)
+    out = np.zeros((len(a), len(b)), np.int16)
+    columns = np.ascontiguousarray(b.T)
     for i in range(size):
+        own = np.ascontiguousarray(a[:, i, None])
         for j in range(size):
-            out += (a[:, i, None] == b[None, :, j]).view(np.int8) * np.int8(size - max(i, j))
+            out += (own == columns[j]).view(np.int8) * np.int8(size - max(i, j))
     return out
 
 
-def _best_in_file(ids: np.ndarray, seen: np.ndarray, x: np.ndarray, k: int, least: float, seed: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
-    """id, neighbour and cosine of the k best of each vector in one inverted file."""
-    n = len(ids)
-    if n < 2:
+def rank_file(ids: np.ndarray, asked: np.ndarray, seen: np.ndarray, x: np.ndarray, k: int, least: float, index: Index) -> Iterator[tuple[np.ndarray, ...]]:
+    """id, neighbour and cosine of the k best of each vector that is asked for, in one inverted file."""
+    n, rows = len(ids), np.flatnonzero(asked)
+    if n < 2 or not len(rows):
         return
-    if n > FILE_LIMIT:
-        rng = np.random.default_rng(n + seed)
-        own = orders(x, x[rng.choice(n, max(8, min(512, 4 * n // FILE_LIMIT + 8)), replace=False)].astype(np.float32), PREFIX)
-        for p in range(int(own.max()) + 1):
-            rows = np.flatnonzero((own[:, :POSTINGS] == p).any(axis=1))
-            if len(rows) == n:  # no pivot tells these apart: compare them in blocks
-                for a in range(0, n, FILE_LIMIT):
-                    yield from _block(ids[a : a + FILE_LIMIT], own[a : a + FILE_LIMIT], x[a : a + FILE_LIMIT], ids, own, x, k, least)
-                return
-            yield from _best_in_file(ids[rows], own[rows], x[rows], k, least, seed + 1)
-        return
-    yield from _block(ids, seen, x, ids, seen, x, k, least)
-
-
-def _block(ids, seen, x, all_ids, all_seen, all_x, k, least) -> Iterator[tuple[np.ndarray, ...]]:
-    near = footrule_nearness(seen, all_seen)
-    near[ids[:, None] == all_ids[None, :]] = -1
-    c = min(RERANK, len(all_ids))
-    cand = np.argpartition(-near, c - 1, axis=1)[:, :c] if c < len(all_ids) else np.tile(np.arange(c), (len(ids), 1))
-    cos = np.einsum("id,icd->ic", x, all_x[cand])
-    cos[np.take_along_axis(near, cand, axis=1) < 0] = -2
-    k = min(k, c)
-    top = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-    best = np.take_along_axis(cos, top, axis=1)
-    i, j = np.nonzero(best >= max(least, -1.5))
-    yield ids[i], all_ids[np.take_along_axis(cand, top, axis=1)[i, j]], best[i, j]
+    own = np.unique(seen[:, : index.prefix], return_inverse=True)[1].reshape(n, -1)
+    own = own.astype(np.uint16 if own.max() < 1 << 16 else np.int32)  # pivots by their place among those of the file
+    cut = max(k + 1, math.ceil(index.share * n))
+    for a in range(0, len(rows), step := max(1, PAIRS // n)):
+        at = rows[a : a + step]
+        cos = x[at] @ x.T
+        if cut < n:
+            near = footrule_nearness(own[at], own)
+            cos[near < np.partition(near, n - cut, axis=1)[:, n - cut, None]] = -2
+        cos[np.arange(len(at)), at] = -2
+        c = min(k, n - 1)
+        top = np.argpartition(-cos, c - 1, axis=1)[:, :c]
+        best = np.take_along_axis(cos, top, axis=1)
+        i, j = np.nonzero(best >= max(least, -1.5))
+        yield ids[at[i]], ids[top[i, j]], best[i, j]
+
+
+def _post(pivots: np.ndarray, dim: int, index: Index):
+    """The postings of (id, embedding, asked)."""
 
-
-def _post(pivots: np.ndarray, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 b = batch.slice(at, 2000)
                 raw = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
                 x = unit(raw)
-                seen = orders(x, pivots, PREFIX)
+                seen = orders(x, pivots, max(index.postings, index.prefix))
                 rounded = np.round(x / np.abs(x).max(axis=1, keepdims=True) * 127).astype(np.int8)
-                m = min(POSTINGS, seen.shape[1])
-                copies = np.repeat(np.arange(len(raw)), m)
+                m = min(index.postings, seen.shape[1])
+                copies = pa.array(np.repeat(np.arange(len(raw)), m))
+                kept = np.ascontiguousarray(seen[:, : index.prefix])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(seen[:, :m].reshape(-1).astype(np.int32)), b.column(0).take(pa.array(copies)),
-                        pa.array([r.tobytes() for r in seen], pa.binary()).take(pa.array(copies)), pa.array([r.tobytes() for r in rounded], pa.binary()).take(pa.array(copies)),
+                        pa.array(seen[:, :m].reshape(-1)), b.column(0).take(copies), b.column(2).take(copies),
+                        pa.array([r.tobytes() for r in kept], pa.binary()).take(copies), pa.array([r.tobytes() for r in rounded], pa.binary()).take(copies),
                     ],
-                    names=["file", "id", "seen", "vec"],
+                    names=["file", "id", "asked", "seen", "vec"],
                 )
 
     return run
 
 
-def _rank(dim: int, k: int, least: float):
-    """Of rows sorted by file: one inverted file at a time."""
+def _rank(dim: int, k: int, least: float, index: Index):
+    """Of rows sorted by file and part: one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(parts: list) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(parts)
             ids, first = np.unique(t.column("id").to_numpy(), return_index=True)
             pick = t.take(pa.array(first))
-            seen = np.frombuffer(b"".join(pick.column("seen").to_pylist()), np.int16).reshape(len(ids), -1)
+            seen = np.frombuffer(b"".join(pick.column("seen").to_pylist()), np.int32).reshape(len(ids), -1)
             x = unit(np.frombuffer(b"".join(pick.column("vec").to_pylist()), np.int8).reshape(-1, dim)).astype(np.float32)
-            for a, b, c in _best_in_file(ids, seen, x, k, least):
+            asked = pick.column("asked").to_numpy()
+            for a, b, c in rank_file(ids, asked, seen, x, k, least, index):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], names=["id", "other", "cosine"])
 
         held: list = []
+        last = None
         for batch in batches:
-            file = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(file)) + 1).tolist(), len(file)]
+            place = batch.column(0).to_numpy().astype(np.int64) << 20 | batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b <= a:
                     continue
-                if held and held[-1].column(0)[0].as_py() != int(file[a]):
+                if held and last != place[a]:
                     yield from emit(held)
                     held = []
+                last = place[a]
                 held.append(batch.slice(a, b - a))
         if held:
             yield from emit(held)
@@ -157,7 +187,7 @@ def _rank(dim: int, k: int, least: float):
 
 
 def sample_pivots(vectors: DataFrame, count: int, n: int) -> np.ndarray:
-    """A bounded sample as unit vectors: the rows with the smallest hash of their id. n: how many rows there are; a
+    """A sample as unit vectors: the rows with the smallest hash of their id. n: how many rows there are; a
     threshold on the hash lets about twice the sample through, so that tasks do not each send a whole sample."""
     h = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 40))
     some = vectors.withColumn("h", h).filter(F.col("h") <= int(min(1.0, (2.0 * count + 50) / n) * (1 << 40)))
@@ -165,38 +195,74 @@ def sample_pivots(vectors: DataFrame, count: int, n: int) -> np.ndarray:
     return unit(np.array([r[0] for r in rows], np.float32)).astype(np.float32)
 
 
-def nearest(df: DataFrame, key: str = "id", vector: str = "embedding", dim: int = 64, k: int = 5, least: float = -1.5, pivots: int | None = None) -> DataFrame:
-    """id, other, cosine: the k most similar others of every vector, of those with a cosine of at least `least`."""
+def _fewest(k: int):
+    """The k + 1 smallest ids of each class in each batch, so that a class with very many copies leaves a task as a few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d = b.to_pandas().sort_values("id")
+            yield pa.RecordBatch.from_pandas(d[d.groupby("rep").cumcount() <= k], preserve_index=False)
+
+    return run
+
+
+def nearest(
+    df: DataFrame, key: str = "id", vector: str = "embedding", dim: int = 64, k: int = 5, least: float = -1.5, pivots: int | None = None, index: Index | None = None,
+    queries: Column | None = None,
+) -> DataFrame:
+    """id, other, cosine: the k most similar others of every vector, of those with a cosine of at least `least`.
+
+    index: NEAR where `least` is 0.8 or more, else FAR. queries: a condition on id; only rows for which it holds are asked for.
+    """
     spark = df.sparkSession
     ship(spark)
+    index = index or (NEAR if least >= 0.8 else FAR)
+    wanted = queries if queries is not None else F.lit(True)
     vectors = usable(df, key, vector, dim)
     hashed = vectors.select("id", F.xxhash64("embedding").alias("h1"), F.xxhash64("embedding", F.lit(5)).alias("h2"))
-    groups = hashed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
+    groups = hashed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.max(wanted).alias("asked"))
     n = groups.count()
     none = spark.createDataFrame([], "id long, other long, cosine double")
     if n == 0:
         return none
-    copied = staged(groups.filter("rep < last").select("h1", "h2", "rep"), "copies")
-    members = staged(hashed.join(copied, ["h1", "h2"]).select("id", "rep").distinct(), "members")
-    reps = vectors.join(members.filter("id <> rep").select("id"), "id", "left_anti")
-    p = sample_pivots(reps, pivots or min(PIVOTS_MOST, max(PIVOTS_LEAST, 4 * math.isqrt(n))), n)
-    posted = reps.mapInArrow(_post(p, dim), POSTING_SCHEMA)
-    found = posted.repartition("file").sortWithinPartitions("file").mapInArrow(_rank(dim, k + SPARE, least - ROUNDING), "id long, other long, cosine float")
+    # Joins of data-sized tables are hinted, as their stored size says little about their rows.
+    copied = staged(groups.filter("rep < last"), "copies")
+    members = staged(hashed.join(copied.hint("merge"), ["h1", "h2"]).select("id", "rep", "asked").distinct(), "members")
+    reps = vectors.join(members.filter("id <> rep").select("id").hint("merge"), "id", "left_anti")
+    if queries is not None:  # a class is asked for if one of its members is
+        reps = reps.join(members.filter("id = rep").select("id", F.col("asked").alias("own")).hint("merge"), "id", "left").select("id", "embedding", F.coalesce("own", wanted).alias("asked"))
+    else:
+        reps = reps.withColumn("asked", F.lit(True))
+    p = sample_pivots(vectors, pivots or max(32, math.ceil(index.pivots * math.sqrt(n))), n)
+    post = lambda rows: rows.select("id", "embedding", "asked").mapInArrow(_post(p, dim, index), POSTING_SCHEMA)
+    # Parts of each file, by a sample of the postings: enough for each to rank some PART vectors. At most as many rows as pivots.
+    sample = post(reps.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(SAMPLED)) == 0))
+    sizes = sample.groupBy("file").agg(F.ceil(F.count("*") * SAMPLED / PART).cast("int").alias("parts")).filter("parts > 1")
+    laid = post(reps).join(F.broadcast(sizes), "file", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    laid = laid.select("file", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", (F.col("asked") & (F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")) == F.col("part"))).alias("asked"), "seen", "vec")
+    found = laid.repartition("file", "part").sortWithinPartitions("file", "part").mapInArrow(_rank(dim, k + SPARE, least - ROUNDING, index), "id long, other long, cosine float")
     rough = staged(_top(found.groupBy("id", "other").agg(F.max("cosine").alias("cosine")), k + SPARE).select("id", "other"), "rough")
     asked = staged(rough.select("id").union(rough.select("other")).distinct(), "asked")
-    read = reps.join(asked, "id", "left_semi").select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    read = read.withColumn("norm", F.sqrt(dot("v", "v")))
-    exact = rough.join(read, "id").join(read.select(F.col("id").alias("other"), F.col("v").alias("w"), F.col("norm").alias("norm_w")), "other")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    read = vectors.join(asked.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).withColumnRenamed("embedding", "v").withColumn("norm", F.sqrt(dot("v", "v")))
+    exact = rough.join(read.hint("merge"), "id").join(read.select(F.col("id").alias("other"), F.col("v").alias("w"), F.col("norm").alias("norm_w")).hint("merge"), "other")
     exact = exact.select("id", "other", (dot("v", "w") / (F.col("norm") * F.col("norm_w"))).alias("cosine")).filter(F.col("cosine") >= least)
     best = _top(exact, k)
     # Copies: each member has what its representative has, and the other members of its class.
     w = W.partitionBy("rep").orderBy("id")
-    few = members.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k + 1).select(F.col("rep"), F.col("id").alias("member"))
-    spread = best.join(members.select(F.col("rep").alias("id"), F.col("id").alias("own")), "id", "left").select(F.coalesce("own", "id").alias("id"), "other", "cosine")
+    few = members.select("rep", "id").mapInArrow(_fewest(k), "rep long, id long")
+    few = few.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k + 1).select(F.col("rep"), F.col("id").alias("member"))
+    mine = members.filter(wanted)
+    spread = best.join(mine.select(F.col("rep").alias("id"), F.col("id").alias("own")), "id", "left").select(F.coalesce("own", "id").alias("id"), "other", "cosine")
     spread = spread.join(few.select(F.col("rep").alias("other"), "member"), "other", "left").select("id", F.coalesce("member", "other").alias("other"), "cosine")
-    inside = members.join(few, "rep").filter("id <> member").select("id", F.col("member").alias("other"), F.lit(1.0).alias("cosine")).filter(F.lit(1.0 >= least))
-    return _top(spread.unionByName(inside), k)
+    inside = mine.join(few, "rep").filter("id <> member").select("id", F.col("member").alias("other"), F.lit(1.0).alias("cosine")).filter(F.lit(1.0 >= least))
+    return _top(spread.unionByName(inside).filter(wanted), k)
+
+
+def search(df: DataFrame, queries: Column, key: str = "id", vector: str = "embedding", dim: int = 64, k: int = 5, index: Index = FAR) -> DataFrame:
+    """id, other, cosine of the k most similar rows of each row for which `queries` (a condition on id) holds, over the
+    same inverted files: only the files of the queries' pivots are looked up."""
+    return nearest(df, key, vector, dim, k, queries=queries, index=index)
 
 
 def _top(df: DataFrame, k: int) -> DataFrame:
@@ -207,80 +273,3 @@ def _top(df: DataFrame, k: int) -> DataFrame:
 def pairs(found: DataFrame) -> DataFrame:
     """id_a < id_b of every pair of which one is among the nearest of the other."""
     return found.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
-
-
-# --- searches of a stated query set -----------------------------------------------------------------------------------
-
-#: Pivots of a search, rows and queries that meet in one task, and the share of rows whose cosine is found.
-SEARCH_PIVOTS, ROWS_BLOCK, QUERIES_BLOCK, RERANK_SHARE = 128, 20_000, 20_000, 0.1
-
-
-def _places(dim: int, pivots: np.ndarray):
-    """id, the place of every pivot in the vector's order, and the vector."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
-            order = np.argsort(-(unit(raw).astype(np.float32) @ pivots.T), axis=1, kind="stable") if len(raw) else np.empty((0, len(pivots)), np.int64)
-            place = np.empty(order.shape, np.uint8)
-            np.put_along_axis(place, order, np.arange(len(pivots), dtype=np.uint8)[None, :].repeat(len(raw), 0), 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in place], pa.binary()), pa.array([r.tobytes() for r in raw], pa.binary())], names=["id", "places", "vec"])
-
-    return run
-
-
-def _search_block(dim: int, k: int):
-    def read(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, first = np.unique(t.column("id").to_numpy(), return_index=True)
-        t = t.take(pa.array(first))
-        places = np.frombuffer(b"".join(t.column("places").to_pylist()), np.uint8).reshape(len(ids), -1)
-        return ids, places, unit(np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float32).reshape(-1, dim))
-
-    def run(key, rows: pa.Table, asked: pa.Table) -> pa.Table:
-        out = []
-        if rows.num_rows and asked.num_rows:
-            ids, places, x = read(rows)
-            q_ids, q_places, q = read(asked)
-            files = np.ascontiguousarray(places.T).astype(np.int16)  # per pivot its inverted file: the place it has in each vector
-            c = min(len(ids), max(20 * k, int(RERANK_SHARE * len(ids))))
-            for a in range(0, len(q_ids), 128):
-                own = q_places[a : a + 128].astype(np.int16)
-                far = np.zeros((len(own), len(ids)), np.int16)
-                for p in range(files.shape[0]):
-                    far += np.abs(files[p][None, :] - own[:, p, None])
-                for i in range(len(own)):
-                    cand = np.argpartition(far[i], c - 1)[:c]
-                    cos = x[cand] @ q[a + i]
-                    cos[ids[cand] == q_ids[a + i]] = -2
-                    top = np.argsort(-cos, kind="stable")[:k]
-                    best = cand[top]
-                    keep = cos[top] > -1.5
-                    out.append((np.full(keep.sum(), q_ids[a + i]), ids[best][keep], cos[top][keep]))
-        ids, other, cos = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        return pa.table({"id": pa.array(ids, pa.int64()), "other": pa.array(other, pa.int64()), "cosine": pa.array(cos, pa.float64())})
-
-    return run
-
-
-def search(df: DataFrame, queries: Column, key: str = "id", vector: str = "embedding", dim: int = 64, k: int = 5) -> DataFrame:
-    """id, other, cosine of the k most similar rows of each row for which `queries` (a condition on id) holds.
-
-    All rows and all queries meet once, in blocks of bounded size: in each, the footrule distance over all pivots is
-    summed up through the pivots' inverted files and its nearest tenth is reranked exactly.
-    """
-    spark = df.sparkSession
-    ship(spark)
-    vectors = usable(df, key, vector, dim)
-    n = vectors.count()
-    if n == 0:
-        return spark.createDataFrame([], "id long, other long, cosine double")
-    p = sample_pivots(vectors, SEARCH_PIVOTS, n)
-    placed = vectors.mapInArrow(_places(dim, p), "id long, places binary, vec binary")
-    asked = placed.filter(queries)
-    rb, qb = -(-n // ROWS_BLOCK), -(-vectors.filter(queries).count() // QUERIES_BLOCK) or 1
-    block = lambda m, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    rows = placed.select("id", "places", "vec", block(rb, 21).alias("rb"), every(qb).alias("qb"))
-    asked = asked.select("id", "places", "vec", every(rb).alias("rb"), block(qb, 22).alias("qb"))
-    found = rows.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInArrow(_search_block(dim, k), "id long, other long, cosine double")
-    return _top(found, k)

@@ -53,6 +53,11 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.pairs(neighbours.nearest(table(spark, sf, "contract_chunk", "id", "embedding"), least=0.9))
 
 
+def p7_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 most similar chunks of every chunk with a usable vector."""
+    return neighbours.nearest(table(spark, sf, "contract_chunk", "id", "embedding")).select("id", "other", F.round("cosine", 6).alias("cosine"))
+
+
 def p7_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The 5 most similar chunks of every chunk whose id is divisible by 50, against all rows."""
     found = neighbours.search(table(spark, sf, "contract_chunk", "id", "embedding"), F.col("id") % 50 == 0)
@@ -88,7 +93,7 @@ def p10_passages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_over_limit": p1_over_limit, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_coverage": p10_coverage, "p10_passages": p10_passages}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_over_limit": p1_over_limit, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs, "p7_found": p7_found, "p7_all": p7_all, "p7_neighbours": p7_neighbours, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_coverage": p10_coverage, "p10_passages": p10_passages}
 
 
 _COST = r"(13 * length(regexp_replace(text, '[^\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}]', '', 'g')) + 7 * length(text))"

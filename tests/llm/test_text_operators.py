@@ -172,18 +172,33 @@ def test_copies_and_unusable(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
-def test_large_files_are_indexed_again():
-    x = neighbours.unit(vectors(7000, clusters=1))
-    ids = np.arange(len(x))
-    seen = np.zeros((len(x), neighbours.PREFIX), np.int16)
-    best = {}
-    for a, b, c in neighbours._best_in_file(ids, seen, x.astype(np.float32), 5, -1.5):
-        for i, j, s in zip(a.tolist(), b.tolist(), c.tolist(), strict=True):
-            best.setdefault(i, {})[j] = s
-    assert set(best) == set(range(len(x)))
-    same = np.ones((7000, 64)) / 8
-    found = list(neighbours._best_in_file(ids, seen, same.astype(np.float32), 5, -1.5))
-    assert sum(len(a) for a, _, _ in found) == 7000 * 5
+def test_a_file_in_parts_is_ranked_as_a_whole(spark, monkeypatch):
+    """One pivot posts all vectors in one file; in parts it gives what it gives as a whole."""
+    x = vectors(600, clusters=1)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, embedding array<float>")
+    whole = neighbours.Index(pivots=1, postings=1, prefix=1, share=1.0)
+    u = neighbours.unit(x)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.argsort(-s[i], kind="stable")[:5]}
+    for part, sampled in ((4096, 64), (50, 1)):
+        monkeypatch.setattr(neighbours, "PART", part)
+        monkeypatch.setattr(neighbours, "SAMPLED", sampled)
+        got = {(r.id, r.other) for r in neighbours.nearest(df, index=whole, pivots=1).collect()}
+        assert len(got & want) >= 0.999 * len(want)
+
+
+def test_a_class_of_very_many_copies(spark):
+    same = [1.0] + [0.0] * 63
+    df = spark.range(20_000).selectExpr("id", "array(%s) AS embedding" % ", ".join(f"cast({v} AS float)" for v in same))
+    got = neighbours.nearest(df).groupBy("id").agg(F.count("*").alias("n"), F.max("other").alias("last")).agg(F.count("*").alias("ids"), F.min("n").alias("n"), F.max("last").alias("last")).first()
+    assert tuple(got) == (20_000, 5, 5)
+
+
+def test_orders_are_exact():
+    x, p = neighbours.unit(vectors(300)), neighbours.unit(vectors(1000, seed=2)).astype(np.float32)
+    want = np.argsort(-(x.astype(np.float32) @ p.T), axis=1, kind="stable")[:, :12]
+    assert (neighbours.orders(x, p, 12) == want).mean() > 0.999 and neighbours.orders(x, p[:5], 12).shape == (300, 5)
 
 
 # --- 8 tokens ---------------------------------------------------------------------------------------------------------
