@@ -22,6 +22,11 @@ def p2_grants(spark: SparkSession, sf: str) -> DataFrame:
     return _flattened(spark, sf).table("rights_grants").withColumnRenamed("record_id", "tmpid")
 
 
+def p2_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Every object of every array: its table, keys, place and fields."""
+    return _flattened(spark, sf).tables().withColumnRenamed("record_id", "tmpid")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return p3_state(spark, sf).select("table_name", "row_id", "id")
 
@@ -72,7 +77,7 @@ FROM x WHERE hi IS NOT NULL
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_grants": p2_grants, "p3_found": p3_found, "p3_state": p3_state, "p4_found": p4_found}
+    return {"p2_found": p2_found, "p2_grants": p2_grants, "p2_tables": p2_tables, "p3_found": p3_found, "p3_state": p3_state, "p4_found": p4_found}
 
 
 def oracle_sql() -> dict[str, str]:

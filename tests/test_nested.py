@@ -1,6 +1,6 @@
 import json
 
-from tessella.operators.nested import canonical, flatten, outer_object, snake
+from tessella.operators.nested import ARRAY_FIELDS, flatten, laid_out, merged, outer_object, renamed, shapes, snake
 
 SCHEMA = "tmpid string, payload string, created_at timestamp"
 
@@ -18,8 +18,51 @@ def test_names():
 
 
 def test_layout():
-    got = canonical({"parties": {"role": "A"}, "evidence": [1, {"targets": None}, None], "pageStart": None, "page_start": 2})
-    assert got == {"parties": [{"role": "A"}], "evidence": [None, {"targets": None}, None], "page_start": "2"}
+    value, found = renamed({"parties": {"role": "A"}, "evidence": [1, {"targets": None}, None], "pageStart": None, "page_start": 2}), set()
+    shapes(value, found)
+    assert laid_out(value, merged(found, ARRAY_FIELDS)) == {"parties": [{"role": "A"}], "evidence": [None, {}, None], "evidence_value": '{"0": 1}', "page_start": "2"}
+
+
+def flat(spark, *docs):
+    df = spark.createDataFrame([(str(i), d if isinstance(d, str) else json.dumps(d), None) for i, d in enumerate(docs)], SCHEMA)
+    return flatten(df, "tmpid", "payload", "created_at")
+
+
+def test_two_places_with_one_path_have_keys_of_their_own(spark):
+    f = flat(spark, {"raw": {"evidence": [{"q": 1, "targets": [{"t": 1}]}]}, "normalized": {"evidence": [{"q": 2, "targets": [{"t": 2}]}]}})
+    assert sorted(r.child_path for r in f.links().collect()) == ["evidence[0]", "evidence[0]/targets[0]"]
+    evidence, targets = {r.row_key: r.q for r in f.table("evidence").collect()}, f.table("targets").collect()
+    assert sorted(evidence.values()) == ["1", "2"] and {r.t: evidence[r.parent_key] for r in targets} == {"1": "1", "2": "2"}
+
+
+def test_arrays_are_inferred_from_the_records(spark):
+    f = flat(spark, {"licences": {"n": 1}}, {"licences": [{"n": 2}, "odd", {"n": 3, "이름": {"값": 4}}]}, {"licences": 7})
+    rows = {(r.record_id, r.ordinal): (r.n, r["이름_값"]) for r in f.table("licences").collect()}
+    assert rows == {("0", 0): ("1", None), ("1", 0): ("2", None), ("1", 2): ("3", "4")}
+    assert {r.record_id: r.rec.licences_value for r in f.typed.collect()} == {"0": None, "1": '{"1": "odd"}', "2": '{"0": 7}'}
+
+
+def test_one_odd_record_hides_nothing_of_the_others(spark):
+    good = {"raw": {"contract": {"parties": [{"name": "x"}]}}}
+    f = flat(spark, good, {"raw": "text"}, {"raw": [1, 2]}, {"raw": {"contract": 5}})
+    assert [(r.record_id, r.name) for r in f.table("parties").collect()] == [("0", "x")]
+    assert {r.record_id: r.rec.raw_value for r in f.typed.collect()} == {"0": None, "1": "text", "2": "[1, 2]", "3": None}
+
+
+def test_json_wrapped_in_strings_six_deep(spark):
+    s = json.dumps({"parties": [{"a": "b"}]})
+    for _ in range(6):
+        s = json.dumps(s)
+    assert flat(spark, s, "[" * 5000 + "{", '{"a":' * 3000 + "1" + "}" * 3000).links().count() == 1
+
+
+def test_every_parent_key_meets_one_row(spark):
+    at = "/root/testdata/sf0.001/extract_result.parquet"
+    f = flatten(spark.read.parquet(at), "tmpid", "payload", "created_at")
+    rows = f.tables().collect()
+    keys = [r.row_key for r in rows]
+    roots = {r.k for r in f.typed.selectExpr("md5(concat_ws('\u0001', record_id, '$')) AS k").collect()}
+    assert rows and len(keys) == len(set(keys)) and all(r.parent_key in roots or r.parent_key in set(keys) for r in rows)
 
 
 def test_tables(spark):
