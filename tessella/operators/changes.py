@@ -8,7 +8,9 @@ tasks can be merged by the same statement. It runs in an embedded DuckDB, first
 rows (a row with a third of all changes leaves the task as a handful of slots) and then once per bucket of rows.
 Deletes stay as tombstones until all slots of a row have met; only then is it decided whether the row exists:
 it does if its last insert or delete is an insert, and its last effective change is that insert or the last update after
-it. Buckets are exported to a staging folder that is renamed to its public name in one step.
+it. There are as many buckets as it takes for each to hold some BUCKET_SLOTS slots, by a count over the whole feed; an
+embedded database that outgrows its memory spills to the executor's own scratch space. All buckets are exported to the
+folder of a new version, which is published by one new pointer file (see `publish`).
 
 Defined results: changes without id, row id, table or valid op are void; the same id counts once (of copies that differ,
 the greatest image); an update before any insert is void; null images set nothing; an empty log gives no rows; other
@@ -17,20 +19,25 @@ columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
+import os
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import fresh_path, ship
+from ..session import delete, fresh_path, ship
 
 SLOT_SCHEMA = "table_name string, row_id long, slot string, seq long, op string, val string"
 STATE_SCHEMA = "table_name string, row_id long, id long, row_image string"
 #: Rows of slots after which a map task hands its state on and begins anew; bounds the memory of an embedded database.
 FLUSH_SLOTS = 400_000
-#: Slots that a bucket should hold.
-BUCKET_SLOTS = 300_000
+#: Slots that a bucket should hold, and versions of a published state that stay readable.
+BUCKET_SLOTS, VERSIONS_KEPT = 300_000, 3
 
 _SCHEMA_ARROW = pa.schema([("table_name", pa.string()), ("row_id", pa.int64()), ("slot", pa.string()), ("seq", pa.int64()), ("op", pa.string()), ("val", pa.string())])
 
@@ -64,15 +71,22 @@ FROM base b LEFT JOIN upd u USING (table_name, row_id) LEFT JOIN cell c USING (t
 """
 
 
+@contextlib.contextmanager
 def _database():
+    """An empty embedded database; what it spills goes to the task's scratch space and is removed with it."""
     import warnings
 
     import duckdb
 
     warnings.filterwarnings("ignore", message="Arrow output")
-    db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
-    db.execute(_DDL)
-    return db
+    scratch = tempfile.mkdtemp(prefix="slots-", dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
+    db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": scratch})
+    try:
+        db.execute(_DDL)
+        yield db
+    finally:
+        db.close()
+        shutil.rmtree(scratch, ignore_errors=True)
 
 
 def _upsert_all(db, batch: pa.RecordBatch) -> None:
@@ -89,18 +103,16 @@ def _upsert_all(db, batch: pa.RecordBatch) -> None:
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The slots of a map task's own rows."""
-    db, held = _database(), 0
-    for batch in batches:
-        _upsert_all(db, batch)
-        held += batch.num_rows
-        if held >= FLUSH_SLOTS:
-            held = db.execute("SELECT count(*) FROM state").fetchone()[0]
-            if held >= FLUSH_SLOTS:
-                yield from _select(db, "SELECT * FROM state", _SCHEMA_ARROW)
-                db.close()
-                db, held = _database(), 0
-    yield from _select(db, "SELECT * FROM state", _SCHEMA_ARROW)
-    db.close()
+    more = True
+    while more:
+        more = False
+        with _database() as db:
+            for batch in batches:
+                _upsert_all(db, batch)
+                if db.execute("SELECT count(*) FROM state").fetchone()[0] >= FLUSH_SLOTS:
+                    more = True
+                    break
+            yield from _select(db, "SELECT * FROM state", _SCHEMA_ARROW)
 
 
 def _select(db, sql: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -111,11 +123,10 @@ def _select(db, sql: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Upsert the slots of one bucket and export the rows that exist at the end."""
     schema = pa.schema([("table_name", pa.string()), ("row_id", pa.int64()), ("id", pa.int64()), ("row_image", pa.string())])
-    db = _database()
-    for batch in batches:
-        _upsert_all(db, batch)
-    yield from _select(db, _EXPORT, schema)
-    db.close()
+    with _database() as db:
+        for batch in batches:
+            _upsert_all(db, batch)
+        yield from _select(db, _EXPORT, schema)
 
 
 def table_key(c: Column) -> Column:
@@ -133,36 +144,57 @@ def valid_changes(log: DataFrame) -> DataFrame:
     ).filter(F.col("table_name").isNotNull() & F.col("row_id").isNotNull() & F.col("seq").isNotNull() & F.col("op").isin("I", "U", "D"))
 
 
+def buckets_for(changes: DataFrame) -> int:
+    """Buckets for valid changes: each change writes a slot of its own and one per column of its image."""
+    columns = F.coalesce(F.size(F.expr("json_object_keys(image)")), F.lit(0))
+    slots = changes.agg(F.sum(F.lit(1) + F.greatest(columns, F.lit(0)))).first()[0] or 0
+    return max(1, -(-slots // BUCKET_SLOTS), changes.sparkSession.sparkContext.defaultParallelism)
+
+
 def final_state(log: DataFrame, buckets: int | None = None) -> DataFrame:
     """Rows that exist after all changes: table_name, row_id, id of the last change that took effect, row_image (JSON)."""
     ship(log.sparkSession)
-    folded = valid_changes(log).mapInArrow(_fold, SLOT_SCHEMA)
-    keys = ["table_name", "row_id"]
-    placed = folded.repartition(buckets, *keys) if buckets else folded.repartition(*keys)
-    return placed.mapInArrow(_buckets, STATE_SCHEMA)
+    valid = valid_changes(log)
+    folded = valid.mapInArrow(_fold, SLOT_SCHEMA)
+    return folded.repartition(buckets or buckets_for(valid), "table_name", "row_id").mapInArrow(_buckets, STATE_SCHEMA)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _pointers(spark: SparkSession, path: str) -> list[str]:
+    """The names of the pointer files, oldest first."""
+    at, fs = _files(spark, f"{path}/_pointers")
+    return sorted(f.getPath().getName() for f in fs.listStatus(at) if not f.getPath().getName().startswith(".")) if fs.exists(at) else []
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The state published last at `path`."""
+    pointers = _pointers(spark, path)
+    if not pointers:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return spark.read.schema(STATE_SCHEMA).parquet(f"{path}/{pointers[-1].partition('-')[2]}")
 
 
 def publish(log: DataFrame, path: str | None = None, buckets: int | None = None) -> DataFrame:
-    """Export every bucket to a staging folder and rename that to `path` in one step; readers see all buckets or none.
+    """Export every bucket to the folder of a new version and publish all at once by a pointer file.
 
-    An earlier version at `path` is set aside first and removed afterwards. Without `path` a new folder is published
-    under the shared folder.
+    A pointer is an empty file whose name holds its number and the name of its version; the highest counts. Making one
+    is a single atomic step on any store, and nothing a reader may be at is moved: the last VERSIONS_KEPT versions stay.
+    Of two publications at a time both are whole, and the one with the higher name counts. Without `path` a new folder
+    is published under the shared folder.
     """
     spark = log.sparkSession
-    path = path or fresh_path(spark, "state")
-    staging, old = fresh_path(spark, "staging"), fresh_path(spark, "replaced")
-    final_state(log, buckets).write.parquet(staging)
-    jvm = spark._jvm
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(at(path).getParent())
-    replaced = fs.exists(at(path))
-    if replaced and not fs.rename(at(path), at(old)):
-        raise OSError(f"cannot set aside {path}")
-    if not fs.rename(at(staging), at(path)):
-        if replaced:
-            fs.rename(at(old), at(path))
-        raise OSError(f"cannot publish {path}")
-    if replaced:
-        fs.delete(at(old), True)
-    return spark.read.schema(STATE_SCHEMA).parquet(path)
+    path = (path or fresh_path(spark, "state")).rstrip("/")
+    version = f"v{uuid.uuid4().hex}"
+    final_state(log, buckets).write.parquet(f"{path}/{version}")
+    before = _pointers(spark, path)
+    pointer, fs = _files(spark, f"{path}/_pointers/{int(before[-1].partition('-')[0]) + 1 if before else 1:012d}-{version}")
+    fs.mkdirs(pointer.getParent())
+    if not fs.createNewFile(pointer):
+        raise OSError(f"cannot publish {pointer}")
+    for old in before[: -(VERSIONS_KEPT - 1)]:
+        delete(spark, f"{path}/_pointers/{old}", f"{path}/{old.partition('-')[2]}")
+    return spark.read.schema(STATE_SCHEMA).parquet(f"{path}/{version}")

@@ -50,3 +50,35 @@ def test_empty_and_void(spark):
     assert changes.final_state(spark.createDataFrame([], SCHEMA)).count() == 0
     void = [(1, "t", 1, "U", None), (2, None, 1, "I", None), (3, "t", None, "I", None), (None, "t", 1, "I", None), (4, "t", 9, "I", "not json")]
     assert [(r.row_id, r.row_image) for r in changes.final_state(spark.createDataFrame(void, SCHEMA)).collect()] == [(9, "{}")]
+
+
+def test_readers_during_publications(spark, tmp_path):
+    """A reader that looks all the time always sees one whole version."""
+    import threading
+
+    path, stop, seen, failed = f"file://{tmp_path}/live", threading.Event(), set(), []
+    feed = lambda n: spark.createDataFrame([(i, "t", i % 50, "I", json.dumps({"n": n})) for i in range(n * 100, n * 100 + 50)], SCHEMA)
+    changes.publish(feed(0), path, 2)
+
+    def read():
+        while not stop.is_set():
+            try:
+                rows = changes.published(spark, path).collect()
+                seen.add((len(rows), len({r.row_image for r in rows})))
+            except Exception as e:  # noqa: BLE001
+                failed.append(e)
+
+    t = threading.Thread(target=read)
+    t.start()
+    for n in range(1, 6):
+        changes.publish(feed(n), path, 2)
+    stop.set()
+    t.join()
+    assert not failed and seen == {(50, 1)}
+    assert {r.row_image for r in changes.published(spark, path).collect()} == {'{"n":5}'} and len(changes._pointers(spark, path)) == changes.VERSIONS_KEPT
+
+
+def test_buckets_follow_the_slots(spark, monkeypatch):
+    monkeypatch.setattr(changes, "BUCKET_SLOTS", 10)
+    df = spark.createDataFrame([(i, "t", i, "I", '{"a":1,"b":2}') for i in range(100)] + [(200 + i, "t", i, "D", None) for i in range(10)], SCHEMA)
+    assert changes.buckets_for(changes.valid_changes(df)) == 31 and changes.final_state(df).count() == 90
