@@ -109,7 +109,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _database() as db:
             for batch in batches:
                 _upsert_all(db, batch)
-                if db.execute("SELECT count(*) FROM state").fetchone()[0] >= FLUSH_SLOTS:
+                if db.execute("SELECT count(*) FROM state").fetchall()[0][0] >= FLUSH_SLOTS:
                     more = True
                     break
             yield from _select(db, "SELECT * FROM state", _SCHEMA_ARROW)

@@ -82,3 +82,24 @@ def test_buckets_follow_the_slots(spark, monkeypatch):
     monkeypatch.setattr(changes, "BUCKET_SLOTS", 10)
     df = spark.createDataFrame([(i, "t", i, "I", '{"a":1,"b":2}') for i in range(100)] + [(200 + i, "t", i, "D", None) for i in range(10)], SCHEMA)
     assert changes.buckets_for(changes.valid_changes(df)) == 31 and changes.final_state(df).count() == 90
+
+
+def test_a_task_of_many_batches(monkeypatch):
+    """A task hands its slots on whenever it holds too many; together they are the slots of all its rows."""
+    import pyarrow as pa
+
+    rows = [("t", i % 300, i, "I" if i % 3 else "U", json.dumps({"a": i})) for i in range(2000)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("table_name", "row_id", "seq", "op", "image"), r, strict=True)) for r in rows[a : a + 100]]) for a in range(0, 2000, 100)]
+    best = lambda parts: {k: max(v) for k, v in _by_slot(parts).items()}
+    whole = best(changes._fold(iter(batches)))
+    monkeypatch.setattr(changes, "FLUSH_SLOTS", 250)
+    parts = list(changes._fold(iter(batches)))
+    assert best(parts) == whole and sum(b.num_rows for b in parts) > len(whole)
+
+
+def _by_slot(parts):
+    out = {}
+    for b in parts:
+        for r in b.to_pylist():
+            out.setdefault((r["table_name"], r["row_id"], r["slot"]), []).append((r["seq"], r["op"], r["val"]))
+    return out
