@@ -10,7 +10,7 @@ what level n still holds. A child carries its own key, its parent's key and its
 record and the full place, plain objects included; the short path, which leaves them out, is a label.
 
 Defined results: a null, cut off or unreadable record (also one nested deeper than the interpreter can follow) has no
-rows; of several records of one id the latest counts (ties: the greatest text); an empty table gives no rows; keys that
+rows; what lies deeper than LEVELS stays JSON text; of several records of one id the latest counts (ties: the greatest text); an empty table gives no rows; keys that
 clash after renaming keep the first value that is not null; fields that clash with the key columns get the prefix ``f_``.
 """
 
@@ -34,6 +34,8 @@ ARRAY_FIELDS = (
     "parties", "rights_grants", "subjects", "definitions", "scope_modifiers", "exceptions", "windows", "payments",
     "installments", "evidence", "targets", "chunks", "issues", "refs",
 )
+#: Levels of objects that become fields; what lies deeper stays JSON text.
+LEVELS = 50
 KEYS = ("record_id", "row_key", "parent_key", "parent_path", "ordinal", "child_path")
 
 _DECODER = json.JSONDecoder()
@@ -72,50 +74,64 @@ def outer_object(text: str | None) -> dict | None:
     return None
 
 
-def renamed(value):
-    """A parsed value with snake_case keys."""
-    if isinstance(value, dict):
-        out: dict = {}
-        for k, v in value.items():
-            name, new = snake(k), renamed(v)
-            if out.get(name) is None:
-                out[name] = new
-        return out
-    return [renamed(x) for x in value] if isinstance(value, list) else value
+# --- the merged schema ------------------------------------------------------------------------------------------------
 
 
-# --- the merged schema ------------------------------------------------------------------------------------------------
+@dataclass
+class Node:
+    """A place of the merged schema. other: the field beside it that keeps values of another kind; raw: the keys below
+    as they are written, with their name and node."""
 
-Shapes = set[tuple[tuple[str, ...], str]]
+    kinds: set[str] = field(default_factory=set)
+    below: dict[str, Node] = field(default_factory=dict)
+    raw: dict[str, tuple[str, Node]] = field(default_factory=dict)
+    kind: str = "object"
+    other: str = ""
 
 
-def shapes(value: dict, out: Shapes, at: tuple[str, ...] = ()) -> None:
-    """The places of a record and what they hold: records (in a list), object, list, scalar."""
+def observed(value: dict, node: Node, depth: int = 1) -> dict:
+    """The record with snake_case keys; what its places hold (records in a list, object, list, scalar) is noted at the node."""
+    out: dict = {}
     for k, v in value.items():
-        here = (*at, k)
+        if depth >= LEVELS and isinstance(v, dict | list):
+            v = json.dumps(v, ensure_ascii=False)
+        known = node.raw.get(k)
+        if known is None:
+            name = snake(k)
+            known = node.raw[k] = name, node.below.setdefault(name, Node())
+        name, n = known
         if isinstance(v, dict):
-            out.add((here, "object"))
-            shapes(v, out, here)
+            n.kinds.add("object")
+            v = observed(v, n, depth + 1)
         elif isinstance(v, list):
-            inner = [x for x in v if isinstance(x, dict)]
-            out.add((here, "records" if inner else "list"))
-            for x in inner:
-                shapes(x, out, here)
+            v, inner = _listed(v, n, depth + 1)
+            n.kinds.add("records" if inner else "list")
         else:
-            out.add((here, "scalar" if v is not None else "null"))
+            n.kinds.add("null" if v is None else "scalar")
+        if out.get(name) is None:
+            out[name] = v
+    return out
 
 
-@dataclass
-class Node:
-    """A place of the merged schema. other: the field beside it that keeps values of another kind."""
+def _listed(items: list, node: Node, depth: int) -> tuple[list, bool]:
+    new, inner = [], False
+    for x in items:
+        if isinstance(x, dict):
+            inner = True
+            x = observed(x, node, depth)
+        new.append(x)
+    return new, inner
 
-    kinds: set[str] = field(default_factory=set)
-    below: dict[str, Node] = field(default_factory=dict)
-    kind: str = "object"
-    other: str = ""
+
+def shapes(node: Node, at: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], str]]:
+    """The places below a node and what they hold."""
+    for name, n in node.below.items():
+        for kind in sorted(n.kinds):
+            yield (*at, name), kind
+        yield from shapes(n, (*at, name))
 
 
-def merged(found: Shapes, known: tuple[str, ...] = ()) -> Node:
+def merged(found: set[tuple[tuple[str, ...], str]], known: tuple[str, ...] = ()) -> Node:
     """The schema that holds every record; `known` names are arrays of records wherever they hold an object or a list."""
     root = Node()
     for place, kind in sorted(found):
@@ -181,7 +197,7 @@ def laid_out(value: dict, node: Node) -> dict:
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """record_id and renamed record; at a task's end, in a row without id, the shapes it has seen."""
-    found: Shapes = set()
+    root = Node()
     for b in batches:
         ids, docs = [], []
         for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -189,14 +205,12 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if value is None:
                 continue
             try:
-                value = renamed(value)
-                shapes(value, found)
-                docs.append(json.dumps(value, ensure_ascii=False).encode("utf-8", "replace").decode())
+                docs.append(json.dumps(observed(value, root), ensure_ascii=False).encode("utf-8", "replace").decode())
                 ids.append(i)
             except RecursionError:
                 continue
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(docs, pa.string())], names=["record_id", "doc"])
-    seen = json.dumps(sorted([list(p), k] for p, k in found))
+    seen = json.dumps([[list(p), k] for p, k in shapes(root)])
     yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([seen], pa.string())], names=["record_id", "doc"])
 
 

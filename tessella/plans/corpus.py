@@ -42,6 +42,24 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+P2_SQL = r"""
+WITH RECURSIVE latest AS (
+  SELECT tmpid, arg_max(coalesce(payload, ''), (created_at, coalesce(payload, ''))) AS p FROM extract_result WHERE tmpid IS NOT NULL GROUP BY tmpid),
+opened AS (
+  SELECT tmpid, trim(p, E' \n\r\t﻿') AS p FROM latest
+  UNION ALL
+  SELECT tmpid, trim(json_extract_string(p, '$'), E' \n\r\t﻿') FROM opened WHERE p LIKE '"%' AND json_valid(p) AND json_type(p) = 'VARCHAR'),
+record AS (SELECT tmpid, regexp_extract(p, '\{.*\}', 0, 's') AS j FROM opened WHERE NOT starts_with(p, '"')),
+object AS (
+  SELECT tmpid, list_transform(string_split(fullkey[3:], '.'), LAMBDA x: lower(regexp_replace(regexp_replace(x, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '-', '_', 'g'))) AS steps
+  FROM (SELECT * FROM record WHERE json_valid(j)) AS r, json_tree(r.j::JSON) AS t WHERE t.type = 'OBJECT' AND fullkey <> '$'),
+named AS (SELECT tmpid, steps[-1] AS own, list_filter(steps, LAMBDA x: regexp_matches(x, '^(NAMES)(\[|$)')) AS steps FROM object),
+placed AS (
+  SELECT DISTINCT tmpid, list_transform(steps, LAMBDA x: CASE WHEN x LIKE '%]' THEN x ELSE x || '[0]' END) AS steps FROM named
+  WHERE regexp_matches(own, '^(NAMES)(\[|$)') AND NOT contains(own, ']['))
+SELECT tmpid, CASE WHEN len(steps) = 1 THEN '$' ELSE array_to_string(steps[:-2], '/') END AS parent_path, array_to_string(steps, '/') AS child_path FROM placed
+""".replace("NAMES", "|".join(nested.ARRAY_FIELDS))
+
 P3_SQL = r"""
 WITH v AS (SELECT DISTINCT regexp_replace(regexp_replace(lower(table_name), '[\s"]+', '', 'g'), '^.*\.', '') AS table_name,
                   row_id, id, upper(trim(op)) AS op
@@ -52,6 +70,19 @@ FROM b LEFT JOIN v ON v.table_name = b.table_name AND v.row_id = b.row_id AND v.
 WHERE b.bop = 'I' GROUP BY b.table_name, b.row_id, b.bid
 """
 
+P3_STATE_SQL = r"""
+WITH v AS (SELECT regexp_replace(regexp_replace(lower(table_name), '[\s"]+', '', 'g'), '^.*\.', '') AS table_name,
+                  row_id, id, upper(trim(op)) AS op, CASE WHEN json_valid(row_image) THEN row_image::JSON END AS j
+           FROM change_log WHERE row_id IS NOT NULL AND upper(trim(op)) IN ('I', 'U', 'D')),
+b AS (SELECT table_name, row_id, max(id) AS bid, arg_max(op, id) AS bop FROM v WHERE op <> 'U' GROUP BY ALL),
+live AS (SELECT table_name, row_id, bid FROM b WHERE bop = 'I'),
+done AS (SELECT l.table_name, l.row_id, max(v.id) AS id FROM live l JOIN v ON v.table_name = l.table_name AND v.row_id = l.row_id AND v.id >= l.bid GROUP BY ALL),
+cell AS (SELECT v.table_name, v.row_id, v.id, unnest(json_keys(v.j)) AS k, v.j FROM live l JOIN v ON v.table_name = l.table_name AND v.row_id = l.row_id AND v.id >= l.bid WHERE json_type(v.j) = 'OBJECT'),
+val AS (SELECT table_name, row_id, k, max({'id': id, 'v': coalesce(json_extract(j, '/' || k)::VARCHAR, 'null')}) AS m FROM cell GROUP BY ALL),
+image AS (SELECT table_name, row_id, '{' || string_agg(to_json(k)::VARCHAR || ':' || m.v, ',' ORDER BY k) || '}' AS row_image FROM val GROUP BY ALL)
+SELECT d.table_name, d.row_id, d.id, coalesce(i.row_image, '{}') AS row_image FROM done d LEFT JOIN image i USING (table_name, row_id)
+"""
+
 P4_SQL = r"""
 WITH g AS (
   SELECT contract_id, content_asset_id, upper(trim(territory)) AS territory,
@@ -81,4 +112,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL, "p4_found": P4_SQL}
+    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p3_state": P3_STATE_SQL, "p4_found": P4_SQL}

@@ -1,6 +1,6 @@
 import json
 
-from tessella.operators.nested import ARRAY_FIELDS, flatten, laid_out, merged, outer_object, renamed, shapes, snake
+from tessella.operators.nested import ARRAY_FIELDS, Node, flatten, laid_out, merged, observed, outer_object, shapes, snake
 
 SCHEMA = "tmpid string, payload string, created_at timestamp"
 
@@ -18,9 +18,9 @@ def test_names():
 
 
 def test_layout():
-    value, found = renamed({"parties": {"role": "A"}, "evidence": [1, {"targets": None}, None], "pageStart": None, "page_start": 2}), set()
-    shapes(value, found)
-    assert laid_out(value, merged(found, ARRAY_FIELDS)) == {"parties": [{"role": "A"}], "evidence": [None, {}, None], "evidence_value": '{"0": 1}', "page_start": "2"}
+    root = Node()
+    value = observed({"parties": {"role": "A"}, "evidence": [1, {"targets": None}, None], "pageStart": None, "page_start": 2}, root)
+    assert laid_out(value, merged(set(shapes(root)), ARRAY_FIELDS)) == {"parties": [{"role": "A"}], "evidence": [None, {}, None], "evidence_value": '{"0": 1}', "page_start": "2"}
 
 
 def flat(spark, *docs):
