@@ -4,8 +4,10 @@ All windows of `length` code points are compared without storing them all. Each
 its substrings of `minimiser` code points; consecutive windows with one minimiser form a super-k-mer, of which only
 (minimiser, record, start, windows) is kept at first. Two records that share a window share its minimiser, so
 super-k-mers whose minimiser occurs in one record only are dropped exactly. The others travel as one packed string to
-the bucket of their minimiser, where the windows are cut and counted by 128-bit digests. A bucket with very many is
-salted by record; its windows are counted over all its tasks.
+the bucket of their minimiser, where the windows are cut and sorted by 128-bit digest and record; a window's records are
+known by their number and two commutative digests of their ids. A bucket is laid out in parts of BUCKET_PART
+super-k-mers by record (nearly always one). Where there are several, each part counts its own windows, the counts are
+merged by window, and every part then reads those of its windows back; windows never travel once per record.
 
 Exact copies of whole records are one class from the start: only its representative is cut into windows, and the copies
 come back in by membership. Windows that stand in the same set of records are represented by one of them before pairs
@@ -21,7 +23,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,9 @@ from pyspark.sql import Window as W
 from ..session import ship, staged
 
 LENGTH, MINIMISER = 200, 96
-#: Super-k-mers of one minimiser that go to one task; beyond, the bucket is salted.
-BUCKET_LIMIT = 2_000
+#: Super-k-mers of a part of a bucket; windows that are sorted at once, if a part has no more; records of a set that one
+#: task pairs with all others of the set.
+BUCKET_PART, BLOCK_WINDOWS, PAIR_PART = 10_000, 400_000, 1_000
 BLOCK_CHARS = 1_000_000
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -123,77 +125,162 @@ def _first_pass(length: int, m: int):
 
 
 RUN_SCHEMA = "group binary, n int, doc_id long, start int, windows int"
+#: Runs, or (doc_id null) what one part knows of a window: its digest, records and their digests.
+COUNT_SCHEMA = RUN_SCHEMA + ", minimiser long, part int, x1 long, x2 long"
 
 
-def _count(length: int, limit: int, aligned: bool = False):
-    """Of packed strings sorted by bucket: runs of windows that stand in one and the same set of records.
-
-    A run has the digest of its set of records, the number of records, its record, start and number of windows. Windows
-    of salted buckets leave one by one, with n = 0 and the digest of the window. If aligned, runs also end where a window has
-    another neighbour in some other place, so that two runs that share a window are the same text.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _id_hashes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        out = []
+        for seed in (0x8CB92BA72F3D8DD7, 0xC2B2AE3D27D4EB4F):
+            x = (ids.astype(np.uint64) + np.uint64(seed)) * _MULT
+            x ^= x >> np.uint64(30)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(27)
+            x *= np.uint64(0x94D049BB133111EB)
+            out.append(x ^ (x >> np.uint64(31)))
+    return out[0], out[1]
+
+
+class Windows:
+    """The windows of packed strings, sorted by digest and record. Arrays with a place per occurrence (in the order of
+    the strings): row, window; per window: digest, n (records), x1, x2 (exclusive or of the digests of their ids)."""
+
+    def __init__(self, ids: np.ndarray, packed: list[str], length: int) -> None:
         import xxhash
 
         digest = xxhash.xxh3_128_digest
+        counts = np.array([len(s) - length + 1 for s in packed], np.int64)
+        raw = b"".join(digest(s[k : k + length].encode("utf-8", "surrogatepass")) for s in packed for k in range(len(s) - length + 1))
+        keys = np.frombuffer(raw, np.dtype([("a", "<u8"), ("b", "<u8")]))
+        self.row = np.repeat(np.arange(len(packed)), counts)
+        self.place = np.arange(len(self.row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        doc = ids[self.row]
+        self.order = order = np.lexsort((doc, keys["b"], keys["a"]))
+        sorted_keys, sorted_doc = keys[order], doc[order]
+        new = np.ones(len(order), bool)
+        new[1:] = sorted_keys[1:] != sorted_keys[:-1]
+        once = new.copy()  # one occurrence of each window and record
+        once[1:] |= sorted_doc[1:] != sorted_doc[:-1]
+        self.first = np.flatnonzero(new)
+        self.window = np.empty(len(order), np.int64)
+        self.window[order] = np.cumsum(new) - 1
+        h1, h2 = (np.where(once, h, np.uint64(0)) for h in _id_hashes(sorted_doc))
+        self.digest = sorted_keys[self.first]
+        self.n = np.add.reduceat(once.astype(np.int64), self.first) if len(order) else np.empty(0, np.int64)
+        self.x1 = np.bitwise_xor.reduceat(h1, self.first) if len(order) else h1
+        self.x2 = np.bitwise_xor.reduceat(h2, self.first) if len(order) else h2
+
+    def forks(self) -> np.ndarray:
+        """Windows at which runs begin that are the same text: those with another neighbour in some other place, and
+        those after a window with different followers."""
+        same_row = np.zeros(len(self.row), bool)
+        same_row[1:] = self.row[1:] == self.row[:-1]
+        before = np.where(same_row, np.roll(self.window, 1), -1)
+        after = np.where(np.roll(same_row, -1), np.roll(self.window, -1), -1)
+        differ = lambda x: np.minimum.reduceat(x[self.order], self.first) != np.maximum.reduceat(x[self.order], self.first)
+        out = differ(before)
+        ends = differ(after)
+        out[self.window[1:][same_row[1:] & ends[self.window[:-1]]]] = True
+        return out
+
+    def runs(self, ids: np.ndarray, start: np.ndarray, fork: np.ndarray | None) -> pa.RecordBatch:
+        """Runs of windows that stand in one and the same set of at least two records."""
+        n, x1, x2 = self.n[self.window], self.x1[self.window], self.x2[self.window]
+        new = np.ones(len(self.row), bool)
+        new[1:] = (self.row[1:] != self.row[:-1]) | (n[1:] != n[:-1]) | (x1[1:] != x1[:-1]) | (x2[1:] != x2[:-1])
+        if fork is not None:
+            new |= fork[self.window]
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, len(new)))
+        shared = n[at] > 1
+        at, size = at[shared], size[shared]
+        row = self.row[at]
+        return _batch(_set_names(x1[at], x2[at]), n[at], ids[row], start[row] + self.place[at], size)
+
+
+def _set_names(x1: np.ndarray, x2: np.ndarray) -> pa.Array:
+    return _binary(np.ascontiguousarray(np.stack([x1, x2], axis=1).astype("<u8")).view(np.uint8).reshape(-1, 16))
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+
+
+def _batch(group: pa.Array, n, doc_id, start, windows, minimiser=None, part=None, x1=None, x2=None) -> pa.RecordBatch:
+    def col(x, t):
+        return pa.nulls(len(group), t) if x is None else pa.array(np.asarray(x)).cast(t)
+
+    return pa.RecordBatch.from_arrays(
+        [group, col(n, pa.int32()), col(doc_id, pa.int64()), col(start, pa.int32()), col(windows, pa.int32()), col(minimiser, pa.int64()), col(part, pa.int32()), col(x1, pa.int64()), col(x2, pa.int64())],
+        names=["group", "n", "doc_id", "start", "windows", "minimiser", "part", "x1", "x2"],
+    )
+
+
+def _count(length: int, aligned: bool = False):
+    """Of packed strings sorted by bucket and part: the runs of whole buckets, and what parts know of their windows."""
+
+    def closed(minimiser: np.ndarray, parts: np.ndarray, part: np.ndarray, ids: np.ndarray, start: np.ndarray, packed: list[str]) -> Iterator[pa.RecordBatch]:
+        whole = np.flatnonzero(parts == 1)
+        if len(whole):
+            w = Windows(ids[whole], [packed[i] for i in whole], length)
+            yield w.runs(ids[whole], start[whole], w.forks() if aligned else None)
+        if len(whole) < len(packed):
+            rest = np.flatnonzero(parts > 1)
+            for at in np.split(rest, np.flatnonzero((np.diff(minimiser[rest]) != 0) | (np.diff(part[rest]) != 0)) + 1):
+                w = Windows(ids[at], [packed[i] for i in at], length)
+                names = _binary(np.ascontiguousarray(w.digest).view(np.uint8).reshape(-1, 16))
+                k = len(w.n)
+                yield _batch(names, w.n, None, None, None, np.full(k, minimiser[at[0]]), np.full(k, part[at[0]]), w.x1.view(np.int64), w.x2.view(np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def block(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            c = {n: t.column(n) for n in t.column_names}
+            yield from closed(*(c[n].to_numpy() for n in ("minimiser", "parts", "part", "doc_id", "start")), c["packed"].to_pylist())
 
-        def cut(s: str) -> list[bytes]:
-            return [digest(s[k : k + length].encode("utf-8", "surrogatepass")) for k in range(len(s) - length + 1)]
-
-        def closed(group: list[tuple]) -> list[tuple]:
-            cuts = [cut(s) for _, _, s in group]
-            records: dict[bytes, set] = {}
-            for (i, _, _), keys in zip(group, cuts, strict=True):
-                for key in keys:
-                    records.setdefault(key, set()).add(i)
-            before: dict[bytes, bytes | None] = {}
-            forks: set[bytes] = set()  # windows at which runs begin
-            if aligned:
-                after: dict[bytes, bytes | None] = {}
-                ends: set[bytes] = set()
-                for keys in cuts:
-                    for p, key, q in zip([None, *keys[:-1]], keys, [*keys[1:], None], strict=True):
-                        if before.setdefault(key, p) != p:
-                            forks.add(key)
-                        if after.setdefault(key, q) != q:
-                            ends.add(key)
-                for keys in cuts:
-                    forks.update(q for p, q in zip(keys[:-1], keys[1:], strict=True) if p in ends)
-            names: dict[frozenset, bytes] = {}
-            rows = []
-            for (i, start, _), keys in zip(group, cuts, strict=True):
-                last, at = None, 0
-                for k, key in enumerate([*keys, None]):
-                    now = records[key] if key is not None else None
-                    if key in forks or now is not last and now != last:
-                        if last is not None and len(last) > 1:
-                            f = frozenset(last)
-                            if f not in names:
-                                names[f] = digest(",".join(map(str, sorted(f))).encode())
-                            rows.append((names[f], len(f), i, start + at, k - at))
-                        last, at = now, k
-            return rows
-
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=["group", "n", "doc_id", "start", "windows"])
-
-        bucket, group = None, []
         for b in batches:
-            rows: list[tuple] = []
-            for v, n, i, start, s in zip(*(b[c].tolist() for c in ("minimiser", "n", "doc_id", "start", "packed")), strict=True):
-                if n > limit:
-                    rows += [(key, 0, i, start + k, 1) for k, key in enumerate(cut(s))]
-                    continue
-                if v != bucket and group:
-                    rows += closed(group)
-                    group = []
-                bucket = v
-                group.append((i, start, s))
-            if rows:
-                yield frame(rows)
-        if group:
-            yield frame(closed(group))
+            if not b.num_rows:
+                continue
+            held.append(b)
+            size += int(np.sum(b.column("windows").to_numpy()))
+            if size >= BLOCK_WINDOWS:  # all but the last bucket, which may go on, is complete
+                t = pa.Table.from_batches(held).combine_chunks()
+                key = t.column("minimiser").to_numpy(), t.column("part").to_numpy()
+                cut = int(np.flatnonzero((key[0] != key[0][-1]) | (key[1] != key[1][-1]))[-1]) + 1 if (key[0] != key[0][-1]).any() or (key[1] != key[1][-1]).any() else 0
+                if cut:
+                    yield from block(t.slice(0, cut))
+                rest = t.slice(cut)
+                held = rest.to_batches()
+                size = 0 if cut == 0 else int(np.sum(rest.column("windows").to_numpy()))
+        if held:
+            yield from block(pa.Table.from_batches(held))
+
+    return run
+
+
+def _join_parts(length: int, aligned: bool):
+    """The runs of one part of a bucket, given what all parts together know of its windows."""
+
+    def run(_key, packed: pa.Table, known: pa.Table) -> pa.Table:
+        ids, start = packed.column("doc_id").to_numpy(), packed.column("start").to_numpy()
+        w = Windows(ids, packed.column("packed").to_pylist(), length)
+        w.n, w.x1, w.x2 = np.ones_like(w.n), np.zeros_like(w.x1), np.zeros_like(w.x2)
+        if known.num_rows:
+            keys = np.frombuffer(b"".join(known.column("group").to_pylist()), w.digest.dtype)
+            order = np.argsort(keys, order=("a", "b"))
+            at = np.searchsorted(keys[order], w.digest)
+            at = order[np.minimum(at, len(order) - 1)]
+            hit = keys[at] == w.digest
+            for name, column in (("n", "n"), ("x1", "x1"), ("x2", "x2")):
+                values = known.column(column).to_numpy()[at]
+                own = getattr(w, name)
+                own[hit] = values[hit].astype(np.int64).view(own.dtype)
+        # Neighbours in other parts are not known here, so that aligned runs are single windows.
+        found = w.runs(ids, start, np.ones(len(w.n), bool) if aligned else None)
+        return pa.Table.from_batches([found]).select(["group", "n", "doc_id", "start", "windows"])
 
     return run
 
@@ -201,7 +288,7 @@ def _count(length: int, limit: int, aligned: bool = False):
 class SharedSpans:
     """Spans of at least `length` code points that stand in more than one record."""
 
-    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, minimiser: int = MINIMISER, bucket_limit: int = BUCKET_LIMIT, aligned: bool = False) -> None:
+    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, minimiser: int = MINIMISER, bucket_part: int = BUCKET_PART, aligned: bool = False) -> None:
         spark = docs.sparkSession
         ship(spark)
         self.length = length
@@ -220,35 +307,58 @@ class SharedSpans:
         shared = kmers.groupBy("minimiser").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).filter("a < b").select("minimiser", "n")
         kept = staged(kmers.join(shared, "minimiser"), "kept")
         holders = staged(kept.select("doc_id").distinct(), "holders")
-        packed = (
-            reps.join(holders, "doc_id", "left_semi")
-            .join(kept, "doc_id")
-            .select("minimiser", "n", "doc_id", "start", F.expr(f"substring(text, start + 1, windows + {length - 1})").alias("packed"))
-        )
-        salt = F.when(F.col("n") > bucket_limit, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / bucket_limit))).otherwise(F.lit(0))
-        placed = packed.repartition("minimiser", salt).sortWithinPartitions("minimiser")
-        self.counted = staged(placed.mapInPandas(_count(length, bucket_limit, aligned), RUN_SCHEMA), "counted")
+        own = reps.join(holders, "doc_id", "left_semi")
+
+        def packed(rows: DataFrame) -> DataFrame:
+            parts = F.ceil(F.col("n") / bucket_part).cast("int")
+            cut = own.join(rows, "doc_id").select(
+                "minimiser", parts.alias("parts"), F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"), "doc_id", "start", "windows",
+                F.expr(f"substring(text, start + 1, windows + {length - 1})").alias("packed"),
+            )
+            return cut.repartition("minimiser", "part")
+
+        placed = packed(kept).sortWithinPartitions("minimiser", "part")
+        counted = staged(placed.mapInArrow(_count(length, aligned), COUNT_SCHEMA), "counted")
+        # Buckets in several parts: what the parts know of a window is merged and given back to those that hold it.
+        each = counted.filter("doc_id IS NULL").groupBy("minimiser", "group").agg(F.sum("n").alias("n"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"), F.collect_list("part").alias("parts"))
+        known = each.filter("n > 1").select("minimiser", "group", "n", "x1", "x2", F.explode("parts").alias("part"))
+        large = packed(kept.filter(F.col("n") > bucket_part))
+        late = large.groupBy("minimiser", "part").cogroup(known.groupBy("minimiser", "part")).applyInArrow(_join_parts(length, aligned), RUN_SCHEMA)
+        self.counted = counted.filter("doc_id IS NOT NULL").select("group", "n", "doc_id", "start", "windows").unionByName(staged(late, "late"))
 
     def runs(self) -> DataFrame:
         """Runs of windows with the set of records they stand in: group, n (records), doc_id, start, windows."""
-        open_ = self.counted.filter("n = 0")
-        sets = open_.select("group", "doc_id").distinct().groupBy("group").agg(
-            F.count("*").cast("int").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64("doc_id", F.lit(7)).cast("decimal(38,0)")).alias("s2"),
-        ).filter("n > 1")
-        named = sets.select("group", "n", F.unhex(F.md5(F.concat_ws(",", "n", "s1", "s2"))).alias("set"))
-        late = open_.drop("n").join(named, "group").select(F.col("set").alias("group"), "n", "doc_id", "start", "windows")
-        return self.counted.filter("n > 1").unionByName(late)
+        return self.counted
+
+    def classes(self) -> DataFrame:
+        """Exact copies: doc_id and the representative of its class (records without copies are their own and left out)."""
+        return self.members
+
+    def links(self) -> DataFrame:
+        """a < b of every two representatives that share a span; with `classes` this says what `pairs` spells out."""
+        # A set of very many records is paired in parts: each part of it meets the whole set.
+        parts = F.ceil(F.col("n") / PAIR_PART).cast("int")
+        held = self.runs().select("group", "n", "doc_id").distinct()
+        a = held.select("group", F.col("doc_id").alias("a"), F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"))
+        b = held.select("group", F.col("doc_id").alias("b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        links = a.join(b.hint("merge"), ["group", "part"]).filter("a < b").select("a", "b").distinct()
+        return links
+
+    def _inside(self) -> DataFrame:
+        """x < y of every two copies of one class; a class with very many is paired in parts."""
+        m = self.members
+        parts = m.groupBy("rep").agg(F.ceil(F.count("*") / PAIR_PART).cast("int").alias("parts"))
+        m = m.join(parts, "rep")
+        x = m.select("rep", F.col("doc_id").alias("x"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
+        y = m.select("rep", F.col("doc_id").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        return x.join(y.hint("merge"), ["rep", "part"]).filter("x < y").select("x", "y")
 
     def pairs(self) -> DataFrame:
         """doc_id_a < doc_id_b of every two records that share a span."""
-        held = self.runs().select("group", "doc_id").distinct()
-        a, b = held.withColumnRenamed("doc_id", "a"), held.withColumnRenamed("doc_id", "b")
-        links = a.join(b, "group").filter("a < b").select("a", "b").distinct()
-        m = self.members
+        m, links = self.members, self.links()
         links = links.join(m.select(F.col("rep").alias("a"), F.col("doc_id").alias("ma")), "a", "left").join(m.select(F.col("rep").alias("b"), F.col("doc_id").alias("mb")), "b", "left")
         links = links.select(F.coalesce("ma", "a").alias("x"), F.coalesce("mb", "b").alias("y"))
-        inside = m.select("rep", F.col("doc_id").alias("x")).join(m.select("rep", F.col("doc_id").alias("y")), "rep").filter("x < y").select("x", "y")
-        return links.unionByName(inside).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
+        return links.unionByName(self._inside()).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
     def passages(self) -> DataFrame:
         """Each longest passage that two records have in common: doc_id_a < doc_id_b, start_a, start_b, length.
@@ -273,7 +383,7 @@ class SharedSpans:
         found = found.join(m.select(F.col("rep").alias("a"), F.col("doc_id").alias("ma")), "a", "left").join(m.select(F.col("rep").alias("b"), F.col("doc_id").alias("mb")), "b", "left")
         found = found.select(F.coalesce("ma", "a").alias("x"), F.coalesce("mb", "b").alias("y"), "start_a", "start_b", "length")
         sizes = self.docs.select(F.col("doc_id").alias("x"), F.char_length("text").alias("length")).distinct()
-        inside = m.select("rep", F.col("doc_id").alias("x")).join(m.select("rep", F.col("doc_id").alias("y")), "rep").filter("x < y").join(sizes, "x")
+        inside = self._inside().join(sizes, "x")
         both = found.unionByName(inside.select("x", "y", F.lit(0).alias("start_a"), F.lit(0).alias("start_b"), "length"))
         ends = lambda p, q: F.when(F.col("x") < F.col("y"), F.col(p)).otherwise(F.col(q))
         return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), ends("start_a", "start_b").alias("start_a"), ends("start_b", "start_a").alias("start_b"), "length")

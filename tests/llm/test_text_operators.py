@@ -292,7 +292,7 @@ def test_spans_against_brute_force(spark, limit):
     docs = [(i, "".join(rnd.choice(long)[rnd.randint(0, 30) :] for _ in range(rnd.randint(1, 4)))) for i in range(60)]
     docs += [(100, "a" * 300), (101, "a" * 80), (102, None), (103, ""), (104, "short")] + [(200 + k, long[0] + long[1]) for k in range(5)]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS group", "2 AS start")
-    s = spans.SharedSpans(df, length=60, minimiser=25, bucket_limit=limit)
+    s = spans.SharedSpans(df, length=60, minimiser=25, bucket_part=limit)
     assert {tuple(r) for r in s.pairs().collect()} == brute_pairs(docs, 60)
     shared = {}
     for i, t in docs:

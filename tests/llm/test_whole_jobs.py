@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import queries, scans, spans
 
@@ -57,7 +58,7 @@ def test_passages_against_brute_force(spark, limit):
     docs = [(i, "".join(rnd.choice(long)[rnd.randint(0, 30) :] for _ in range(rnd.randint(1, 3)))) for i in range(25)]
     docs += [(200 + k, long[0] + long[1]) for k in range(3)] + [(300 + k, "only copies " * 3 + long[2][::-1]) for k in range(2)] + [(9, ""), (400, "short")][1:]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = [tuple(r) for r in spans.SharedSpans(df, length=60, minimiser=25, bucket_limit=limit, aligned=True).passages().collect()]
+    got = [tuple(r) for r in spans.SharedSpans(df, length=60, minimiser=25, bucket_part=limit, aligned=True).passages().collect()]
     assert len(got) == len(set(got)) and set(got) == brute_passages(docs, 60)
 
 
@@ -68,3 +69,14 @@ def test_coverage_of_every_document(spark, tmp_path):
     got = {r.doc_id: (r.n_chars, r.shared_chars, r.shared_share) for r in queries.p10_coverage(spark, str(tmp_path)).collect()}
     assert got == {1: (256, 256, 1.0), 2: (256, 256, 1.0), 3: (201, 200, 0.995025), 4: (5, 0, 0.0), 5: (0, 0, 0.0), 6: (0, 0, 0.0)}
     assert {tuple(r) for r in queries.p10_passages(spark, str(tmp_path)).collect()} == {(1, 2, 0, 0, 256), (1, 3, 0, 1, 200), (2, 3, 0, 1, 200)}
+
+
+def test_one_clause_in_very_many_records(spark):
+    """Ten thousand records with one clause: one set of records, in one part of its buckets and in twenty."""
+    clause = "".join(map(chr, range(0x4E00, 0x4E00 + 260)))
+    df = spark.range(10_000).selectExpr("id AS doc_id", f"concat('no ', id, ' {clause} end ', id * 7) AS text")
+    for part in (spans.BUCKET_PART, 500):
+        s = spans.SharedSpans(df, bucket_part=part)
+        runs = s.runs().filter("n = 10000").agg(F.countDistinct("group").alias("sets"), F.countDistinct("doc_id").alias("docs")).first()
+        assert tuple(runs) == (1, 10_000)
+    assert s.links().filter("a < 3 and b < 5").count() == 9
