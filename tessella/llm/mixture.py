@@ -20,6 +20,7 @@ share); shares that do not sum to 1 are scaled; an empty corpus or no targets gi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,21 +87,39 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def _log_choose(n: int, k: int) -> float:
+    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
+    """How many of `take` things drawn without replacement are good, for numbers of any size.
+
+    The distribution is log-concave, so a flat middle with exponential tails, scaled by the probability of its mode,
+    lies above it (Devroye 1987, "A simple generator for discrete log-concave distributions")."""
+    low, high = max(0, take - bad), min(good, take)
+    if low == high:
+        return low
+    mode = (take + 1) * (good + 1) // (good + bad + 2)
+    log = lambda x: _log_choose(good, x) + _log_choose(bad, take - x)
+    at_mode = log(mode)
+    p = math.exp(at_mode - _log_choose(good + bad, take))
+    flat = 1 + p / 2
+    while True:
+        y = rng.random() * flat / p if rng.random() <= flat / (1 + flat) else (flat + rng.standard_exponential()) / p
+        x = mode + (math.floor(y + 0.5) if rng.random() < 0.5 else -math.floor(y + 0.5))
+        if low <= x <= high and math.log(rng.random() or 1e-300) + min(0.0, flat - p * y) <= log(x) - at_mode:
+            return x
+
+
 def _draw(counts: np.ndarray, take: int, seed: tuple) -> np.ndarray:
-    """How many of `take` slots drawn without replacement fall to each source."""
-    total = int(counts.sum())
-    if take <= 0 or total == 0:
-        return np.zeros_like(counts)
-    if take >= total:
-        return counts.copy()
-    rng = np.random.default_rng(seed)
-    if total < 10**9:
-        return rng.multivariate_hypergeometric(counts, take, method="marginals")
-    exact = counts * (take / total)  # the deviation of a draw is far below the size of a half
-    out = np.floor(exact).astype(np.int64)
-    order = np.argsort(out - exact, kind="stable")
-    out[order[: take - int(out.sum())]] += 1
-    return np.minimum(out, counts)
+    """How many of `take` slots drawn without replacement fall to each source: one source after the other, given those before."""
+    rng, out = np.random.default_rng(seed), np.zeros_like(counts)
+    rest, left = int(counts.sum()), min(take, int(counts.sum()))
+    for i, n in enumerate(counts.tolist()):
+        rest -= n
+        out[i] = hypergeometric(rng, n, rest, left)
+        left -= int(out[i])
+    return out
 
 
 def shard_counts(totals: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import queries, scans, spans
+from tessella.llm import mixture, queries, scans, spans
 
 
 def test_confusions_are_learned_from_the_corpus(spark):
@@ -80,3 +81,23 @@ def test_one_clause_in_very_many_records(spark):
         runs = s.runs().filter("n = 10000").agg(F.countDistinct("group").alias("sets"), F.countDistinct("doc_id").alias("docs")).first()
         assert tuple(runs) == (1, 10_000)
     assert s.links().filter("a < 3 and b < 5").count() == 9
+
+
+def test_draws_follow_the_distribution():
+    rng = np.random.default_rng(4)
+    for good, bad, take in ((5, 7, 4), (30, 3, 20), (1, 9, 5), (400, 800, 300), (10**10, 3 * 10**10, 2 * 10**10)):
+        got = np.array([mixture.hypergeometric(rng, good, bad, take) for _ in range(4000)], float)
+        mean, total = take * good / (good + bad), good + bad
+        var = mean * (bad / total) * ((total - take) / (total - 1))
+        assert abs(got.mean() - mean) < 5 * (var / 4000) ** 0.5 and 0.9 < got.var() / var < 1.1
+        assert got.min() >= max(0, take - bad) and got.max() <= min(good, take)
+
+
+def test_shards_of_ten_billion_slots():
+    """The same random draw at any size: other seeds give other counts, and shards add up to the totals."""
+    totals = np.array([7 * 10**9, 2 * 10**9, 10**9 - 5, 5], np.int64)
+    parts = [mixture.shard_counts(totals, 64, s, 3) for s in range(64)]
+    assert (sum(h for h, _ in parts) == totals).all() and all((parts[i][1] + parts[i][0] == parts[i + 1][1]).all() for i in range(63))
+    assert any((mixture.shard_counts(totals, 64, s, 4)[0] != parts[s][0]).any() for s in range(3))
+    size = np.array([h.sum() for h, _ in parts])
+    assert size.max() - size.min() <= 1
