@@ -1,24 +1,28 @@
 """Repairing text from scanned pages (problem 6).
 
-Heads: lines that look like a head (a title, a word for the document, a number) are counted by contract generation; the
-document words of lines that recur on the pages of their generation are learned from the corpus, and a line whose document
-word is one of them, or nearly so, is a head. Page numbers: lines, or ends of heads, that hold nothing but a number in
-one of the usual dresses, when the number is one of the pages of the chunk. With both taken out, lines are joined.
+Heads and feet: the lines that can stand at the edge of a page (the first and last of a chunk, and any of a chunk that goes
+over a page) are compared fuzzily within their contract generation: without page number, and with any one word left
+out, so that a misread word does no harm. A line that recurs so at a good share of the generation's page breaks is a
+head or foot. What stands on one page only is one too if it is nearly the generation's own recurring line or, in a
+generation without any, if it holds a word and a shape of number that the corpus shows in a good share of all recurring
+heads. Page numbers: edge lines that hold nothing but a number in one of the usual dresses, when the number is one of
+the pages of the chunk; bare numbers only where they stand at a good share of the generation's page breaks. Nothing is
+taken out of the middle of a page. With heads and numbers taken out, lines are joined.
 A mark at a line's end is a hyphenation if the two halves make a word of the corpus, else it stays. A word is misread if
 folding commonly confused characters makes it equal to a word that the corpus has far more often.
 
-Confusions are the fixed ones below and those the corpus shows. Words that differ in one place (one character, or two
+Confusions are those the corpus shows. Words that differ in one place (one character, or two
 Latin letters for one) from a word far more frequent are joined by a key with that place left out; each counts for the
-right word that looks most like it (by a fixed confusion; by fewest differing jamo; by the nearest ideograph, as these
+right word that looks most like it (by fewest differing jamo; by the nearest ideograph, as these
 stand in order of radical and strokes). A confusion is learned if few pairs of words that it joins are about equally
 frequent and its wrong words stand in the generations that have heads or page numbers far more than their right words do: a
 rare word of the language stands in scans and other texts alike. Where all generations are scans, or none is known to be
 one, many different words must show it.
 
 The vocabulary (word, count, count in scanned generations) is aggregated over all chunks, before and after the shuffle; it
-is never collected or broadcast. Only the learned confusions (pairs of characters) and document words reach the driver, of
-these at most WORDS_MOST, most frequent
-first: they are fixed expressions, and a head without one of them has no form that could be told from the clause.
+is never collected or broadcast. Only the learned confusions (pairs of characters) and the words and shapes of numbers that
+at least WORD_SHARE of all generations with heads have in them reach the driver (a head has a few dozen words at most, so
+these are a few hundred at most).
 
 Defined results: null and empty texts have no findings and no paragraphs; repeated rows count once; with a null page_start
 any page up to page_end may be meant, without any page only dressed numbers count; an empty table gives no rows; other columns are ignored.
@@ -35,26 +39,20 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship, spread, staged
 from .lookalike import INVISIBLE, mapping
 
-#: Learned words for documents that are kept at most, and the share of recurring lines that makes a word one.
-WORDS_MOST, RECURRING = 1000, 0.25
+#: Share of a generation's page breaks at which a line recurs that is a head or foot, or a bare number a page number; share
+#: of the corpus's heads that makes a word or shape one of heads; likeness of a line to the head of its generation.
+HEAD_SHARE, NUMBER_SHARE, WORD_SHARE, ALIKE = 0.6, 0.4, 0.03, 0.75
 #: How often more than a misread form its right form must stand in the corpus, and how often at least.
 DOMINANCE, COMMON = 4, 3
 #: To learn a confusion: occurrences of a right word at least; different words that show it, or occurrences in scans and how
 #: much more often its wrong words stand in scans than their right words.
 LEARN_FROM, KINDS, IN_SCANS, SCAN_ODDS = 12, 5, 5, 3
 
-# Characters that recognition puts in place of others (wrong, right).
-CONFUSED_PAIRS = "rnm cld vvw"
-CONFUSED = (
-    "ce 5s 0o 1l bh "
-    "륵록 옹용 익의 샤사 릭락 게계 믹막 럭력 "
-    "緑録 杳査 紛約 折用 和知 合台 而面 矜務 訐許 栽裁 未末 土士 曰日 曹書 問間 間聞 莱業 刺剌 徴微 祖租"
-)
-
 _MARK = "-‐¬­"
 # Signs that stand for a letter within a word, or before one.
 _SIGN = "!|$@"
@@ -62,13 +60,9 @@ _MORE = rf"(?:[{_SIGN}]{{1,2}}[A-Za-zÀ-ɏ0-9]*[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ0-9]*)*"
 _LAST_HALF = re.compile(rf"([A-Za-zÀ-ɏ0-9{_SIGN}]*[A-Za-zÀ-ɏ])[{_MARK}]\s*$")
 _FIRST_HALF = re.compile(rf"\s*([!|]?[a-zà-ɏ0-9]*[a-zà-ɏ][A-Za-zà-ɏ0-9]*{_MORE})")
 _WORD = re.compile(rf"(?:(?<![^\s(“\"'])[!|](?=[a-zà-ɏ]))?[A-Za-zÀ-ɏ0-9]*[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ0-9]*{_MORE}|[가-힣]+|[一-鿿々]+")
-_HEAD = re.compile(
-    r"^\s*(?P<before>(?:[-\[〔(<]*\s*(?:page|p\.)?\s*\d{1,4}\s*[\])〕>-]*\s{2,})?)(?P<title>\S.*?)\s+(?P<type>\S+)\s+(?P<no>(?=(?:\S*\d){5})[0-9A-Za-z]{2,7}-?[0-9A-Za-z]{2,6})"
-    r"(?P<after>(?:\s*[(（].{1,30}[)）]|\s+[—–-]+\s+\S.{0,30}|)(?:\s+[-\[〔(]*\s*(?:page|p\.)?\s*\d{1,4}(?:\s*(?:/|of)\s*\d{1,4})?\s*[\])〕-]*)?)\s*$",
-    re.IGNORECASE,
-)
-_TAIL_NUMBER = re.compile(r"\s(?:[-\[〔(]*\s*)(?:page|p\.)?\s*(\d{1,4})(?:\s*(?:/|of)\s*\d{1,4})?\s*[\])〕-]*\s*$", re.IGNORECASE)
-_PAGE = re.compile(r"^\s*(?P<left>[-–—\[〔(（<|]*\s*(?:page|p\.?|pg\.?|第)?\s*)(?P<n>\d{1,4})(?P<right>\s*(?:(?:/|of)\s*\d{1,4})?\s*(?:쪽|頁|ページ|페이지|면)?\s*[-–—\]〕)）>|]*)\s*$", re.IGNORECASE)
+_DRESSED = r"[-–—\[〔(（<|]*\s*(?:page|p\.?|pg\.?|第|제)?\s*(\d{1,4})\s*(?:(?:/|of)\s*\d{1,4})?\s*(?:쪽|頁|ページ|페이지|면)?\s*[-–—\]〕)）>|]*"
+_EDGE_NUMBER = re.compile(rf"^\s*{_DRESSED}\s{{2,}}(?=\S)|\s+{_DRESSED}\s*$", re.IGNORECASE)
+_PAGE = re.compile(r"^\s*(?P<left>[-–—\[〔(（<|]*\s*(?:page|p\.?|pg\.?|第|제)?\s*)(?P<n>\d{1,4})(?P<right>\s*(?:(?:/|of)\s*\d{1,4})?\s*(?:쪽|頁|ページ|페이지|면)?\s*[-–—\]〕)）>|]*)\s*$", re.IGNORECASE)
 _SENTENCE_END = re.compile(r"[.。．!?！？:：][”’\"'」』)）]*\s*$")
 _TITLE_LINE = re.compile(r"^\s*(?:article|section|clause|schedule|제\s*\d+|第\s*\d+|별표|付属|附属).{0,60}$", re.IGNORECASE)
 _CJK_EDGE = re.compile(r"[぀-ヿ㐀-鿿、。「」『』（）0-9A-Z,\-]$"), re.compile(r"^[぀-ヿ㐀-鿿、。「」『』（）0-9A-Z,\-]")
@@ -93,7 +87,7 @@ Learned = tuple[tuple[str, str], ...]
 @lru_cache(maxsize=8)
 def _confusions(learned: Learned = ()) -> tuple[tuple[tuple[str, str], ...], dict[int, str], re.Pattern]:
     """Two characters that are one, one for all that are confused, and what a misread word contains."""
-    both = [*((x[:2], x[2]) for x in CONFUSED_PAIRS.split()), *((x[0], x[1]) for x in CONFUSED.split()), *learned]
+    both = learned
     pairs = tuple(dict.fromkeys((a, b) if len(a) == 2 else (b, a) for a, b in both if len(a) + len(b) == 3))
     root: dict[str, str] = {}
 
@@ -105,7 +99,7 @@ def _confusions(learned: Learned = ()) -> tuple[tuple[tuple[str, str], ...], dic
     for a, b in both:
         if len(a) == len(b) == 1 and top(a) != top(b):
             root[top(a)] = top(b)
-    return pairs, {ord(c): top(c) for c in root}, re.compile("|".join(sorted({re.escape(a) for a, _ in both}, key=len, reverse=True)))
+    return pairs, {ord(c): top(c) for c in root}, re.compile("|".join(sorted({re.escape(a) for a, _ in both}, key=len, reverse=True)) or r"(?!)")
 
 
 @lru_cache(maxsize=200_000)
@@ -128,9 +122,8 @@ def _places(words: DataFrame, keep: dict[str, str]) -> DataFrame:
 def _unlike() -> str:
     """How much the characters of a confusion differ in look (SQL over a and b)."""
     x, y = "(ascii(a) - 44032)", "(ascii(b) - 44032)"
-    known = ", ".join(f"'{x[:-1]}>{x[-1]}'" for x in (CONFUSED_PAIRS + " " + CONFUSED).split())
     jamo = " + ".join(f"CAST({f.format(x)} <> {f.format(y)} AS INT)" for f in ("{} div 588", "{} % 588 div 28", "{} % 28"))
-    return f"CASE WHEN concat(a, '>', b) IN ({known}) THEN -1 WHEN length(a) + length(b) > 2 THEN 1 WHEN ascii(a) BETWEEN 44032 AND 55203 THEN {jamo} WHEN ascii(a) >= 12288 THEN abs(ascii(a) - ascii(b)) ELSE 0 END"
+    return f"CASE WHEN length(a) + length(b) > 2 THEN 1 WHEN ascii(a) BETWEEN 44032 AND 55203 THEN {jamo} WHEN ascii(a) >= 12288 THEN abs(ascii(a) - ascii(b)) ELSE 0 END"
 
 
 def learn(vocabulary: DataFrame) -> Learned:
@@ -142,38 +135,53 @@ def learn(vocabulary: DataFrame) -> Learned:
     )
     pairs = staged(both.select("w", "n", "s", "r", "m", "rs", "a", "b", F.expr(f"m >= {DOMINANCE} * n").alias("far"), F.expr(_unlike()).alias("unlike")), "confused")
     equal = pairs.filter("NOT far").groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.count("*").alias("equal"))
-    one = pairs.filter("far").groupBy("w").agg(F.min(F.struct("unlike", -F.col("m"), "r", "a", "b", "n", "s", "m", "rs")).alias("p")).select("p.*")
+    far = pairs.filter("far")  # of confusions that look alike, the one that more words show
+    far = far.join(far.groupBy("a", "b").agg(F.count("*").alias("support")), ["a", "b"])
+    one = far.groupBy("w").agg(F.min(F.struct("unlike", -F.col("support"), -F.col("m"), "r", "a", "b", "n", "s", "m", "rs")).alias("p")).select("p.*")
     shown = one.groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "s", "m", "rs")), F.count("*").alias("kinds"), F.max("unlike").alias("unlike"))
     shown = shown.join(equal, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left").na.fill(0, ["equal"])
-    scanned = f"s >= {IN_SCANS} AND s * (m - rs) >= {SCAN_ODDS} * (n - s) * rs AND (ascii(a) NOT BETWEEN 44032 AND 55203 OR unlike < 2)"
+    scanned = f"s >= {IN_SCANS} AND s * (m - rs) >= {SCAN_ODDS} * (n - s) * rs AND (ascii(a) NOT BETWEEN 44032 AND 55203 OR unlike < 2 OR unlike = 2 AND kinds >= 2 AND s >= {2 * IN_SCANS} AND s * (m - rs) >= {4 * SCAN_ODDS} * (n - s) * rs)"
     kept = shown.filter(f"IF(rs > 0 AND m > rs, {scanned}, kinds >= {KINDS}) AND {KINDS} * equal <= kinds")
     return tuple(sorted((r.a, r.b) for r in kept.select("a", "b").collect()))
 
 
-def head_of(line: str) -> re.Match | None:
-    if not 8 <= len(line) <= 140 or re.search(r"[。、，,;；]", line):
-        return None
-    return _HEAD.match(line)
+def core(line: str) -> tuple[str, int | None]:
+    """A line without the page number at its edge, and that number."""
+    m = _EDGE_NUMBER.search(line)
+    if m is None:
+        return line.strip(), None
+    return (line[: m.start()] + line[m.end() :]).strip(), int(m[1] or m[2])
 
 
-def document_word(token: str) -> str:
-    return re.sub(r"[^\w]+|\d+", "", token).casefold()
+def shape(token: str) -> str:
+    """Digits as '#', other letters as 'A'."""
+    return "".join("#" if c.isdigit() else "A" if c.isalpha() else c for c in token)
 
 
-def is_head(m: re.Match | None, words: tuple[str, ...]) -> bool:
-    """Is the line's document word a learned one, or one with a character lost or misread?"""
-    if m is None:
-        return False
-    own = document_word(m["type"])
-    return bool(own) and (own in words or any(abs(len(own) - len(w)) <= 2 and SequenceMatcher(None, own, w, autojunk=False).ratio() >= 0.72 for w in words if len(w) > 2))
+def is_word(token: str) -> bool:
+    return len(token) > 1 and not any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
 
 
-def runs_together(line: str, words: tuple[str, ...]) -> bool:
-    """Is the line a head in which recognition lost a blank: a learned word with the number right behind it?"""
-    if not 8 <= len(line) <= 140 or re.search(r"[。、，,;；]", line):
-        return False
-    bare = re.sub(r"\s+", "", line).casefold()
-    return any((k := bare.find(w)) > 0 and re.match(r"(?=(?:\S*\d){5})[0-9a-z]{2,7}-?[0-9a-z]{2,7}(?:[(（—-].*)?$", bare[k + len(w):]) for w in words)
+def near(a: str, b: str, least: float) -> bool:
+    return a == b or abs(len(a) - len(b)) <= 0.4 * max(len(a), len(b)) and SequenceMatcher(None, a, b, autojunk=False).ratio() >= least
+
+
+def looks_like_heads(line: str, words: tuple[str, ...], shapes: tuple[str, ...]) -> bool:
+    """Does the line hold a word of heads and end in a number of their shape, perhaps with a character lost or misread?"""
+    tokens = re.sub(r"[()（）]", " ", line).casefold().split()
+    for k, t in enumerate(tokens):
+        if not is_word(t):
+            continue
+        if k and any(near(t, w, 0.72) for w in words) and any(near(shape(x), y, 0.65) for x in tokens[k + 1 : k + 3] for y in shapes):
+            return True
+    squashed = "".join(tokens)  # a blank may be lost
+    return any((k := squashed.find(w)) > 0 and near(shape(squashed[k + len(w) :]), y, 0.65) for w in words for y in shapes)
+
+
+def same_head(line: str, head: str) -> bool:
+    """Is the line the head, with some characters misread or a blank lost or won? A line with words of its own is not."""
+    a, b = line.casefold(), head.casefold()
+    return abs(len(a.split()) - len(b.split())) <= 2 and abs(len("".join(a.split())) - len("".join(b.split()))) <= 3 and near("".join(a.split()), "".join(b.split()), ALIKE)
 
 
 def page_of(line: str, pages: tuple[int, int, int] | None, before: str) -> bool:
@@ -187,35 +195,18 @@ def page_of(line: str, pages: tuple[int, int, int] | None, before: str) -> bool:
     return pages[2 if dressed else 0] <= int(m["n"]) <= pages[1] and (dressed or not before.rstrip().endswith((":", "：")))
 
 
+def page_range(start: int | None, end: int | None) -> tuple[int, int, int] | None:
+    """First and last page of a chunk, and the first possible one if the first is not known; None without any."""
+    if start is None:  # a clause without its first page may begin on an earlier one
+        return None if end is None else (end - 1, end, 1)
+    return start, max(start, end if end is not None else start), start
+
+
 class Page:
-    """What stands in one chunk: which lines are heads or page numbers, where words are broken, and its words."""
-
-    def __init__(self, text: str, start: int | None, end: int | None, words: tuple[str, ...]) -> None:
-        if start is None:  # a clause without its first page may begin on an earlier one
-            pages = None if end is None else (end - 1, end, 1)
-        else:
-            pages = (start, max(start, end if end is not None else start), start)
-        self.head = self.number = False
-        self.lines: list[str] = []
-        previous = ""
-        for line in plain(text).split("\n"):
-            m = head_of(line)
-            if is_head(m, words):
-                self.head = True
-                t = _TAIL_NUMBER.search(m["after"]) if m["after"] else None
-                n = t.group(1) if t else m["before"].strip("-[]〔〕()<> ").removeprefix("Page").removeprefix("p.").strip() or None
-                if n and (pages is None or pages[2] <= int(n) <= pages[1]):
-                    self.number = True
-            elif runs_together(line, words):
-                self.head = True
-                n = re.search(r"\s(\d{1,4})\s*$", line)
-                if n and (pages is None or pages[2] <= int(n[1]) <= pages[1]):
-                    self.number = True
-            elif page_of(line, pages, previous):
-                self.number = True
-            else:
-                self.lines.append(line)
-            previous = line
+    """What is left of one chunk without the lines of its pages (heads, feet, numbers): its lines, where words are broken, and its words."""
+
+    def __init__(self, text: str, gone: set[int]) -> None:
+        self.lines: list[str] = [line for k, line in enumerate(plain(text).split("\n")) if k not in gone]
         self.broken: list[tuple[int, str]] = []  # line, the word its last half makes with the next line's first
         for i, (a, b) in enumerate(zip(self.lines[:-1], self.lines[1:], strict=True)):
             if (x := _LAST_HALF.search(a)) and (y := _FIRST_HALF.match(b)):
@@ -252,44 +243,59 @@ class Page:
         return [p for p in out if p.strip()]
 
 
-def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for h, i, t in zip(b["grp"].tolist(), b["id"].tolist(), b["t"].tolist(), strict=True):
-            for line in plain(t).split("\n"):
-                m = head_of(line)
-                if m and (w := document_word(m["type"])):
-                    rows.append((h, i, w, re.sub(r"\s+", " ", m["title"]).casefold()))
-        yield pd.DataFrame(rows, columns=["grp", "id", "word", "title"])
+_LINES = "grp long, id long, line int, breaks int, text string, number int, kind string, keys array<string>"
 
 
-def head_words(chunks: DataFrame) -> tuple[str, ...]:
-    """Words for documents whose lines recur within their contract generation."""
-    lines = chunks.mapInPandas(_heads, "grp long, id long, word string, title string").distinct()
-    n = lines.groupBy("grp", "word", "title").agg(F.count("*").alias("n"))
-    rate = n.groupBy("word").agg(F.sum("n").alias("lines"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("again"))
-    return tuple(r[0] for r in rate.filter((F.col("again") >= 2) & (F.col("again") >= RECURRING * F.col("lines"))).orderBy(F.desc("again"), "word").limit(WORDS_MOST).select("word").collect())
+def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The lines of each chunk that can stand at the edge of a page, with the keys by which they are compared, and a row
+    (line -1) with the number of its page breaks. kind: line, bare (nothing but a number) or dressed."""
+    for b in batches:
+        rows: list[tuple] = []
+        for g, i, t, p, q in zip(b["grp"].tolist(), b["id"].tolist(), b["t"].tolist(), b["p"].tolist(), b["q"].tolist(), strict=True):
+            pages = page_range(None if p < 0 else int(p), None if q < 0 else int(q))
+            breaks = 0 if pages is None or p < 0 else pages[1] - pages[0]
+            rows.append((g, i, -1, breaks, "", -1, "breaks", []))
+            lines = plain(t).split("\n")
+            over = pages is None or pages[1] > pages[2]
+            for k, line in enumerate(lines):
+                edge = over or k == 0 and len(lines) > 1 or k == len(lines) - 1 and k > 1  # a line stays in any case
+                if m := _PAGE.match(line):
+                    kind = "dressed" if m["left"].strip() or m["right"].strip() else "bare"
+                    if (edge or kind == "dressed") and page_of(line, pages, lines[k - 1] if k else ""):
+                        rows.append((g, i, k, 0, line, int(m["n"]), kind, ["#" + kind]))
+                    continue
+                if not edge or not line.strip() or len(line) > 300 or _LAST_HALF.search(line) or _SENTENCE_END.search(line) or _TITLE_LINE.match(line) or re.search(r"[,、，;；]\s*$", line):
+                    continue
+                text, n = core(line)
+                tokens = text.casefold().split()
+                if sum(map(len, tokens)) < 4:
+                    continue
+                if n is not None and pages is not None and not pages[2] <= n <= pages[1]:
+                    n = None
+                keys = [" ".join(tokens)]
+                if len(tokens) <= 12:  # a number that is another is no misread word
+                    keys += [key for j, x in enumerate(tokens) if is_word(x) and len(re.findall(r"\w", key := " ".join([*tokens[:j], "*", *tokens[j + 1 :]]))) >= 6]
+                rows.append((g, i, k, 0, text, -1 if n is None else n, "line", keys))
+        yield pd.DataFrame(rows, columns=["grp", "id", "line", "breaks", "text", "number", "kind", "keys"])
 
 
 _FACTS = "tag string, id long, grp long, words array<string>"
 
 
-def _facts(words: tuple[str, ...]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows: list[tuple] = []
-            for i, g, t, p, q in zip(b["id"].tolist(), b["grp"].tolist(), b["t"].tolist(), b["p"].tolist(), b["q"].tolist(), strict=True):
-                page = Page(t, None if p < 0 else int(p), None if q < 0 else int(q), words)
-                if page.head:
-                    rows.append(("running_head", i, g, None))
-                if page.number:
-                    rows.append(("page_number", i, g, None))
-                if page.broken:
-                    rows.append(("broken", i, g, sorted({w for _, w in page.broken})))
-                rows.append(("words", i, g, _WORD.findall("\n".join(page.joined()))))
-            yield pd.DataFrame(rows, columns=["tag", "id", "grp", "words"])
+def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows: list[tuple] = []
+        for i, g, t, gone in zip(b["id"].tolist(), b["grp"].tolist(), b["t"].tolist(), b["gone"].tolist(), strict=True):
+            page = Page(t, set() if gone is None else set(map(int, gone)))
+            if page.broken:
+                rows.append(("broken", i, g, sorted({w for _, w in page.broken})))
+            rows.append(("words", i, g, _WORD.findall("\n".join(page.joined()))))
+        yield pd.DataFrame(rows, columns=["tag", "id", "grp", "words"])
+
 
-    return run
+@F.pandas_udf(T.BooleanType())
+def _same_head(line: pd.Series, head: pd.Series) -> pd.Series:
+    return pd.Series([same_head(a, b) for a, b in zip(line, head, strict=True)], dtype=bool)
 
 
 class Scans:
@@ -298,9 +304,11 @@ class Scans:
         n = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(-1))
         self.chunks = chunks.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(group).cast("long"), F.lit(-1)).alias("grp"), F.col(text).alias("t"), n(start).alias("p"), n(end).alias("q"))
         self.chunks = spread(self.chunks.filter(F.col("id").isNotNull() & F.col("t").isNotNull()))
-        self.words = head_words(self.chunks.select("grp", "id", "t"))
-        self.facts = staged(self.chunks.mapInPandas(_facts(self.words), _FACTS), "facts")
-        scans = self.facts.filter("tag IN ('running_head', 'page_number')").select("grp", F.lit(1).alias("scan")).distinct()
+        self.lines = staged(self.chunks.mapInPandas(_edges, _LINES), "lines")
+        self.marks = staged(self._marks(), "marks")
+        self.gone = self.marks.groupBy("id").agg(F.collect_set("line").alias("gone"))
+        self.facts = staged(self._without_edges().mapInPandas(_facts, _FACTS), "facts", by=("tag",))
+        scans = self.marks.select("grp", F.lit(1).alias("scan")).distinct()
         own = self.facts.filter("tag = 'words'").join(scans, "grp", "left").select(F.explode("words").alias("word"), F.coalesce("scan", F.lit(0)).alias("scan"))
         counted = staged(own.groupBy("word").agg(F.count("*").alias("n"), F.sum("scan").alias("scans")), "counted")
         self.learned = learned = learn(counted)
@@ -313,6 +321,43 @@ class Scans:
         self.vocabulary = staged(counted.select("word", fold("word").alias("fold"), "n"), "vocabulary")
         self.best = self.vocabulary.groupBy("fold").agg(F.max(F.struct("n", "word")).alias("m")).select("fold", F.col("m.word").alias("best"), F.col("m.n").alias("best_n"))
 
+    def _without_edges(self) -> DataFrame:
+        """Each chunk once, with the numbers of the lines that its pages added."""
+        return self.chunks.join(self.gone.hint("merge"), "id", "left").dropDuplicates(["id"])
+
+    def _marks(self) -> DataFrame:
+        """grp, id, line, kind, number: the lines that pages added (running_head, page_number)."""
+        lines = self.lines.distinct()  # repeated rows count once
+        breaks = lines.filter("kind = 'breaks'").groupBy("grp").agg(F.greatest(F.sum("breaks"), F.lit(1)).alias("all_breaks"))
+        keyed = lines.filter("kind <> 'breaks'").select("grp", "id", "line", "text", "number", "kind", F.explode("keys").alias("key"))
+        counts = keyed.groupBy("grp", "key", "kind").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.max("text").alias("text")).join(breaks, "grp")
+        recurring = staged(counts.filter(f"kind = 'line' AND a < b AND n >= {HEAD_SHARE} * all_breaks AND (n > 2 OR NOT contains(key, '*')) OR kind = 'dressed' OR kind = 'bare' AND n >= {NUMBER_SHARE} * all_breaks"), "recurring")
+        found = keyed.join(recurring.select("grp", "key"), ["grp", "key"], "left_semi").select("grp", "id", "line", "text", "number", "kind").distinct()
+        found = staged(found, "found")
+        heads = found.filter("kind = 'line'")
+        # Words and shapes that many generations' heads have in them.
+        tokens = heads.select("grp", F.explode(F.split(F.lower(F.regexp_replace("text", "[()（）]", " ")), r"\s+")).alias("token")).filter("token <> ''")
+        masks = F.regexp_replace(F.regexp_replace("token", r"\p{L}", "A"), r"\p{Nd}", "#")
+        tokens = tokens.select("grp", F.when(F.col("token").rlike(r"\p{Nd}"), masks).otherwise(F.col("token")).alias("token"), F.col("token").rlike(r"\p{Nd}").alias("coded")).distinct()
+        least = WORD_SHARE * heads.select("grp").distinct().count()
+        common = tokens.groupBy("token", "coded").agg(F.count("*").alias("n")).filter(F.col("n") >= F.greatest(F.lit(least), F.lit(2))).collect()
+        self.words = tuple(sorted(r.token for r in common if not r.coded and is_word(r.token)))
+        self.shapes = shapes = tuple(sorted(r.token for r in common if r.coded and len(r.token) > 2))
+        words = self.words
+
+        @F.pandas_udf("boolean")
+        def like_heads(line: pd.Series) -> pd.Series:
+            return line.map(lambda x: looks_like_heads(x, words, shapes)).astype(bool)
+
+        # Lines on one page only: nearly the head of their generation, or, without one, like the heads of the corpus.
+        head = heads.groupBy("grp", "text").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max(F.struct("n", "text")).alias("m")).select("grp", F.col("m.text").alias("head"))
+        single = lines.filter("kind = 'line'").select("grp", "id", "line", "text", "number", "kind").join(found.select("id", "line"), ["id", "line"], "left_anti").join(head, "grp", "left")
+        near_head = single.filter("head IS NOT NULL").filter(_same_head("text", "head"))
+        alone = single.filter("head IS NULL").filter(like_heads("text"))
+        cols = ["grp", "id", "line", "number", "kind"]
+        every = found.select(*cols).unionByName(near_head.select(*cols)).unionByName(alone.select(*cols))
+        return every.select("grp", "id", "line", F.when(F.col("kind") == "line", "running_head").otherwise("page_number").alias("kind"), (F.col("number") >= 0).alias("numbered"))
+
     def misread(self) -> DataFrame:
         """id, word, best: misread words of each chunk and what they should be."""
         suspect = _confusions(self.learned)[2].pattern
@@ -329,25 +374,24 @@ class Scans:
 
     def found(self) -> DataFrame:
         """id, kind: what page and scan added to each chunk."""
-        lines = self.facts.filter("tag in ('running_head', 'page_number')").select("id", F.col("tag").alias("kind"))
+        lines = self.marks.select("id", "kind").unionByName(self.marks.filter("numbered").select("id", F.lit("page_number").alias("kind")))
         hyphens = self.mended().select("id", F.lit("hyphenation").alias("kind"))
         return lines.unionByName(hyphens).unionByName(self.misread().select("id", F.lit("misread").alias("kind"))).distinct()
 
     def paragraphs(self) -> DataFrame:
         """id, paragraph_no, paragraph: the clause as continuous paragraphs."""
-        words = self.words
         fixes = self.misread().select("id", F.struct("word", "best").alias("fix")).groupBy("id").agg(F.collect_list("fix").alias("fixes"))
         joins = self.mended().groupBy("id").agg(F.collect_set("word").alias("joins"))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 rows = []
-                for i, t, p, q, fix, join in zip(b["id"].tolist(), b["t"].tolist(), b["p"].tolist(), b["q"].tolist(), b["fixes"].tolist(), b["joins"].tolist(), strict=True):
+                for i, t, gone, fix, join in zip(b["id"].tolist(), b["t"].tolist(), b["gone"].tolist(), b["fixes"].tolist(), b["joins"].tolist(), strict=True):
                     right = {f["word"]: f["best"] for f in fix} if fix is not None else {}
-                    page = Page(t, None if p < 0 else int(p), None if q < 0 else int(q), words)
+                    page = Page(t, set() if gone is None else set(map(int, gone)))
                     for k, par in enumerate(page.joined(set(join) if join is not None else set())):
                         rows.append((i, k, _WORD.sub(lambda m, r=right: r.get(m.group(), m.group()), par) if right else par))
                 yield pd.DataFrame(rows, columns=["id", "paragraph_no", "paragraph"])
 
-        one = self.chunks.dropDuplicates(["id"]).join(fixes, "id", "left").join(joins, "id", "left")
-        return one.select("id", "t", "p", "q", "fixes", "joins").mapInPandas(run, "id long, paragraph_no int, paragraph string")
+        one = self._without_edges().join(fixes.hint("merge"), "id", "left").join(joins.hint("merge"), "id", "left")
+        return one.select("id", "t", "gone", "fixes", "joins").mapInPandas(run, "id long, paragraph_no int, paragraph string")

@@ -101,3 +101,42 @@ def test_shards_of_ten_billion_slots():
     assert any((mixture.shard_counts(totals, 64, s, 4)[0] != parts[s][0]).any() for s in range(3))
     size = np.array([h.sum() for h, _ in parts])
     assert size.max() - size.min() <= 1
+
+
+def found_in(spark, rows):
+    df = spark.createDataFrame(rows, "id long, contract_history_id long, chunk_text string, page_start int, page_end int")
+    s = scans.Scans(df)
+    text = {}
+    for r in s.paragraphs().orderBy("id", "paragraph_no").collect():
+        text.setdefault(r.id, []).append(r.paragraph)
+    return {(r.id, r.kind) for r in s.found().collect()}, text
+
+
+@pytest.mark.parametrize("head", ["Silver Yard licence No. 12", "SILVER YARD - LICENCE AGREEMENT", "Confidential - Do not distribute", "깊은 나루터 이용허락 계약서"])
+def test_heads_of_any_form(spark, head):
+    """A line that recurs at the page breaks is a head, whatever it says; misread once, it still is."""
+    lines = ["alpha beta gamma", "delta epsilon", "zeta eta theta", "iota kappa", "lambda mu nu", "xi omicron"]
+    rows = [(i, 1, f"Article {i} (Records)\nThe {a} is kept\n{head if i != 3 else head.replace('e', 'c', 1)}\nby the {a} owner.", i + 20, i + 21) for i, a in enumerate(lines, 1)]
+    got, text = found_in(spark, rows)
+    assert {i for i, kind in got if kind == "running_head"} == set(range(1, 7))
+    assert text[1] == ["Article 1 (Records)", "The alpha beta gamma is kept by the alpha beta gamma owner."]
+
+
+def test_nothing_is_taken_from_within_a_page(spark):
+    head = "Silver Yard licence T12345-6789"
+    rows = [(i, 1, f"The clause no {i} is\n{head}  {i + 1}\nkept for {i * 37} days.", i, i + 1) for i in range(1, 7)]
+    rows += [(10, 1, f"Payment follows\nthe amended {head}\nas it stands.", 3, 4), (11, 1, f"Payment under\n{head}\nis due.", 3, 3)]
+    rows += [(12, 1, "Number of copies to deliver\n2\nto the licensor", 2, 2), (13, 1, "Number of copies to deliver\n3\nto the licensor", 2, 3)]
+    got, text = found_in(spark, rows)
+    assert {i for i, _ in got} == set(range(1, 7)) and {k for _, k in got} == {"running_head", "page_number"}
+    assert text[10] == [f"Payment follows the amended {head} as it stands."] and text[11] == [f"Payment under {head} is due."]
+    assert text[12] == ["Number of copies to deliver 2 to the licensor"] and text[13] == ["Number of copies to deliver 3 to the licensor"]
+
+
+def test_feet_and_bare_numbers(spark):
+    names = ["", "alpha beta gamma", "delta epsilon", "zeta eta theta", "iota kappa"]
+    rows = [(i, 1, f"The {names[i]} is\n{i}\nkept for {i * 37} days.", i, i + 1) for i in range(1, 5)]
+    rows += [(20 + i, 2, f"The {names[i]}\nis kept for {i * 37} days.\nPrinted by the office", i, i) for i in range(1, 5)]
+    got, text = found_in(spark, rows)
+    assert got == {(i, "page_number") for i in range(1, 5)} | {(i, "running_head") for i in range(21, 25)}
+    assert text[1] == ["The alpha beta gamma is kept for 37 days."] and text[21] == ["The alpha beta gamma is kept for 37 days."]
