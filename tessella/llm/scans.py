@@ -299,7 +299,8 @@ def _same_head(line: pd.Series, head: pd.Series) -> pd.Series:
 
 
 class Scans:
-    def __init__(self, chunks: DataFrame, key: str = "id", group: str = "contract_history_id", text: str = "chunk_text", start: str = "page_start", end: str = "page_end") -> None:
+    def __init__(self, chunks: DataFrame, key: str = "id", group: str = "contract_history_id", text: str = "chunk_text", start: str = "page_start", end: str = "page_end", known: Learned = ()) -> None:
+        """known: confusions (wrong, right) of the scanner that are known beforehand, in addition to the learned ones."""
         ship(chunks.sparkSession)
         n = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(-1))
         self.chunks = chunks.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(group).cast("long"), F.lit(-1)).alias("grp"), F.col(text).alias("t"), n(start).alias("p"), n(end).alias("q"))
@@ -311,7 +312,7 @@ class Scans:
         scans = self.marks.select("grp", F.lit(1).alias("scan")).distinct()
         own = self.facts.filter("tag = 'words'").join(scans, "grp", "left").select(F.explode("words").alias("word"), F.coalesce("scan", F.lit(0)).alias("scan"))
         counted = staged(own.groupBy("word").agg(F.count("*").alias("n"), F.sum("scan").alias("scans")), "counted")
-        self.learned = learned = learn(counted)
+        self.learned = learned = tuple(dict.fromkeys((*known, *learn(counted))))
 
         @F.pandas_udf("string")
         def fold(w: pd.Series) -> pd.Series:
