@@ -162,6 +162,7 @@ def is_word(token: str) -> bool:
     return len(token) > 1 and not any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
 
 
+@lru_cache(maxsize=200_000)
 def near(a: str, b: str, least: float) -> bool:
     return a == b or abs(len(a) - len(b)) <= 0.4 * max(len(a), len(b)) and SequenceMatcher(None, a, b, autojunk=False).ratio() >= least
 
@@ -170,18 +171,19 @@ def looks_like_heads(line: str, words: tuple[str, ...], shapes: tuple[str, ...])
     """Does the line hold a word of heads and end in a number of their shape, perhaps with a character lost or misread?"""
     tokens = re.sub(r"[()（）]", " ", line).casefold().split()
     for k, t in enumerate(tokens):
-        if not is_word(t):
-            continue
-        if k and any(near(t, w, 0.72) for w in words) and any(near(shape(x), y, 0.65) for x in tokens[k + 1 : k + 3] for y in shapes):
+        if k and is_word(t) and any(_DIGIT.search(x) and any(near(shape(x), y, 0.65) for y in shapes) for x in tokens[k + 1 : k + 3]) and any(near(t, w, 0.72) for w in words):
             return True
     squashed = "".join(tokens)  # a blank may be lost
-    return any((k := squashed.find(w)) > 0 and near(shape(squashed[k + len(w) :]), y, 0.65) for w in words for y in shapes)
+    return any((k := squashed.find(w)) > 0 and any(near(shape(squashed[k + len(w) :]), y, 0.65) for y in shapes) for w in words)
 
 
 def same_head(line: str, head: str) -> bool:
     """Is the line the head, with some characters misread or a blank lost or won? A line with words of its own is not."""
-    a, b = line.casefold(), head.casefold()
-    return abs(len(a.split()) - len(b.split())) <= 2 and abs(len("".join(a.split())) - len("".join(b.split()))) <= 3 and near("".join(a.split()), "".join(b.split()), ALIKE)
+    a, b = line.casefold().split(), head.casefold().split()
+    if abs(len(a) - len(b)) > 2:
+        return False
+    x, y = "".join(a), "".join(b)
+    return abs(len(x) - len(y)) <= 3 and near(x, y, ALIKE)
 
 
 def page_of(line: str, pages: tuple[int, int, int] | None, before: str) -> bool:
@@ -243,7 +245,16 @@ class Page:
         return [p for p in out if p.strip()]
 
 
-_LINES = "grp long, id long, line int, breaks int, text string, number int, kind string, keys array<string>"
+_LINES = "grp long, id long, line int, breaks int, text string, number int, kind string, keys array<long>"
+
+
+_DIGIT, _LETTER = re.compile(r"\d"), re.compile(r"\w")
+
+
+def _key(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
 def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,16 +264,19 @@ def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
         for g, i, t, p, q in zip(b["grp"].tolist(), b["id"].tolist(), b["t"].tolist(), b["p"].tolist(), b["q"].tolist(), strict=True):
             pages = page_range(None if p < 0 else int(p), None if q < 0 else int(q))
-            breaks = 0 if pages is None or p < 0 else pages[1] - pages[0]
-            rows.append((g, i, -1, breaks, "", -1, "breaks", []))
-            lines = plain(t).split("\n")
+            if pages is not None and p >= 0 and pages[1] > pages[0]:
+                rows.append((g, i, -1, pages[1] - pages[0], "", -1, "breaks", []))
+            lines = t.replace("\r\n", "\n").replace("\r", "\n").split("\n")
             over = pages is None or pages[1] > pages[2]
             for k, line in enumerate(lines):
                 edge = over or k == 0 and len(lines) > 1 or k == len(lines) - 1 and k > 1  # a line stays in any case
+                if not edge and (len(line) > 40 or not _DIGIT.search(line)):
+                    continue
+                line = plain(line)
                 if m := _PAGE.match(line):
                     kind = "dressed" if m["left"].strip() or m["right"].strip() else "bare"
-                    if (edge or kind == "dressed") and page_of(line, pages, lines[k - 1] if k else ""):
-                        rows.append((g, i, k, 0, line, int(m["n"]), kind, ["#" + kind]))
+                    if (edge or kind == "dressed") and page_of(line, pages, plain(lines[k - 1]) if k else ""):
+                        rows.append((g, i, k, 0, line, int(m["n"]), kind, [_key("#" + kind)]))
                     continue
                 if not edge or not line.strip() or len(line) > 300 or _LAST_HALF.search(line) or _SENTENCE_END.search(line) or _TITLE_LINE.match(line) or re.search(r"[,、，;；]\s*$", line):
                     continue
@@ -272,9 +286,9 @@ def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     continue
                 if n is not None and pages is not None and not pages[2] <= n <= pages[1]:
                     n = None
-                keys = [" ".join(tokens)]
+                keys = [_key(" ".join(tokens))]  # the whole line comes first
                 if len(tokens) <= 12:  # a number that is another is no misread word
-                    keys += [key for j, x in enumerate(tokens) if is_word(x) and len(re.findall(r"\w", key := " ".join([*tokens[:j], "*", *tokens[j + 1 :]]))) >= 6]
+                    keys += [_key(key) for j, x in enumerate(tokens) if is_word(x) and len(_LETTER.findall(key := " ".join([*tokens[:j], "*", *tokens[j + 1 :]]))) >= 6]
                 rows.append((g, i, k, 0, text, -1 if n is None else n, "line", keys))
         yield pd.DataFrame(rows, columns=["grp", "id", "line", "breaks", "text", "number", "kind", "keys"])
 
@@ -305,7 +319,7 @@ class Scans:
         n = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(-1))
         self.chunks = chunks.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(group).cast("long"), F.lit(-1)).alias("grp"), F.col(text).alias("t"), n(start).alias("p"), n(end).alias("q"))
         self.chunks = spread(self.chunks.filter(F.col("id").isNotNull() & F.col("t").isNotNull()))
-        self.lines = staged(self.chunks.mapInPandas(_edges, _LINES), "lines")
+        self.lines = staged(self.chunks.mapInPandas(_edges, _LINES).dropDuplicates(["id", "line"]), "lines")
         self.marks = staged(self._marks(), "marks")
         self.gone = self.marks.groupBy("id").agg(F.collect_set("line").alias("gone"))
         self.facts = staged(self._without_edges().mapInPandas(_facts, _FACTS), "facts", by=("tag",))
@@ -328,13 +342,14 @@ class Scans:
 
     def _marks(self) -> DataFrame:
         """grp, id, line, kind, number: the lines that pages added (running_head, page_number)."""
-        lines = self.lines.distinct()  # repeated rows count once
-        breaks = lines.filter("kind = 'breaks'").groupBy("grp").agg(F.greatest(F.sum("breaks"), F.lit(1)).alias("all_breaks"))
-        keyed = lines.filter("kind <> 'breaks'").select("grp", "id", "line", "text", "number", "kind", F.explode("keys").alias("key"))
-        counts = keyed.groupBy("grp", "key", "kind").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.max("text").alias("text")).join(breaks, "grp")
-        recurring = staged(counts.filter(f"kind = 'line' AND a < b AND n >= {HEAD_SHARE} * all_breaks AND (n > 2 OR NOT contains(key, '*')) OR kind = 'dressed' OR kind = 'bare' AND n >= {NUMBER_SHARE} * all_breaks"), "recurring")
-        found = keyed.join(recurring.select("grp", "key"), ["grp", "key"], "left_semi").select("grp", "id", "line", "text", "number", "kind").distinct()
-        found = staged(found, "found")
+        lines = self.lines
+        breaks = lines.filter("kind = 'breaks'").groupBy("grp").agg(F.sum("breaks").alias("all_breaks"))
+        keyed = lines.filter("kind <> 'breaks'").select("grp", "id", "line", "kind", F.posexplode("keys").alias("pos", "key"))
+        counts = keyed.groupBy("grp", "key", "kind").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.max("pos").alias("pos"))
+        counts = counts.filter("n > 1 AND a < b OR kind <> 'line'").join(breaks, "grp", "left").withColumn("all_breaks", F.coalesce("all_breaks", F.lit(1)))
+        recurring = counts.filter(f"kind = 'line' AND n >= {HEAD_SHARE} * all_breaks AND (n > 2 OR pos = 0) OR kind = 'dressed' OR kind = 'bare' AND n >= {NUMBER_SHARE} * all_breaks")
+        hits = keyed.join(recurring.select("grp", "key"), ["grp", "key"], "left_semi").select("id", "line").distinct()
+        found = staged(lines.join(hits, ["id", "line"]).select("grp", "id", "line", "text", "number", "kind"), "found")
         heads = found.filter("kind = 'line'")
         # Words and shapes that many generations' heads have in them.
         tokens = heads.select("grp", F.explode(F.split(F.lower(F.regexp_replace("text", "[()（）]", " ")), r"\s+")).alias("token")).filter("token <> ''")
