@@ -65,3 +65,18 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], lo: str = "p_lo",
     first = F.col("a.__bin") == at(F.greatest(F.col(f"a.{lo}"), F.col(f"b.{lo}")))
     meet = overlaps(f"a.{lo}", f"a.{hi}", f"b.{lo}", f"b.{hi}")
     return x.join(y, reduce(lambda p, q: p & q, [*on, meet, first] + ([extra] if extra is not None else [])))
+
+
+def day_overlap_join(a: DataFrame, b: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi", days: int = 365, window: tuple[int, int] = (0, 47_482), extra: Column | None = None) -> DataFrame:
+    """As `overlap_join`, of ranges in days since 1970 that may be unbounded (very small and large days).
+
+    Bins lie within `window` (1970 to 2100); what lies before or after it falls into the first or last bin, so an
+    unbounded range is posted in as many bins as the window has and no more."""
+    first, last = window[0] // days, window[1] // days
+    at = lambda c: F.least(F.greatest(F.floor(c / days), F.lit(first)), F.lit(last))
+    post = lambda df: df.filter(F.col(lo) < F.col(hi)).withColumn("__bin", F.explode(F.sequence(at(F.col(lo)), at(F.col(hi) - 1))))
+    x, y = post(a).alias("a"), post(b).alias("b")
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, "__bin")]
+    begins = F.col("a.__bin") == at(F.greatest(F.col(f"a.{lo}"), F.col(f"b.{lo}")))
+    meet = (F.col(f"a.{lo}") < F.col(f"b.{hi}")) & (F.col(f"b.{lo}") < F.col(f"a.{hi}"))
+    return x.join(y, reduce(lambda p, q: p & q, [*on, begins, meet] + ([extra] if extra is not None else [])))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, documents, extras, rights, search
+from . import clauses, conflicts, corpus, documents, extras, retrieval, rights, search
 
-MODULES = [corpus, rights, search, documents, extras]
+MODULES = [corpus, rights, conflicts, retrieval, search, clauses, documents, extras]
 
 
 def queries() -> dict:
