@@ -63,13 +63,15 @@ def merge_patches(spark, sf):
 
 
 def error_rates(spark, sf):
-    """Character error rate of every chunk against the bundle's chunk of the same generation and clause number."""
-    c = table(spark, sf, "contract_chunk", "contract_history_id", "clause_no", "chunk_text").filter("chunk_text IS NOT NULL AND clause_no IS NOT NULL").distinct()
+    """Character error rate of every chunk against the nearest of the bundle's chunks of the same generation and clause number, and how many of its numbers stand there too."""
+    c = table(spark, sf, "contract_chunk", "id", "contract_history_id", "clause_no", "chunk_text").filter("chunk_text IS NOT NULL AND clause_no IS NOT NULL").dropDuplicates(["id"])
     b = table(spark, sf, "bundle_chunk", "contract_history_id", "clause_no", "text").filter("text IS NOT NULL").distinct()
-    b = R.keep_latest(b, ["contract_history_id", "clause_no"], F.col("text"))
     both = c.join(b, ["contract_history_id", "clause_no"])
     rate = F.levenshtein("chunk_text", "text") / F.greatest(F.char_length("text"), F.lit(1))
-    return both.groupBy("contract_history_id").agg(F.count("*").alias("clauses"), F.round(F.avg(rate), 6).alias("rate"))
+    numbers = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"[0-9][0-9,.-]*[0-9]"), F.lit(0)))
+    kept = F.size(F.array_intersect(numbers(F.col("text")), numbers(F.col("chunk_text"))))
+    best = both.select("id", "contract_history_id", F.struct(rate.alias("rate"), F.size(numbers(F.col("text"))).alias("numbers"), kept.alias("kept")).alias("m")).groupBy("id", "contract_history_id").agg(F.min("m").alias("m"))
+    return best.groupBy("contract_history_id").agg(F.count("*").alias("clauses"), F.round(F.avg("m.rate"), 6).alias("rate"), F.sum("m.numbers").alias("numbers"), F.sum("m.kept").alias("kept"))
 
 
 SQL = {
@@ -78,10 +80,11 @@ SQL = {
     "weighted_confidence": "WITH s AS (SELECT user_id, round(0.6::DOUBLE * avg((event_type <> 'error')::INT) + 0.2::DOUBLE * avg((value > 1)::INT) + 0.2::DOUBLE * avg((value < 50)::INT), 6) AS score FROM events GROUP BY 1) SELECT user_id, score, CASE WHEN score < 0.70 THEN 'RED' WHEN score < 0.85 THEN 'YELLOW' ELSE 'GREEN' END AS route FROM s",
     "valid_dates": "WITH d AS (SELECT unnest(regexp_extract_all(chunk_text, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) AS d FROM (SELECT DISTINCT id, chunk_text FROM contract_chunk WHERE chunk_text IS NOT NULL)) SELECT (try_cast(d AS DATE) IS NOT NULL)::INT AS valid, count(*) AS n, count(DISTINCT d) AS different FROM d GROUP BY 1",
     "stale_results": "WITH r AS (SELECT tmpid, max(created_at) AS at FROM extract_result GROUP BY 1) SELECT tmpid FROM r WHERE r.at < (SELECT max(created_at) FROM extract_result) - INTERVAL 365 DAYS AND NOT EXISTS (SELECT 1 FROM contract c WHERE c.source_tmpid = r.tmpid)",
+    "merge_patches": """SELECT event_id, json_merge_patch(props::JSON, '{"k":null,"n":{"a":1}}'::JSON)::VARCHAR AS patched FROM events""",
     "camel_rows": """SELECT id, '{"id":' || id || ',"ipId":' || ip_id || ',"scopeType":"' || scope_type || '"}' AS json FROM content_asset""",
 }
 
-NAMES = (*SQL, "merge_patches", "error_rates")
+NAMES = (*SQL, "error_rates")
 
 
 def queries() -> dict:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import clauses, conflicts, corpus, documents, extras, retrieval, rights, search
+from . import clauses, conflicts, corpus, documents, extraction, extras, retrieval, rights, search, staging
 
-MODULES = [corpus, rights, conflicts, retrieval, search, clauses, documents, extras]
+MODULES = [corpus, rights, conflicts, retrieval, search, clauses, extraction, documents, extras, staging]
 
 
 def queries() -> dict:

@@ -104,25 +104,42 @@ def taxonomy_closure(spark, sf):
     return R.ancestors(_dims(spark))
 
 
+#: Codes that break the rules of an axis, so that the check is seen to find them: (axis, code, parent, lo, hi).
+BROKEN = (("mode", "OUTSIDE", "VOD", 20, 22), ("mode", "CROSSING", None, 6, 12), ("legal_right", "STRAY", "DISTRIBUTION", 2, 3))
+
+
 def taxonomy_check(spark, sf):
-    """Children outside their parent's span, and spans that overlap without one holding the other."""
-    d = _dims(spark)
+    """Both axes and some broken codes: children outside their parent's span, spans that overlap without one holding the
+    other, and spans that hold another without being its ancestor."""
+    d = _dims(spark).select("axis", "code", "parent_code", "lo", "hi").unionByName(spark.createDataFrame(list(BROKEN), "axis string, code string, parent_code string, lo int, hi int"))
     a, b = d.alias("a"), d.alias("b")
     outside = a.join(b, (F.col("a.axis") == F.col("b.axis")) & (F.col("a.parent_code") == F.col("b.code"))).filter(~ranges.contains("b.lo", "b.hi", "a.lo", "a.hi"))
     crossing = a.join(b, (F.col("a.axis") == F.col("b.axis")) & (F.col("a.code") < F.col("b.code"))).filter(
         ranges.overlaps("a.lo", "a.hi", "b.lo", "b.hi") & ~ranges.contains("a.lo", "a.hi", "b.lo", "b.hi") & ~ranges.contains("b.lo", "b.hi", "a.lo", "a.hi")
     )
-    pick = lambda df, n: df.select(F.col("a.code").alias("code"), F.lit(n).alias("rule"))
-    return pick(outside, "outside_parent").unionByName(pick(crossing, "crossing"))
+    above = R.ancestors(d.select("code", "parent_code"))
+    held = a.join(b, (F.col("a.axis") == F.col("b.axis")) & (F.col("a.code") != F.col("b.code"))).filter(ranges.contains("b.lo", "b.hi", "a.lo", "a.hi"))
+    stray = held.join(above, (above["code"] == F.col("a.code")) & (above["ancestor"] == F.col("b.code")), "left_anti")
+    pick = lambda df, n: df.select(F.col("a.code").alias("code"), F.col("b.code").alias("other"), F.lit(n).alias("rule"))
+    return pick(outside, "outside_parent").unionByName(pick(crossing, "crossing")).unionByName(pick(stray, "no_ancestor"))
+
+
+def taxonomy_preorder(spark, sf):
+    """The codes of both axes as they are listed: by axis, from the top down, with their depth and number of codes below."""
+    d = _dims(spark)
+    depth = R.ancestors(d.select("code", "parent_code")).groupBy("code").agg(F.max("distance").alias("depth"))
+    return d.join(depth, "code", "left").select("axis", "code", F.coalesce("depth", F.lit(0)).alias("depth"), ((F.col("rgt") - F.col("lft") - 1) / 2).cast("int").alias("below"), "lft").orderBy("axis", "lft")
 
 
 def group_expand(spark, sf):
-    """Members of a customer's group (its region), a nation without a region standing for itself; order kept, once each."""
-    n, r, c = table(spark, sf, "nation"), table(spark, sf, "region"), table(spark, sf, "customer", "c_custkey", "c_nationkey")
-    names = {x.lower(): x for x in n.columns}
-    members = n.select(F.col(names["n_nationkey"]).alias("member"), F.col(names["n_regionkey"]).alias("grp"))
-    own = c.join(members.select(F.col("member").alias("c_nationkey"), "grp"), "c_nationkey")
-    return own.join(members, "grp").filter(F.col("member") != F.col("c_nationkey")).groupBy("c_custkey").agg(F.count("*").alias("others"), F.min("member").alias("least"), F.max("member").alias("greatest"))
+    """Lists of codes with groups in them (a region stands for its nations, in the order of their keys); what is no group
+    stands for itself. Order is kept and each code comes once."""
+    n, r = table(spark, sf, "nation", "n_nationkey", "n_name", "n_regionkey"), table(spark, sf, "region", "r_regionkey", "r_name")
+    members = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("code")).agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("m"))
+    lists = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.posexplode(F.array(F.lit("ATLANTIS"), F.col("n_name"), F.col("r_name"), F.lit("ATLANTIS"))).alias("pos", "code"))
+    named = lists.join(F.broadcast(members), "code", "left").select("n_nationkey", "pos", F.posexplode(F.coalesce(F.transform("m", lambda x: x["n_name"]), F.array("code"))).alias("k", "name"))
+    once = named.groupBy("n_nationkey", "name").agg(F.min(F.struct("pos", "k")).alias("at"))
+    return once.groupBy("n_nationkey").agg(F.sort_array(F.collect_list(F.struct("at", "name"))).alias("l")).select("n_nationkey", F.array_join(F.transform("l", lambda x: x["name"]), ",").alias("names"))
 
 
 def set_difference(spark, sf):
@@ -179,10 +196,14 @@ def heterogeneous_union(spark, sf):
 
 
 def referential_violations(spark, sf):
-    g = table(spark, sf, "rights_grant", "id", "contract_id", "content_asset_id", "contract_history_id").distinct()
-    parts = [("contract_id", "contract", "id"), ("content_asset_id", "content_asset", "id"), ("contract_history_id", "contract_history", "id")]
-    found = [R.dangling(g, c, table(spark, sf, t, k), k).select("id", F.lit(c).alias("reference")) for c, t, k in parts]
-    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
+    """Per reference of a grant: rows that have it, and rows whose target is missing."""
+    g = table(spark, sf, "rights_grant", "id", "contract_id", "content_asset_id", "contract_history_id", "lineage_id").distinct()
+    parts = [("contract_id", "contract", "id"), ("content_asset_id", "content_asset", "id"), ("contract_history_id", "contract_history", "id"), ("lineage_id", "rights_grant", "id")]
+    found = []
+    for c, t, k in parts:
+        there = g.filter(F.col(c).isNotNull()).select(c).join(table(spark, sf, t, k).select(F.col(k).alias(c), F.lit(1).alias("is")).distinct(), c, "left")
+        found.append(there.agg(F.count("*").alias("rows"), F.count_if(F.col("is").isNull()).alias("dangling")).select(F.lit(c).alias("reference"), "rows", "dangling"))
+    return found[0].unionAll(found[1]).unionAll(found[2]).unionAll(found[3])
 
 
 def check_violations(spark, sf):
@@ -235,9 +256,10 @@ def grouping_sets(spark, sf):
 
 
 def intersect_except(spark, sf):
-    g = table(spark, sf, "lineitem", "l_partkey", "l_returnflag")
-    a, r, n = (g.filter(F.col("l_returnflag") == x).select("l_partkey").distinct() for x in "ARN")
-    return a.intersect(r).exceptAll(n)
+    """Customers with both finished and open orders, but none of the first priority."""
+    o = table(spark, sf, "orders", "o_custkey", "o_orderstatus", "o_orderpriority")
+    of = lambda cond: o.filter(cond).select("o_custkey").distinct()
+    return of("o_orderstatus = 'F'").intersect(of("o_orderstatus = 'O'")).exceptAll(of("o_orderpriority LIKE '1%'"))
 
 
 def approx_distinct(spark, sf):
@@ -358,8 +380,18 @@ SQL = {
       m AS (SELECT a.contract_id, min({'i': a.pos, 'j': b.pos}) AS m FROM n a JOIN n b ON a.contract_id = b.contract_id AND a.asset_id = b.asset_id AND a.pos < b.pos AND a.p_lo < b.p_hi AND b.p_lo < a.p_hi GROUP BY 1)
       SELECT contract_id, m.i AS i, m.j AS j FROM m""",
     "taxonomy_closure": f"WITH RECURSIVE {AXES_SQL}, d AS (SELECT code, parent_code FROM lr UNION ALL SELECT code, parent_code FROM em), up AS (SELECT code, parent_code AS ancestor, 1 AS distance FROM d WHERE parent_code IS NOT NULL UNION ALL SELECT u.code, d.parent_code, u.distance + 1 FROM up u JOIN d ON d.code = u.ancestor WHERE d.parent_code IS NOT NULL) SELECT * FROM up",
-    "taxonomy_check": f"WITH {AXES_SQL} SELECT a.code, 'outside_parent' AS rule FROM lr a JOIN lr b ON a.parent_code = b.code WHERE NOT (b.lo <= a.lo AND a.hi <= b.hi)",
-    "group_expand": "SELECT c_custkey, count(*) AS others, min(m.n_nationkey) AS least, max(m.n_nationkey) AS greatest FROM customer JOIN nation o ON o.n_nationkey = c_nationkey JOIN nation m ON m.n_regionkey = o.n_regionkey WHERE m.n_nationkey <> c_nationkey GROUP BY 1",
+    "taxonomy_check": f"""WITH RECURSIVE {AXES_SQL}, d AS (SELECT 'legal_right' AS axis, code, parent_code, lo, hi FROM lr UNION ALL SELECT 'mode', code, parent_code, lo, hi FROM em UNION ALL SELECT * FROM (VALUES {_values(BROKEN)}) t(axis, code, parent_code, lo, hi)),
+      up AS (SELECT code, parent_code AS ancestor FROM d WHERE parent_code IS NOT NULL UNION ALL SELECT u.code, d.parent_code FROM up u JOIN d ON d.code = u.ancestor WHERE d.parent_code IS NOT NULL)
+      SELECT a.code, b.code AS other, 'outside_parent' AS rule FROM d a JOIN d b ON a.axis = b.axis AND a.parent_code = b.code WHERE NOT (b.lo <= a.lo AND a.hi <= b.hi)
+      UNION ALL SELECT a.code, b.code, 'crossing' FROM d a JOIN d b ON a.axis = b.axis AND a.code < b.code WHERE a.lo < b.hi AND b.lo < a.hi AND NOT (a.lo <= b.lo AND b.hi <= a.hi) AND NOT (b.lo <= a.lo AND a.hi <= b.hi)
+      UNION ALL SELECT a.code, b.code, 'no_ancestor' FROM d a JOIN d b ON a.axis = b.axis AND a.code <> b.code WHERE b.lo <= a.lo AND a.hi <= b.hi AND NOT EXISTS (SELECT 1 FROM up WHERE up.code = a.code AND up.ancestor = b.code)""",
+    "group_expand": """WITH l AS (SELECT n_nationkey, unnest(['ATLANTIS', n_name, r_name, 'ATLANTIS']) AS code, unnest([0, 1, 2, 3]) AS pos FROM nation JOIN region ON n_regionkey = r_regionkey),
+      m AS (SELECT r_name AS code, n_name AS name, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS k FROM nation JOIN region ON n_regionkey = r_regionkey),
+      x AS (SELECT l.n_nationkey, coalesce(m.name, l.code) AS name, min({'pos': pos, 'k': coalesce(k, 1)}) AS place FROM l LEFT JOIN m USING (code) GROUP BY ALL)
+      SELECT n_nationkey, string_agg(name, ',' ORDER BY place) AS names FROM x GROUP BY 1""",
+    "taxonomy_preorder": f"""WITH RECURSIVE {AXES_SQL}, d AS (SELECT 'legal_right' AS axis, code, parent_code, lft, rgt FROM lr UNION ALL SELECT 'mode', code, parent_code, lft, rgt FROM em),
+      up AS (SELECT code, parent_code AS ancestor FROM d WHERE parent_code IS NOT NULL UNION ALL SELECT u.code, d.parent_code FROM up u JOIN d ON d.code = u.ancestor WHERE d.parent_code IS NOT NULL)
+      SELECT axis, code, (SELECT count(*) FROM up WHERE up.code = d.code)::INT AS depth, ((rgt - lft - 1) // 2)::INT AS below, lft FROM d""",
     "set_difference": GRANTS_SQL + ", t AS (SELECT asset_id, territory, bool_or(exclusivity <> 'sole') AS keep FROM g GROUP BY ALL) SELECT asset_id, count(*)::INT AS n, string_agg(territory::VARCHAR, ',' ORDER BY territory) FILTER (keep) AS kept FROM t GROUP BY 1",
     "period_summary": GRANTS_SQL + " SELECT contract_id, min(p_lo)::VARCHAR AS first_day, (max(p_hi) - 1)::VARCHAR AS last_day, count(*) AS grants FROM g WHERE active GROUP BY 1",
     "latest_version": "WITH h AS (SELECT DISTINCT id, contract_id, version, file_name FROM contract_history), r AS (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY version DESC, id DESC) AS rn FROM h) SELECT contract_id, id, version, file_name, version + 1 AS next_version FROM r WHERE rn = 1",
@@ -373,7 +405,7 @@ SQL = {
       g AS (SELECT contract_id, count(DISTINCT id) AS grants FROM rights_grant WHERE status = 'active' GROUP BY 1)
       SELECT c.id, coalesce(title, file_name, '') AS title, coalesce(grants, 0) AS grants, (SELECT count(*) FROM c) AS total FROM c LEFT JOIN h ON h.contract_id = c.id LEFT JOIN g ON g.contract_id = c.id ORDER BY created_at DESC, c.id LIMIT 20 OFFSET 20""",
     "heterogeneous_union": "SELECT 'contract' AS kind, status AS state, count(DISTINCT id) AS n, 0 AS max_version FROM contract GROUP BY 2 UNION ALL SELECT 'history', status, count(DISTINCT id), max(version) FROM contract_history GROUP BY 2",
-    "referential_violations": "SELECT DISTINCT id, 'contract_id' AS reference FROM rights_grant g WHERE contract_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM contract t WHERE t.id = g.contract_id) UNION ALL SELECT DISTINCT id, 'content_asset_id' FROM rights_grant g WHERE content_asset_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM content_asset t WHERE t.id = g.content_asset_id) UNION ALL SELECT DISTINCT id, 'contract_history_id' FROM rights_grant g WHERE contract_history_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM contract_history t WHERE t.id = g.contract_history_id)",
+    "referential_violations": "WITH g AS (SELECT DISTINCT id, contract_id, content_asset_id, contract_history_id, lineage_id FROM rights_grant) " + " UNION ALL ".join(f"SELECT '{c}' AS reference, count(*) AS rows, count_if(NOT EXISTS (SELECT 1 FROM {t} t WHERE t.id = g.{c}))::BIGINT AS dangling FROM g WHERE {c} IS NOT NULL" for c, t in (('contract_id', 'contract'), ('content_asset_id', 'content_asset'), ('contract_history_id', 'contract_history'), ('lineage_id', 'rights_grant'))),
     "check_violations": "SELECT id, 'season_number' AS rule FROM content_asset WHERE scope_type = 'SEASON' AND season_no IS NULL UNION ALL SELECT id, 'episode_number' FROM content_asset WHERE scope_type = 'EPISODE' AND episode_no IS NULL UNION ALL SELECT id, 'no_number' FROM content_asset WHERE scope_type = 'SERIES_ALL' AND NOT (season_no IS NULL AND episode_no IS NULL) UNION ALL SELECT id, 'label' FROM content_asset WHERE label IS NULL",
     "confirmed_grants": "SELECT content_asset_id, count(*) AS grants, count(DISTINCT contract_id) AS contracts FROM (SELECT DISTINCT id, contract_id, content_asset_id FROM rights_grant WHERE status = 'active') g WHERE contract_id IN (SELECT id FROM contract WHERE status = 'signed') GROUP BY 1",
     "unsigned_grants": "SELECT DISTINCT id FROM rights_grant g WHERE status = 'active' AND NOT EXISTS (SELECT 1 FROM contract c WHERE c.id = g.contract_id AND c.status = 'signed')",
@@ -382,7 +414,7 @@ SQL = {
     "json_report": """SELECT contract_id, '[' || string_agg('{"version":' || version || ',"kind":"' || document_kind || '"}', ',' ORDER BY version, document_kind) || ']' AS report FROM (SELECT DISTINCT contract_id, version, document_kind FROM contract_history) GROUP BY 1""",
     "rollup_cube": "SELECT coalesce(l_returnflag, '*') AS flag, coalesce(l_linestatus, '*') AS line, sum(l_quantity)::BIGINT AS quantity, grouping_id(l_returnflag, l_linestatus)::INT AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "grouping_sets": "SELECT coalesce(o_orderstatus, '*') AS status, coalesce(o_orderpriority, '*') AS priority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
-    "intersect_except": "(SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N'",
+    "intersect_except": "(SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%'",
     "filtered_search": "WITH l AS (SELECT id AS contract_id, max(lang) AS lang FROM contract GROUP BY 1) SELECT DISTINCT g.id, g.contract_id, coalesce(lang, '?') AS lang FROM rights_grant g JOIN l USING (contract_id) WHERE legal_right IN ('TRANSMISSION', 'BROADCAST') AND exploitation_mode IN ('SVOD', 'AVOD', 'TV_LINEAR') AND status = 'active' AND lang IS DISTINCT FROM 'ko'",
     "tag_sets": "SELECT contract_id, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM (SELECT contract_id, unnest([legal_right, exploitation_mode]) AS tag FROM rights_grant WHERE contract_id IS NOT NULL) WHERE tag IS NOT NULL GROUP BY 1",
     "upsert_latest": "SELECT tmpid, coalesce(length(payload), 0)::INT AS size FROM (SELECT *, row_number() OVER (PARTITION BY tmpid ORDER BY created_at DESC, payload DESC NULLS LAST) AS rn FROM extract_result) WHERE rn = 1",

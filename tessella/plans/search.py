@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text, vectors
 from ..operators import relational as R
 from ..sources.tables import table
+from .retrieval import _COS, _USABLE, usable_vectors
 
 QUERY_ID = 7
 # Fields of a clause, with patterns and weights of our own.
@@ -85,25 +86,34 @@ def lexical_fields(spark, sf):
 
 
 def hybrid_rank(spark, sf):
-    """The best clause of each contract generation by lexical and vector score, then the best generations."""
-    c = table(spark, sf, "contract_chunk", "id", "contract_history_id", "chunk_text", "embedding").filter((F.size("embedding") == 64) & F.col("chunk_text").isNotNull() & ~F.exists("embedding", lambda x: F.isnan(x)))
-    c = R.keep_latest(c, ["id"], F.col("chunk_text"))
-    q = c.groupBy().agg(F.min_by("embedding", "id").alias("q"))
-    lex = F.regexp_count("chunk_text", F.lit(r"USD|금 |金")).cast("double")
+    """The best clause of each contract generation by lexical and vector score, then the best generations.
+
+    Scores are found before repeated rows are brought together, so neither texts nor vectors travel."""
+    c = table(spark, sf, "contract_chunk", "id", "contract_history_id", "chunk_text", "embedding").filter("chunk_text IS NOT NULL")
+    c = usable_vectors(c).filter("embedding IS NOT NULL")
+    q = c.agg(F.min_by("embedding", "id").alias("q"))
+    lex = F.regexp_count("chunk_text", F.lit("USD|금 |金")).cast("double")
     s = c.crossJoin(F.broadcast(q)).select("id", "contract_history_id", (lex / (lex + 1)).alias("lex"), vectors.cosine(F.col("embedding"), F.col("q")).alias("sem"))
-    s = vectors.minmax_over_all(s.filter("sem IS NOT NULL"), "sem", "sem_n").withColumn("score", F.round(vectors.hybrid(F.col("lex"), F.col("sem_n")), 5))
-    best = R.top_per_group(s, ["contract_history_id"], 1, F.desc("score"), F.col("id")).filter("score >= 0.15")
-    return best.orderBy(F.desc("score"), "id").limit(25).select("contract_history_id", "id", "score")
+    s = s.groupBy("id", "contract_history_id").agg(F.max("lex").alias("lex"), F.max("sem").alias("sem"))
+    s = vectors.minmax_over_all(s, "sem", "sem_n").withColumn("score", F.round(vectors.hybrid(F.col("lex"), F.col("sem_n")), 5))
+    best = s.filter("score >= 0.15").groupBy("contract_history_id").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("m"))
+    return best.select("contract_history_id", (-F.col("m.minus")).alias("id"), "m.score").orderBy(F.desc("score"), "id").limit(25)
+
+
+#: What a question's words say: labels of countries and words of modes and exclusivity.
+COUNTRIES = (("KR", "South Korea"), ("KR", "대한민국"), ("KR", "韓国"), ("JP", "Japan"), ("JP", "일본"), ("JP", "日本"), ("US", "United States"), ("US", "미국"), ("US", "米国"), ("DE", "Germany"), ("DE", "독일"), ("FR", "France"), ("FR", "프랑스"), ("VN", "Vietnam"), ("VN", "베트남"))
+MODES_OF = ("SVOD", "AVOD", "TVOD")
 
 
 def filter_interpretation(spark, sf):
-    """Nations named in order of the clauses that name them."""
-    n = table(spark, sf, "nation")
-    name = [x for x in n.columns if x.lower() == "n_name"][0]
-    titles = table(spark, sf, "customer", "c_custkey", "c_nationkey").join(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col(name).alias("n")), "c_nationkey")
-    q = F.concat(F.lit("rights for "), F.lower("n"), F.lit(" in 2024-2026"))
-    years = F.regexp_extract_all(q, F.lit(r"(\d{4})"), 1)
-    return titles.filter(F.contains(F.lower(q), F.lower("n"))).groupBy("n", F.concat(years[0], F.lit("-01-01")).alias("since"), F.concat(years[1], F.lit("-12-31")).alias("until")).agg(F.count("*").alias("k"))
+    """Every clause read as a question: the countries and modes it names, the words of exclusivity, and the years from first to last."""
+    c = table(spark, sf, "contract_chunk", "id", "chunk_text").filter("chunk_text IS NOT NULL").select("id", F.lower("chunk_text").alias("q"))
+    named = F.array_compact(F.array(*[F.when(F.contains(F.col("q"), F.lit(label.lower())), F.lit(code)) for code, label in COUNTRIES]))
+    modes = F.array_compact(F.array(*[F.when(F.contains(F.col("q"), F.lit(m.lower())), F.lit(m)) for m in MODES_OF]))
+    sole = F.when(F.col("q").rlike("exclusive|독점|独占"), "exclusive").otherwise("")
+    years = F.transform(F.regexp_extract_all("q", F.lit(r"(20[0-9]{2})"), 1), lambda y: y.cast("int"))
+    rows = c.select("id", F.array_join(F.sort_array(F.array_distinct(named)), ",").alias("countries"), F.array_join(modes, ",").alias("modes"), sole.alias("exclusivity"), F.coalesce(F.array_min(years), F.lit(0)).alias("since"), F.coalesce(F.array_max(years), F.lit(0)).alias("until"))
+    return rows.distinct().groupBy("countries", "modes", "exclusivity", "since", "until").agg(F.count("*").alias("clauses"))
 
 
 SQL = {
@@ -115,10 +125,13 @@ SQL = {
     "lexical_fields": "WITH d AS (SELECT DISTINCT chunk_id, text FROM bundle_chunk WHERE text IS NOT NULL), p(field, pattern, weight) AS (VALUES "
     + ", ".join("('%s', '%s', %s)" % (f, p, w) for f, p, w in FIELD_PATTERNS)
     + "), h AS (SELECT chunk_id, field, weight, len(regexp_extract_all(text, pattern)) AS hits FROM d, p), r AS (SELECT chunk_id, field, sum(weight::DOUBLE * (1 + ln(hits))) AS raw FROM h WHERE hits > 0 GROUP BY ALL) SELECT chunk_id, field, round(1 / (1 + exp(-(raw - 4) / 3)), 6) AS score FROM r",
-    "filter_interpretation": "SELECT n_name AS n, '2024-01-01' AS since, '2026-12-31' AS until, count(*) AS k FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1",
+    "filter_interpretation": "WITH c AS (SELECT DISTINCT id, lower(chunk_text) AS q FROM contract_chunk WHERE chunk_text IS NOT NULL), l AS (SELECT *, list_transform(regexp_extract_all(q, '20[0-9][0-9]'), LAMBDA y: y::INT) AS years FROM c), r AS (SELECT DISTINCT id, array_to_string(list_sort(list_distinct(list_filter(["
+    + ", ".join(f"CASE WHEN contains(q, '{label.lower()}') THEN '{code}' END" for code, label in COUNTRIES) + "], LAMBDA x: x IS NOT NULL))), ',') AS countries, concat_ws(',', " + ", ".join(f"CASE WHEN contains(q, '{m.lower()}') THEN '{m}' END" for m in MODES_OF)
+    + ") AS modes, CASE WHEN regexp_matches(q, 'exclusive|독점|独占') THEN 'exclusive' ELSE '' END AS exclusivity, coalesce(list_min(years), 0) AS since, coalesce(list_max(years), 0) AS until FROM l) SELECT countries, modes, exclusivity, since, until, count(*) AS clauses FROM r GROUP BY ALL",
+    "hybrid_rank": f"WITH v AS (SELECT id, contract_history_id, chunk_text, {_USABLE} AS e FROM contract_chunk WHERE chunk_text IS NOT NULL), u AS (SELECT * FROM v WHERE e IS NOT NULL), q AS (SELECT arg_min(e, id) AS q FROM u), s AS (SELECT id, contract_history_id, max(len(regexp_extract_all(chunk_text, 'USD|금 |金'))) AS n, max({_COS % ('e', 'q', 'e', 'q')}) AS sem FROM u, q GROUP BY ALL), m AS (SELECT *, (sem - min(sem) OVER ()) / (max(sem) OVER () - min(sem) OVER ()) AS sem_n FROM s), r AS (SELECT contract_history_id, id, round(0.5::DOUBLE * (n / (n + 1)) + 0.5::DOUBLE * sem_n, 5) AS score FROM m), b AS (SELECT * FROM r WHERE score >= 0.15 QUALIFY row_number() OVER (PARTITION BY contract_history_id ORDER BY score DESC, id) = 1) SELECT * FROM b ORDER BY score DESC, id LIMIT 25",
 }
 
-NAMES = (*SQL, "entity_search", "word_similarities", "norm_keys", "hybrid_rank")
+NAMES = (*SQL, "entity_search", "word_similarities", "norm_keys")
 
 
 def queries() -> dict:
