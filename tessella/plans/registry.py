@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import clauses, conflicts, corpus, documents, extraction, extras, retrieval, rights, search, staging
+from . import clauses, conflicts, corpus, documents, extraction, extractor, extras, retrieval, rights, search, staging
 
-MODULES = [corpus, rights, conflicts, retrieval, search, clauses, extraction, documents, extras, staging]
+MODULES = [corpus, rights, conflicts, retrieval, search, clauses, extraction, extractor, documents, extras, staging]
 
 
 def queries() -> dict:

@@ -112,3 +112,16 @@ def upsert_sink(path: str, keys: list[str], *order: str):
             fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}"), True)
 
     return write
+
+
+def poll(stream: DataFrame, handle, checkpoint: str, every: str | None = "5 seconds"):
+    """Start handling the stream's new rows batch by batch: every so often until stopped, or (every=None) all there is and no more.
+    `handle(batch, batch_id)` may be repeated for a batch after a failure, so it must be idempotent (see `upsert_sink`)."""
+    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def changed_rows(changes: DataFrame, rows: DataFrame, table: str, key: str) -> DataFrame:
+    """Of a batch of changes, the rows of one table that are to be worked on again (say, to get new vectors): each once, deleted ones left out."""
+    last = changes.filter(F.lower("table_name") == table).groupBy("row_id").agg(F.max_by("op", "id").alias("op")).filter("op <> 'D'")
+    return rows.join(last.select(F.col("row_id").alias(key)), key, "left_semi")
