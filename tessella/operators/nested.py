@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship, staged
+from ..session import Staging, ship, staged
 
 #: Array fields of the extraction payload; they are arrays of records even where no record shows it.
 ARRAY_FIELDS = (
@@ -277,10 +277,11 @@ def _key(full: Column) -> Column:
     return F.md5(F.concat_ws("\u0001", F.col("record_id"), full))
 
 
-class Flattened:
+class Flattened(Staging):
     """The typed records and the tables of their arrays."""
 
     def __init__(self, typed: DataFrame, schema: T.StructType) -> None:
+        super().__init__(typed.sparkSession)
         self.typed, self.schema = typed, schema
         self.places = places_of(schema)
         self._levels: list[DataFrame] | None = None
@@ -294,7 +295,7 @@ class Flattened:
             root = F.lit("$")
             above = self.typed.select("record_id", F.lit(-1).alias("place"), _key(root).alias("row_key"), root.alias("full"), root.alias("child_path"), F.col("rec").alias("r_root"))
             for level in self.places:
-                above = staged(self._explode(above, level), "level")
+                above = self.stage(self._explode(above, level), "level")
                 self._levels.append(above)
         return self._levels
 
@@ -390,10 +391,13 @@ def _scalars(schema: T.StructType, rec: Column) -> dict[str, Column]:
 def flatten(records: DataFrame, key: str, text: str, when: str, known: tuple[str, ...] = ARRAY_FIELDS) -> Flattened:
     """Infer the merged schema of the latest record of each key and make its arrays available as tables."""
     ship(records.sparkSession)
-    docs = staged(latest(records, key, text, when).mapInArrow(_clean, "record_id string, doc string"), "records")
+    kept: list[str] = []
+    docs = staged(latest(records, key, text, when).mapInArrow(_clean, "record_id string, doc string"), "records", kept)
     # As many rows as tasks, each with the shapes of the schema; merged by one aggregation.
     found = docs.filter("record_id IS NULL").select(F.explode(F.from_json("doc", "array<string>")).alias("s")).distinct().collect()
     node = merged({(tuple(p), k) for p, k in (json.loads(r.s) for r in found)}, known)
     schema = schema_of(node)
     typed = docs.filter("record_id IS NOT NULL").mapInArrow(_typed(node, schema), T.StructType([T.StructField("record_id", T.StringType()), T.StructField("rec", schema)]))
-    return Flattened(typed, schema)
+    flat = Flattened(typed, schema)
+    flat._kept += kept
+    return flat

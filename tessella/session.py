@@ -85,6 +85,26 @@ def staged(df: DataFrame, name: str, keep: list[str] | None = None, by: tuple[st
     return read.select(*df.columns) if by else read
 
 
+class Staging:
+    """Base of operators whose tables share staged parts; `close` deletes them once their results have been read or written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self._kept = spark, []
+
+    def stage(self, df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+        return staged(df, name, self._kept, by)
+
+    def close(self) -> None:
+        delete(self.spark, *self._kept)
+        self._kept.clear()
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers that do not share the driver's sys.path (zip once per context)."""
     import zipfile
