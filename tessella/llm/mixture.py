@@ -9,7 +9,7 @@ ordinals by itself and all shards together use exactly the totals. A source's or
 in that pass, the block to which the pass's own pseudorandom permutation (a Feistel network with cycle walking) maps
 k mod blocks. Slots and blocks are then joined by source and block number.
 
-The mix is delivered by reference: which tokens of which record stand in which slot of which shard. Offsets are prefix
+The mix is given by reference (which tokens of which record stand in which slot of which shard) or, by `tokens`, as ids. Offsets are prefix
 sums in two levels, so no source is ever handled by one task; only per-source totals (as many rows as `mix_target`)
 reach the driver.
 
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..session import ship, spread, staged
-from .bpe import default_vocabulary, encoder
+from ..session import ship, spread, Staging
+from .bpe import default_vocabulary, encode, encoder
 
 BLOCK_TOKENS = 512
 SHARD_SLOTS = 512
@@ -140,14 +140,16 @@ def shard_counts(totals: np.ndarray, shards: int, shard: int, seed: int) -> tupl
 # --- the operator -----------------------------------------------------------------------------------------------------
 
 
-class Mixture:
+class Mixture(Staging):
     def __init__(self, docs: DataFrame, targets: DataFrame, path: str | None = None, block: int = BLOCK_TOKENS, seed: int = 1) -> None:
         spark = docs.sparkSession
-        self.spark, self.block, self.seed = spark, block, seed
+        super().__init__(spark)
+        self.block, self.seed = block, seed
         goal = targets.select(source_key(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeat").cast("int").alias("repeat"))
         goal = goal.filter(F.col("source").isNotNull()).groupBy("source").agg(F.max(F.struct("share", "repeat")).alias("m")).select("source", "m.share", "m.repeat")
         named = spread(docs.select(F.col("doc_id"), source_key(F.col("source")).alias("source"), "text")).join(goal.select("source"), "source", "left_semi")
-        self.sizes = staged(count_tokens(named, "text", ("doc_id", "source"), path).filter("n_tokens > 0"), "sizes")
+        self.named, self.path = named, path
+        self.sizes = self.stage(count_tokens(named, "text", ("doc_id", "source"), path).filter("n_tokens > 0"), "sizes")
         totals = self.sizes.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
         self.plan = self._plan(goal.join(totals, "source", "left").orderBy("source").collect())
 
@@ -206,6 +208,13 @@ class Mixture:
         # The slots grow with the corpus, which the planner cannot see: never broadcast them.
         return self.blocks().join(self.slots().hint("merge"), ["source", "block_no"]).select("shard", "slot", "block_from", "source", "pass", "block_no", "doc_id", "token_from", "token_to")
 
+    def tokens(self, mix: DataFrame | None = None) -> DataFrame:
+        """The mix itself: shard, slot, source and ids, the tokens of the slot in order (a block's worth at most)."""
+        ids = encode(self.named.select("doc_id", "text"), path=self.path)
+        cut = (mix or self.mix()).join(ids.hint("merge"), "doc_id").select("shard", "slot", "source", "block_from", F.slice("ids", F.col("token_from") + 1, F.col("token_to") - F.col("token_from")).alias("part"))
+        whole = cut.groupBy("shard", "slot", "source").agg(F.sort_array(F.collect_list(F.struct("block_from", "part"))).alias("parts"))
+        return whole.select("shard", "slot", "source", F.flatten(F.transform("parts", lambda x: x["part"])).alias("ids"))
+
     def shares(self, mix: DataFrame | None = None) -> DataFrame:
         """Per named source: target and actual shares, tokens, and how often its most used block is used."""
         got = (mix or self.mix()).groupBy("source").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("mixed_tokens"), (F.max("pass") + 1).alias("most_uses"))

@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -106,8 +106,8 @@ def footrule_nearness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def rank_file(ids: np.ndarray, asked: np.ndarray, seen: np.ndarray, x: np.ndarray, k: int, least: float, index: Index) -> Iterator[tuple[np.ndarray, ...]]:
-    """id, neighbour and cosine of the k best of each vector that is asked for, in one inverted file."""
+def rank_file(ids: np.ndarray, asked: np.ndarray, seen: np.ndarray, x: np.ndarray, k: int, least: float, index: Index, apart: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+    """id, neighbour and cosine of the k best of each vector that is asked for, in one inverted file. apart: those asked for are no neighbours themselves."""
     n, rows = len(ids), np.flatnonzero(asked)
     if n < 2 or not len(rows):
         return
@@ -119,8 +119,12 @@ def rank_file(ids: np.ndarray, asked: np.ndarray, seen: np.ndarray, x: np.ndarra
         cos = x[at] @ x.T
         if cut < n:
             near = footrule_nearness(own[at], own)
+            if apart:
+                near[:, asked] = -1
             cos[near < np.partition(near, n - cut, axis=1)[:, n - cut, None]] = -2
         cos[np.arange(len(at)), at] = -2
+        if apart:
+            cos[:, asked] = -2
         c = min(k, n - 1)
         top = np.argpartition(-cos, c - 1, axis=1)[:, :c]
         best = np.take_along_axis(cos, top, axis=1)
@@ -153,18 +157,22 @@ def _post(pivots: np.ndarray, dim: int, index: Index):
     return run
 
 
-def _rank(dim: int, k: int, least: float, index: Index):
+def _rank(dim: int, k: int, least: float, index: Index, apart: bool = False):
     """Of rows sorted by file and part: one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(parts: list) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(parts)
-            ids, first = np.unique(t.column("id").to_numpy(), return_index=True)
+            key = t.column("id").to_numpy()
+            if apart:
+                key = np.stack([t.column("asked").to_numpy(), key], axis=1)
+            first = np.unique(key, axis=0, return_index=True)[1]  # repeated rows once
             pick = t.take(pa.array(first))
+            ids = pick.column("id").to_numpy()
             seen = np.frombuffer(b"".join(pick.column("seen").to_pylist()), np.int32).reshape(len(ids), -1)
             x = unit(np.frombuffer(b"".join(pick.column("vec").to_pylist()), np.int8).reshape(-1, dim)).astype(np.float32)
             asked = pick.column("asked").to_numpy()
-            for a, b, c in rank_file(ids, asked, seen, x, k, least, index):
+            for a, b, c in rank_file(ids, asked, seen, x, k, least, index, apart):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], names=["id", "other", "cosine"])
 
         held: list = []
@@ -265,6 +273,57 @@ def search(df: DataFrame, queries: Column, key: str = "id", vector: str = "embed
     return nearest(df, key, vector, dim, k, queries=queries, index=index)
 
 
+class StoredIndex:
+    """The index in a folder: pivots, postings and vectors. It is made once, grows by `add` and answers queries from
+    outside: only the inverted files of the queries' pivots are read. Ids are taken to be unique over all that is added."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        rows = spark.read.parquet(f"{self.path}/pivots").orderBy("no").collect()  # as many as pivots
+        self.pivots = np.array([r.v for r in rows], np.float32)
+        self.dim, self.index = self.pivots.shape[1], Index(rows[0].pivots, rows[0].postings, rows[0].prefix, rows[0].share)
+
+    @classmethod
+    def build(cls, df: DataFrame, path: str, key: str = "id", vector: str = "embedding", dim: int = 64, index: Index = FAR) -> StoredIndex:
+        spark = df.sparkSession
+        vectors = usable(df, key, vector, dim)
+        n = vectors.count()
+        if n == 0:
+            raise ValueError("an index needs at least one usable vector")
+        p = sample_pivots(vectors, max(32, math.ceil(index.pivots * math.sqrt(n))), n)
+        rows = [(i, v.tolist(), float(index.pivots), index.postings, index.prefix, float(index.share)) for i, v in enumerate(p)]
+        spark.createDataFrame(rows, "no int, v array<float>, pivots double, postings int, prefix int, share double").write.parquet(f"{path.rstrip('/')}/pivots")
+        stored = cls(spark, path)
+        stored.add(df, key, vector)
+        return stored
+
+    def _posted(self, vectors: DataFrame, asked: bool) -> DataFrame:
+        ship(self.spark)
+        return vectors.select("id", "embedding", F.lit(asked).alias("asked")).mapInArrow(_post(self.pivots, self.dim, self.index), POSTING_SCHEMA)
+
+    def add(self, df: DataFrame, key: str = "id", vector: str = "embedding") -> None:
+        """Index further vectors; repeated rows count once."""
+        vectors = usable(df, key, vector, self.dim).dropDuplicates(["id"])
+        vectors.write.mode("append").parquet(f"{self.path}/vectors")
+        self._posted(vectors, False).repartition("file").sortWithinPartitions("file").write.mode("append").parquet(f"{self.path}/postings")
+
+    def search(self, queries: DataFrame, key: str = "id", vector: str = "embedding", k: int = 5) -> DataFrame:
+        """id (of the query), other, cosine of the k most similar indexed vectors."""
+        asks = usable(queries, key, vector, self.dim).dropDuplicates(["id"])
+        posted = self._posted(asks, True)
+        # Files of many queries are laid out in parts. As many rows as pivots at most.
+        sizes = posted.groupBy("file").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+        held = self.spark.read.schema(POSTING_SCHEMA).parquet(f"{self.path}/postings").join(F.broadcast(sizes), "file")
+        held = held.select("file", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "asked", "seen", "vec")
+        own = posted.join(F.broadcast(sizes), "file").select("file", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int").alias("part"), "id", "asked", "seen", "vec")
+        found = held.unionByName(own).repartition("file", "part").sortWithinPartitions("file", "part").mapInArrow(_rank(self.dim, k + SPARE, -1.5, self.index, apart=True), "id long, other long, cosine float")
+        rough = _top(found.groupBy("id", "other").agg(F.max("cosine").alias("cosine")), k + SPARE).select("id", "other")
+        vectors = self.spark.read.parquet(f"{self.path}/vectors").select(F.col("id").alias("other"), F.col("embedding").alias("w"))
+        dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+        both = rough.join(asks.hint("merge"), "id").join(vectors.hint("merge"), "other")
+        return _top(both.select("id", "other", (dot("embedding", "w") / F.sqrt(dot("embedding", "embedding") * dot("w", "w"))).alias("cosine")), k)
+
+
 def _top(df: DataFrame, k: int) -> DataFrame:
     w = W.partitionBy("id").orderBy(F.desc("cosine"), "other")
     return df.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).drop("place")

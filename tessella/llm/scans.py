@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship, spread, staged
+from ..session import ship, spread, staged, Staging
 from .lookalike import INVISIBLE, mapping
 
 #: Share of a generation's page breaks at which a line recurs that is a head or foot, or a bare number a page number; share
@@ -63,7 +63,10 @@ _WORD = re.compile(rf"(?:(?<![^\s(“\"'])[!|](?=[a-zà-ɏ]))?[A-Za-zÀ-ɏ0-9]*[
 _DRESSED = r"[-–—\[〔(（<|]*\s*(?:page|p\.?|pg\.?|第|제)?\s*(\d{1,4})\s*(?:(?:/|of)\s*\d{1,4})?\s*(?:쪽|頁|ページ|페이지|면)?\s*[-–—\]〕)）>|]*"
 _EDGE_NUMBER = re.compile(rf"^\s*{_DRESSED}\s{{2,}}(?=\S)|\s+{_DRESSED}\s*$", re.IGNORECASE)
 _PAGE = re.compile(r"^\s*(?P<left>[-–—\[〔(（<|]*\s*(?:page|p\.?|pg\.?|第|제)?\s*)(?P<n>\d{1,4})(?P<right>\s*(?:(?:/|of)\s*\d{1,4})?\s*(?:쪽|頁|ページ|페이지|면)?\s*[-–—\]〕)）>|]*)\s*$", re.IGNORECASE)
-_SENTENCE_END = re.compile(r"[.。．!?！？:：][”’\"'」』)）]*\s*$")
+# What ends a sentence or announces what follows: signs that Unicode names so, whatever their width, before closing marks.
+_ENDS = "".join(c for c in map(chr, range(0x21, 0x10000)) if re.search(r"(?:^|WIDTH |IDEOGRAPHIC |^)(?:FULL STOP|EXCLAMATION MARK|QUESTION MARK|COLON)$", unicodedata.name(c, "")))
+_CLOSING = "".join(c for c in map(chr, range(0x21, 0x10000)) if unicodedata.category(c) in ("Pe", "Pf")) + "\"'"
+_SENTENCE_END = re.compile(rf"[{re.escape(_ENDS)}][{re.escape(_CLOSING)}]*\s*$")
 _TITLE_LINE = re.compile(r"^\s*(?:article|section|clause|schedule|제\s*\d+|第\s*\d+|별표|付属|附属).{0,60}$", re.IGNORECASE)
 _CJK_EDGE = re.compile(r"[぀-ヿ㐀-鿿、。「」『』（）0-9A-Z,\-]$"), re.compile(r"^[぀-ヿ㐀-鿿、。「」『』（）0-9A-Z,\-]")
 
@@ -312,20 +315,21 @@ def _same_head(line: pd.Series, head: pd.Series) -> pd.Series:
     return pd.Series([same_head(a, b) for a, b in zip(line, head, strict=True)], dtype=bool)
 
 
-class Scans:
+class Scans(Staging):
     def __init__(self, chunks: DataFrame, key: str = "id", group: str = "contract_history_id", text: str = "chunk_text", start: str = "page_start", end: str = "page_end", known: Learned = ()) -> None:
         """known: confusions (wrong, right) of the scanner that are known beforehand, in addition to the learned ones."""
+        super().__init__(chunks.sparkSession)
         ship(chunks.sparkSession)
         n = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(-1))
         self.chunks = chunks.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(group).cast("long"), F.lit(-1)).alias("grp"), F.col(text).alias("t"), n(start).alias("p"), n(end).alias("q"))
         self.chunks = spread(self.chunks.filter(F.col("id").isNotNull() & F.col("t").isNotNull()))
-        self.lines = staged(self.chunks.mapInPandas(_edges, _LINES).dropDuplicates(["id", "line"]), "lines")
-        self.marks = staged(self._marks(), "marks")
+        self.lines = self.stage(self.chunks.mapInPandas(_edges, _LINES).dropDuplicates(["id", "line"]), "lines")
+        self.marks = self.stage(self._marks(), "marks")
         self.gone = self.marks.groupBy("id").agg(F.collect_set("line").alias("gone"))
-        self.facts = staged(self._without_edges().mapInPandas(_facts, _FACTS), "facts", by=("tag",))
+        self.facts = self.stage(self._without_edges().mapInPandas(_facts, _FACTS), "facts", by=("tag",))
         scans = self.marks.select("grp", F.lit(1).alias("scan")).distinct()
         own = self.facts.filter("tag = 'words'").join(scans, "grp", "left").select(F.explode("words").alias("word"), F.coalesce("scan", F.lit(0)).alias("scan"))
-        counted = staged(own.groupBy("word").agg(F.count("*").alias("n"), F.sum("scan").alias("scans")), "counted")
+        counted = self.stage(own.groupBy("word").agg(F.count("*").alias("n"), F.sum("scan").alias("scans")), "counted")
         self.learned = learned = tuple(dict.fromkeys((*known, *learn(counted))))
 
         @F.pandas_udf("string")
@@ -333,7 +337,7 @@ class Scans:
             return w.map(lambda x: folded(x, learned))
 
         self.fold = fold
-        self.vocabulary = staged(counted.select("word", fold("word").alias("fold"), "n"), "vocabulary")
+        self.vocabulary = self.stage(counted.select("word", fold("word").alias("fold"), "n"), "vocabulary")
         self.best = self.vocabulary.groupBy("fold").agg(F.max(F.struct("n", "word")).alias("m")).select("fold", F.col("m.word").alias("best"), F.col("m.n").alias("best_n"))
 
     def _without_edges(self) -> DataFrame:
@@ -349,7 +353,7 @@ class Scans:
         counts = counts.filter("n > 1 AND a < b OR kind <> 'line'").join(breaks, "grp", "left").withColumn("all_breaks", F.coalesce("all_breaks", F.lit(1)))
         recurring = counts.filter(f"kind = 'line' AND n >= {HEAD_SHARE} * all_breaks AND (n > 2 OR pos = 0) OR kind = 'dressed' OR kind = 'bare' AND n >= {NUMBER_SHARE} * all_breaks")
         hits = keyed.join(recurring.select("grp", "key"), ["grp", "key"], "left_semi").select("id", "line").distinct()
-        found = staged(lines.join(hits, ["id", "line"]).select("grp", "id", "line", "text", "number", "kind"), "found")
+        found = self.stage(lines.join(hits, ["id", "line"]).select("grp", "id", "line", "text", "number", "kind"), "found")
         heads = found.filter("kind = 'line'")
         # Words and shapes that many generations' heads have in them.
         tokens = heads.select("grp", F.explode(F.split(F.lower(F.regexp_replace("text", "[()（）]", " ")), r"\s+")).alias("token")).filter("token <> ''")

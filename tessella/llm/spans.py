@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import ship, staged
+from ..session import ship, Staging
 
 LENGTH, MINIMISER = 200, 96
 #: Super-k-mers of a part of a bucket; windows that are sorted at once, if a part has no more; records of a set that one
@@ -285,11 +285,12 @@ def _join_parts(length: int, aligned: bool):
     return run
 
 
-class SharedSpans:
+class SharedSpans(Staging):
     """Spans of at least `length` code points that stand in more than one record."""
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, minimiser: int = MINIMISER, bucket_part: int = BUCKET_PART, aligned: bool = False) -> None:
         spark = docs.sparkSession
+        super().__init__(spark)
         ship(spark)
         self.length = length
         self.docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.col("doc_id").isNotNull() & (F.char_length("text") >= length))
@@ -297,16 +298,16 @@ class SharedSpans:
         # Classes of exact copies.
         digests = self.docs.select("doc_id", F.md5("text").alias("digest"))
         classes = digests.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
-        classes = staged(classes.filter("rep < last").select("digest", "rep"), "copies")
-        self.members = staged(digests.join(classes, "digest").select("doc_id", "rep").distinct(), "members")
+        classes = self.stage(classes.filter("rep < last").select("digest", "rep"), "copies")
+        self.members = self.stage(digests.join(classes, "digest").select("doc_id", "rep").distinct(), "members")
         others = self.members.filter("doc_id <> rep").select("doc_id")
         reps = self.docs.join(others, "doc_id", "left_anti")
         # Super-k-mers by reference, and those whose minimiser two records share.
         schema = "minimiser long, doc_id long, start int, windows int"
-        kmers = staged(reps.mapInArrow(_first_pass(length, minimiser), schema), "kmers")
+        kmers = self.stage(reps.mapInArrow(_first_pass(length, minimiser), schema), "kmers")
         shared = kmers.groupBy("minimiser").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).filter("a < b").select("minimiser", "n")
-        kept = staged(kmers.join(shared, "minimiser"), "kept")
-        holders = staged(kept.select("doc_id").distinct(), "holders")
+        kept = self.stage(kmers.join(shared, "minimiser"), "kept")
+        holders = self.stage(kept.select("doc_id").distinct(), "holders")
         own = reps.join(holders, "doc_id", "left_semi")
 
         def packed(rows: DataFrame) -> DataFrame:
@@ -318,13 +319,13 @@ class SharedSpans:
             return cut.repartition("minimiser", "part")
 
         placed = packed(kept).sortWithinPartitions("minimiser", "part")
-        counted = staged(placed.mapInArrow(_count(length, aligned), COUNT_SCHEMA), "counted")
+        counted = self.stage(placed.mapInArrow(_count(length, aligned), COUNT_SCHEMA), "counted")
         # Buckets in several parts: what the parts know of a window is merged and given back to those that hold it.
         each = counted.filter("doc_id IS NULL").groupBy("minimiser", "group").agg(F.sum("n").alias("n"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"), F.collect_list("part").alias("parts"))
         known = each.filter("n > 1").select("minimiser", "group", "n", "x1", "x2", F.explode("parts").alias("part"))
         large = packed(kept.filter(F.col("n") > bucket_part))
         late = large.groupBy("minimiser", "part").cogroup(known.groupBy("minimiser", "part")).applyInArrow(_join_parts(length, aligned), RUN_SCHEMA)
-        self.counted = counted.filter("doc_id IS NOT NULL").select("group", "n", "doc_id", "start", "windows").unionByName(staged(late, "late"))
+        self.counted = counted.filter("doc_id IS NOT NULL").select("group", "n", "doc_id", "start", "windows").unionByName(self.stage(late, "late"))
 
     def runs(self) -> DataFrame:
         """Runs of windows with the set of records they stand in: group, n (records), doc_id, start, windows."""
@@ -369,7 +370,7 @@ class SharedSpans:
         runs = self.runs()
         texts = self.docs.join(runs.select("doc_id").distinct(), "doc_id", "left_semi")
         same = F.unhex(F.md5(F.expr(f"substring(text, start + 1, windows + {self.length - 1})")))
-        runs = staged(texts.join(runs, "doc_id").select("group", "doc_id", "start", "windows", same.alias("same")).distinct(), "same")
+        runs = self.stage(texts.join(runs, "doc_id").select("group", "doc_id", "start", "windows", same.alias("same")).distinct(), "same")
         a = runs.select("group", "same", F.col("doc_id").alias("a"), F.col("start").alias("start_a"), "windows")
         b = runs.select("group", "same", F.col("doc_id").alias("b"), F.col("start").alias("start_b"))
         beside = a.join(b, ["group", "same"]).filter("a < b").withColumn("shift", F.col("start_b") - F.col("start_a"))

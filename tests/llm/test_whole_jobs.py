@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import mixture, queries, scans, spans
+from tessella.llm import mixture, neighbours, queries, scans, spans
 
 
 def test_confusions_are_learned_from_the_corpus(spark):
@@ -140,3 +140,36 @@ def test_feet_and_bare_numbers(spark):
     got, text = found_in(spark, rows)
     assert got == {(i, "page_number") for i in range(1, 5)} | {(i, "running_head") for i in range(21, 25)}
     assert text[1] == ["The alpha beta gamma is kept for 37 days."] and text[21] == ["The alpha beta gamma is kept for 37 days."]
+
+
+def test_stored_index(spark, tmp_path):
+    """Built in part, grown by the rest, asked by vectors of its own and others."""
+    x = np.random.default_rng(6).normal(size=(1200, 64)).astype(np.float32)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    frame = lambda r: spark.createDataFrame(r, "id long, embedding array<float>")
+    neighbours.StoredIndex.build(frame(rows[:800]), f"{tmp_path}/i").add(frame(rows[800:1000] + rows[900:910]))
+    index = neighbours.StoredIndex(spark, f"{tmp_path}/i")
+    u = neighbours.unit(x)
+    got = index.search(frame([*rows[1000:], (0, rows[0][1]), (5000, None)])).collect()
+    s = u[1000:] @ u[:1000].T
+    want = {(1000 + i, int(j)) for i in range(200) for j in np.argsort(-s[i])[:5]}
+    found = {(r.id, r.other) for r in got if r.id}
+    assert len(found) == 1000 and len(found & want) >= 950
+    assert max((r.cosine, r.other) for r in got if r.id == 0)[1] == 0  # itself, as it is indexed too
+    with pytest.raises(ValueError):
+        neighbours.StoredIndex.build(frame([]), f"{tmp_path}/j")
+
+
+def test_tokens_of_the_mix(spark):
+    """Every slot holds the tokens its references name; staged parts go with `close`."""
+    from tessella.llm import bpe
+
+    docs = spark.createDataFrame([(i, "a" if i % 3 else "b", f"record {i} " * (i % 40 + 1)) for i in range(300)] + [(900, "a", None), (901, None, "x")], "doc_id long, source string, text string")
+    goal = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeat int")
+    with mixture.Mixture(docs, goal, block=64) as m:
+        refs = m.mix().toPandas().sort_values(["shard", "slot", "block_from"])
+        ids = {r.doc_id: list(r.ids) for r in bpe.encode(docs.select("doc_id", "text")).collect()}
+        want = {k: [t for r in g.itertuples() for t in ids[r.doc_id][r.token_from : r.token_to]] for k, g in refs.groupby(["shard", "slot"])}
+        assert {(r.shard, r.slot): list(r.ids) for r in m.tokens().collect()} == want and max(map(len, want.values())) == 64
+        kept = list(m._kept)
+    assert kept and not m._kept
