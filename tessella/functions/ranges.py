@@ -80,3 +80,16 @@ def day_overlap_join(a: DataFrame, b: DataFrame, keys: list[str], lo: str = "lo"
     begins = F.col("a.__bin") == at(F.greatest(F.col(f"a.{lo}"), F.col(f"b.{lo}")))
     meet = (F.col(f"a.{lo}") < F.col(f"b.{hi}")) & (F.col(f"b.{lo}") < F.col(f"a.{hi}"))
     return x.join(y, reduce(lambda p, q: p & q, [*on, begins, meet] + ([extra] if extra is not None else [])))
+
+
+def with_span(df: DataFrame, code: str, dim: DataFrame, lo: str = "lo", hi: str = "hi", strict: bool = True) -> DataFrame:
+    """df with the span of each code from a small dimension (code, lo, hi). A code that it does not have is an error, or (not
+    strict) has no span; spans that df brought along are replaced. A null code has none."""
+    from pyspark.sql.functions import broadcast
+
+    spans = broadcast(dim.select(F.col("code").alias(code), F.col(lo), F.col(hi)))
+    joined = df.drop(lo, hi).join(spans, code, "left")
+    if not strict:
+        return joined
+    known = F.when(F.col(code).isNotNull() & F.col(lo).isNull(), F.raise_error(F.concat(F.lit("unknown code: "), F.col(code))).cast("int")).otherwise(F.col(lo))
+    return joined.withColumn(lo, known)

@@ -15,6 +15,13 @@ def keep_latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
+def latest_by(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """One row per key, that with the greatest values of `order` (nulls are least). Aggregated before the shuffle, so a key may have any number of rows."""
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__m"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"__m.{c}").alias(c) for c in df.columns])
+
+
 def top_per_group(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
@@ -68,14 +75,14 @@ def islands(df: DataFrame, keys: list[str], order: str, starts: Column, name: st
     return df.withColumn(name, F.sum(F.coalesce(starts.cast("int"), F.lit(0))).over(w))
 
 
-def ancestors(dim: DataFrame, code: str = "code", parent: str = "parent_code", depth: int = 32) -> DataFrame:
-    """code, ancestor, distance of a small hierarchy given by parents; `depth` levels at most (a bound of the dimension)."""
+def ancestors(dim: DataFrame, code: str = "code", parent: str = "parent_code") -> DataFrame:
+    """code, ancestor, distance of a small hierarchy given by parents. A cycle, or more levels than Spark's recursion allows (100), is an error."""
     spark = dim.sparkSession
     dim.select(F.col(code).alias("code"), F.col(parent).alias("parent_code")).createOrReplaceTempView("__dim")
     return spark.sql(
-        f"""WITH RECURSIVE up(code, ancestor, distance) AS (
+        """WITH RECURSIVE up(code, ancestor, distance) AS (
             SELECT code, parent_code, 1 FROM __dim WHERE parent_code IS NOT NULL
             UNION ALL SELECT u.code, d.parent_code, u.distance + 1 FROM up u JOIN __dim d ON d.code = u.ancestor
-            WHERE d.parent_code IS NOT NULL AND u.distance < {depth})
+            WHERE d.parent_code IS NOT NULL)
         SELECT code, ancestor, distance FROM up"""
     )

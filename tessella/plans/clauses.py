@@ -17,6 +17,7 @@ HEAD = "|".join(HEAD_KINDS.values())
 LANGUAGES = {"ko": r"제 ?\d+ ?조", "ja": r"第 ?\d+ ?条", "en": r"(?:Article|Clause|Section) \d+"}
 #: Lines that are no text: page numbers.
 NOISE = r"^[ \t]*(?:\|?[ \t]*\d+[ \t]*/[ \t]*\d+|- *\d+ *-)[ \t]*\n?"
+# Cost of a chunk at most, the share of it beyond which a sentence's end closes it, characters worth an index entry.
 #: Lines of a page, cost of a chunk at most (in 1/20 token), its share beyond which a sentence's end closes it, and characters of text worth an index entry.
 PAGE_LINES, MOST, FULL, INDEXABLE = 40, 9600, 6720, 60
 WIDE = "[぀-ヿ㐀-䶿一-鿿가-힯豈-﫿]"

@@ -122,8 +122,37 @@ def result_validation(spark, sf):
     return every.select("tmpid", "grants", "reversed", "evidence", "quoted", "targets", "dangling", score.alias("confidence")).withColumn("colour", colour)
 
 
+def _at(f: nested.Flattened, *places: str) -> Column:
+    """The first value at one of the places of the record (dots between fields) that the merged schema has."""
+    found = []
+    for place in places:
+        t, c = f.schema, F.col("rec")
+        for name in place.split("."):
+            if not isinstance(t, nested.T.StructType) or name not in t.names:
+                break
+            c, t = c.getField(name), t[name].dataType
+        else:
+            found.append(c.cast("string"))
+    return F.coalesce(*found, F.lit(""))
+
+
+def compact_contracts(spark, sf):
+    """The compact form of each result: title, day and language of the contract, its parties in order and its number of grants, as JSON."""
+    f = _flattened(spark, sf)
+    head = f.typed.select(
+        F.col("record_id").alias("tmpid"), _at(f, "raw.contract.contract_title.value", "contract.contract_title.value").alias("title"),
+        _at(f, "raw.contract.agreement_date.value", "contract.agreement_date.value").alias("agreed"), _at(f, "raw.document.language", "document.language").alias("language"),
+    )
+    p = _rows(f, "parties", role="string", name="string").groupBy("tmpid").agg(F.sort_array(F.collect_list(F.struct("ordinal", _text("role").alias("role"), _text("name").alias("name")))).alias("p"))
+    g = _rows(f, "rights_grants").groupBy("tmpid").agg(F.count("*").alias("grants"))
+    rows = head.join(p, "tmpid", "left").join(g, "tmpid", "left")
+    parties = F.transform(F.coalesce("p", F.array().cast("array<struct<ordinal:int,role:string,name:string>>")), lambda x: F.struct(x["role"].alias("role"), x["name"].alias("name")))
+    whole = F.struct("title", "agreed", "language", parties.alias("parties"), F.coalesce("grants", F.lit(0)).alias("grants"))
+    return rows.select("tmpid", F.to_json(whole).alias("compact"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (contract_parties, grant_products, unmapped_codes, effective_territories, evidence_index, dangling_targets, field_evidence, result_validation)}
+    return {f.__name__: f for f in (compact_contracts, contract_parties, grant_products, unmapped_codes, effective_territories, evidence_index, dangling_targets, field_evidence, result_validation)}
 
 
 _CAMEL = {"rightsGrants": "rights_grants", "legalRight": "legal_right", "exploitationMode": "exploitation_mode", "excludedValues": "excluded_values", "grantRef": "grant_ref", "paymentRef": "payment_ref", "evidenceRef": "evidence_ref", "targetRef": "target_ref", "licensePeriod": "license_period", "rawExpression": "raw_expression", "scopeModifiers": "scope_modifiers"}
@@ -159,6 +188,10 @@ SELECT g.tmpid, g.child_path, coalesce(countries, '') AS countries, coalesce(unk
 def oracle_sql() -> dict[str, str]:
     known = lambda c, codes: f"{c} IN {codes}"
     return {
+        "compact_contracts": _OBJ + """, p AS (SELECT tmpid, list({'role': coalesce(v->>'$.role', ''), 'name': coalesce(v->>'$.name', '')} ORDER BY ordinal) AS p FROM o WHERE name = 'parties' GROUP BY tmpid), n AS (SELECT tmpid, count(*) AS grants FROM g GROUP BY tmpid),
+hd AS (SELECT tmpid, coalesce(j->>'$.raw.contract.contract_title.value', j->>'$.raw.contract.contractTitle.value', j->>'$.contract.contract_title.value', j->>'$.contract.contractTitle.value', '') AS title,
+  coalesce(j->>'$.raw.contract.agreement_date.value', j->>'$.raw.contract.agreementDate.value', j->>'$.contract.agreement_date.value', j->>'$.contract.agreementDate.value', '') AS agreed, coalesce(j->>'$.raw.document.language', j->>'$.document.language', '') AS language FROM rec)
+SELECT tmpid, to_json({'title': title, 'agreed': agreed, 'language': language, 'parties': coalesce(p, []), 'grants': coalesce(grants, 0)})::VARCHAR AS compact FROM hd LEFT JOIN p USING (tmpid) LEFT JOIN n USING (tmpid)""",
         "contract_parties": _OBJ + """, n AS (SELECT tmpid, arg_min(v->>'$.name', ordinal) FILTER (v->>'$.role' = 'GRANTOR') AS grantor, arg_min(v->>'$.name', ordinal) FILTER (v->>'$.role' = 'GRANTEE') AS grantee, count(*) AS parties FROM o WHERE name = 'parties' GROUP BY tmpid),
 p AS (SELECT tmpid, min({'ordinal': ordinal, 'amount': try_cast(v->>'$.amount' AS DECIMAL(18,2)), 'currency': v->>'$.currency'}) AS m FROM o WHERE name = 'payments' GROUP BY tmpid)
 SELECT tmpid, coalesce(grantor, '') AS grantor, coalesce(grantee, '') AS grantee, coalesce(parties, 0) AS parties, coalesce(m.amount::VARCHAR, '') AS amount, coalesce(m.currency, '') AS currency FROM n FULL JOIN p USING (tmpid)""",

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import vectors
+from ..operators import plugins
 from ..operators import relational as R
 from ..sources.tables import table
+from . import clauses
 from .conflicts import _G, grants
 
 #: The search of the queries below: what grants must have, words of the question, weights and limits.
@@ -142,6 +144,23 @@ def retrieval_recall(spark, sf):
     return every.groupBy("k", "weight", "outcome").agg(F.count("*").alias("quotes"))
 
 
+def bundle(documents: DataFrame, model, key: str = "doc_id", text: str = "text", weight: float = WEIGHT, top: int = 5, questions: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From texts to what an extractor is given: the chunks with their vectors, the best chunks of each field, and figures per text.
+
+    model: see `plugins.embed`. questions: per field what is asked; its vector is made by the same model (default: the field's name)."""
+    pieces = clauses.chunks(clauses.segments(documents, key, text), key)
+    pieces = plugins.embed(pieces, "text", model, wanted=F.col("indexable"))
+    asked = documents.sparkSession.createDataFrame([(f, (questions or {}).get(f, f)) for f in FIELDS], "field string, question string")
+    asked = plugins.embed(asked, "question", model, "vector", plugins.QUERY).select("field", "vector")
+    scores = [F.struct(F.lit(f).alias("field"), lex.alias("lex"), labels.alias("reasons")) for f in FIELDS for lex, labels in [_lexical(F.col("text"), f)]]
+    rows = pieces.filter("indexable").select(key, "clause", "piece", "embedding", F.explode(F.array(*scores)).alias("s")).select(key, "clause", "piece", "embedding", "s.*").join(F.broadcast(asked), "field")
+    rows = rows.withColumn("sem", F.coalesce(vectors.cosine(F.col("embedding"), F.col("vector")), F.lit(0.0)))
+    rows = rows.withColumn("score", F.round((1 - weight) * F.col("lex") + weight * vectors.minmax_within("sem", key, "field"), 4))
+    hits = R.top_per_group(rows.filter("score >= 0.15"), [key, "field"], top, F.desc("score"), F.col("clause"), F.col("piece")).select(key, "field", "clause", "piece", "score", "reasons", F.col("rn").alias("place"))
+    info = pieces.groupBy(key).agg(F.count("*").alias("chunks"), F.count_if("indexable").alias("indexable"), F.max("page_end").alias("pages"), F.first("lang").alias("lang"))
+    return pieces, hits, info
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (chunk_search, search_results, search_fallback, generation_counts, field_hits, retrieval_recall)}
 

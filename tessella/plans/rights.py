@@ -282,7 +282,7 @@ def tag_sets(spark, sf):
 def upsert_latest(spark, sf):
     """The latest result of every job (ties: the greater text)."""
     r = table(spark, sf, "extract_result", "tmpid", "payload", "created_at")
-    return R.keep_latest(r, ["tmpid"], F.desc("created_at"), F.desc_nulls_last("payload")).select("tmpid", F.coalesce(F.length("payload"), F.lit(0)).alias("size"))
+    return R.latest_by(r, ["tmpid"], "created_at", "payload").select("tmpid", F.coalesce(F.length("payload"), F.lit(0)).alias("size"))
 
 
 def round_robin(spark, sf):

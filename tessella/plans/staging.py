@@ -60,11 +60,10 @@ def compat_ideographs(spark, sf):
     return d.select(F.when(n > 0, 1).otherwise(0).alias("has"), n.alias("n")).groupBy("has").agg(F.count("*").alias("texts"), F.sum("n").alias("ideographs"))
 
 
-def camel_type(t: T.DataType, drop: tuple[str, ...] = ()) -> T.DataType:
-    """The type with camelCase names at every level, without the dropped fields."""
-    if isinstance(t, T.StructType):
-        return T.StructType([T.StructField(text.camel(f.name), camel_type(f.dataType, drop)) for f in t.fields if f.name not in drop])
-    return T.ArrayType(camel_type(t.elementType, drop)) if isinstance(t, T.ArrayType) else t
+def normal_forms(spark, sf):
+    """Texts by whether composing their characters and taking out soft hyphens changes them, and how many characters that saves."""
+    d = table(spark, sf, "documents", "doc_id", "text").filter("text IS NOT NULL").withColumn("new", text.nfc("text"))
+    return d.groupBy((F.col("new") != F.col("text")).alias("changed")).agg(F.count("*").alias("texts"), F.sum(F.char_length("text") - F.char_length("new")).alias("saved"))
 
 
 def camel_struct(df: DataFrame, column: str, drop: tuple[str, ...] = ()) -> DataFrame:
@@ -116,7 +115,7 @@ def paraphrases(spark, sf):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (state_filter, job_results, asset_labels, prompts, compat_ideographs, generation_payloads, gold_rows, field_answers, paraphrases)}
+    return {f.__name__: f for f in (state_filter, job_results, asset_labels, prompts, compat_ideographs, normal_forms, generation_payloads, gold_rows, field_answers, paraphrases)}
 
 
 def _phrases_sql(c: str) -> str:
@@ -140,6 +139,7 @@ SELECT id, coalesce(arg_max(label, {{'score': score, 'label': label}}), '') AS l
 len(regexp_extract_all(text, '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{F900}-\\x{FAFF}]')) * 13 + length(text) * 7 AS units FROM b)
 SELECT contract_history_id, md5(string_agg(line, chr(10) ORDER BY late, chunk_id, line)) AS digest, count(*)::INT AS chunks, sum(units)::BIGINT AS units FROM l GROUP BY 1""",
         "compat_ideographs": "WITH n AS (SELECT len(regexp_extract_all(text, '[\\x{F900}-\\x{FAFF}]')) AS n FROM documents WHERE text IS NOT NULL) SELECT (n > 0)::INT AS has, count(*) AS texts, sum(n)::BIGINT AS ideographs FROM n GROUP BY 1",
+        "normal_forms": "WITH d AS (SELECT text, replace(nfc_normalize(text), chr(173), '') AS new FROM documents WHERE text IS NOT NULL) SELECT new <> text AS changed, count(*) AS texts, sum(length(text) - length(new))::BIGINT AS saved FROM d GROUP BY 1",
         "generation_payloads": """WITH c AS (SELECT DISTINCT ON (id) id, contract_history_id, page_start, clause_no FROM contract_chunk WHERE contract_history_id IS NOT NULL)
 SELECT contract_history_id, '{"contractHistoryId":' || contract_history_id || ',"chunkList":[' || string_agg('{"chunkId":' || id || ',"foundAt":{' || concat_ws(',', '"pageStart":' || page_start, '"clauseNo":' || to_json(clause_no)::VARCHAR) || '}}', ',' ORDER BY id) || ']}' AS payload FROM c GROUP BY 1""",
         "gold_rows": """WITH c AS (SELECT id, max({'title': title, 'lang': lang, 'h': current_history_id}) AS c FROM contract GROUP BY 1), h AS (SELECT id, max({'version': version, 'kind': document_kind}) AS h FROM contract_history GROUP BY 1), g AS (SELECT contract_id, count(DISTINCT id) AS grants FROM rights_grant GROUP BY 1), k AS (SELECT contract_id, count(DISTINCT id) AS chunks FROM contract_chunk GROUP BY 1)

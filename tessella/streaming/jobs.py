@@ -103,10 +103,10 @@ def upsert_sink(path: str, keys: list[str], *order: str):
         spark = batch.sparkSession
         fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        new = R.keep_latest(batch, keys, *[F.desc(c) for c in order])
+        new = R.latest_by(batch, keys, *order)
         versions = sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(fs_path) if s.getPath().getName().startswith("v=")) if fs.exists(fs_path) else []
         older = [v for v in versions if v < batch_id]
-        merged = R.keep_latest(spark.read.parquet(f"{path}/v={older[-1]}").unionByName(new), keys, *[F.desc(c) for c in order]) if older else new
+        merged = R.latest_by(spark.read.parquet(f"{path}/v={older[-1]}").unionByName(new), keys, *order) if older else new
         merged.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
         for v in older[:-1]:
             fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}"), True)

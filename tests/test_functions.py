@@ -64,3 +64,30 @@ def test_phrases_and_boxes(spark):
     assert one(spark, f(F.lit("the sole\n right and a right"))) == "the A and a B"
     boxes = F.array(*[F.array(*[F.lit(float(v)) for v in b]) for b in ((50, 1, 60, 11), (0, 0, 10, 10), (0, 20, 10, 30))])
     assert one(spark, text.reading_order(boxes)) == [1, 0, 2]
+
+
+def test_latest_rows(spark):
+    df = spark.createDataFrame([(1, "a", None), (1, "b", 2), (1, "c", 2), (2, "z", None), (None, "n", 1)], "k int, v string, at int")
+    assert {(r.k, r.v, r.at) for r in R.latest_by(df, ["k"], "at", "v").collect()} == {(1, "c", 2), (2, "z", None), (None, "n", 1)}
+
+
+def test_spans_of_codes(spark):
+    import pytest
+
+    dim = spark.createDataFrame([("A", 1, 3), ("B", 3, 4)], "code string, lo int, hi int")
+    df = spark.createDataFrame([(1, "A", 99), (2, None, 99)], "id int, right string, lo int")
+    assert {r.id: (r.lo, r.hi) for r in ranges.with_span(df, "right", dim).collect()} == {1: (1, 3), 2: (None, None)}
+    odd = spark.createDataFrame([(3, "Z")], "id int, right string")
+    assert ranges.with_span(odd, "right", dim, strict=False).first().lo is None
+    with pytest.raises(Exception, match="unknown code: Z"):
+        ranges.with_span(odd, "right", dim).collect()
+
+
+def test_a_cycle_is_an_error(spark):
+    import pytest
+
+    dim = spark.createDataFrame([("a", "b"), ("b", "a")], "code string, parent_code string")
+    with pytest.raises(Exception):
+        R.ancestors(dim).collect()
+    deep = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(60)], "code string, parent_code string")
+    assert R.ancestors(deep).count() == 59 * 60 // 2

@@ -106,3 +106,16 @@ def test_camel_at_every_level(spark):
     assert got == '{"pageStart":1,"innerList":[{"clauseNo":"a"}]}'
     with pytest.raises(ValueError):
         staging.parse_states("draft,gone")
+
+
+def test_bundle_of_chunks_and_hits(spark):
+    from tessella.plans import retrieval
+
+    words = ("territory", "pay", "month", "show")
+    model = lambda texts: np.array([[1.0 + sum(t.lower().count(w) for w in words), *[t.lower().count(w) for w in words]] for t in texts])
+    text = "Article 1 (Territory)\nThe territory is South Korea and Japan and no other place at all, says the schedule.\nArticle 2 (Pay)\nThe licensee shall pay USD 5,000 within thirty days of the date of the invoice, by wire."
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    pieces, hits, info = retrieval.bundle(df, model)
+    best = {(r.field): r.clause for r in hits.filter("place = 1").collect()}
+    assert best["territory"] == 1 and best["payment"] == 2
+    assert [tuple(r) for r in info.collect()] == [(1, 2, 2, 1, "en")] and pieces.filter("embedding IS NOT NULL").count() == 2
