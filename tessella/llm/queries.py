@@ -108,5 +108,16 @@ SELECT n.contract_history_id, counted, coalesce(reported, -1)::INT AS reported F
 """
 
 
+_WINDOWS = """WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND length(text) >= 200),
+p AS (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM d), w AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS h FROM p)"""
+
+P10_SQL = _WINDOWS + """, u AS (SELECT DISTINCT doc_id, h FROM w), s AS (SELECT h, list_sort(list(doc_id)) AS docs FROM u GROUP BY h HAVING count(*) > 1), g AS (SELECT DISTINCT docs FROM s), a AS (SELECT docs, unnest(docs) AS a FROM g), b AS (SELECT a, unnest(docs) AS b FROM a)
+SELECT DISTINCT a AS doc_id_a, b AS doc_id_b FROM b WHERE a < b"""
+
+P10_COVERAGE_SQL = _WINDOWS + """, s AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1), c AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM w WHERE h IN (SELECT h FROM s)),
+n AS (SELECT doc_id, sum(least(200, coalesce(next - i, 200)))::BIGINT AS shared_chars FROM c GROUP BY doc_id), t AS (SELECT DISTINCT doc_id, coalesce(length(text), 0)::BIGINT AS n_chars FROM documents)
+SELECT doc_id, n_chars, coalesce(shared_chars, 0) AS shared_chars, coalesce(round(shared_chars / nullif(n_chars, 0), 6), 0) AS shared_share FROM t LEFT JOIN n USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p1_over_limit": P1_OVER_SQL}
+    return {"p10_found": P10_SQL, "p10_coverage": P10_COVERAGE_SQL, "p1_found": P1_SQL, "p1_over_limit": P1_OVER_SQL}

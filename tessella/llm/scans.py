@@ -105,7 +105,7 @@ def _confusions(learned: Learned = ()) -> tuple[tuple[tuple[str, str], ...], dic
     return pairs, {ord(c): top(c) for c in root}, re.compile("|".join(sorted({re.escape(a) for a, _ in both}, key=len, reverse=True)) or r"(?!)")
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def folded(word: str, learned: Learned = ()) -> str:
     """The word with all commonly confused characters as one."""
     pairs, single, _ = _confusions(learned)
@@ -165,7 +165,7 @@ def is_word(token: str) -> bool:
     return len(token) > 1 and not any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def near(a: str, b: str, least: float) -> bool:
     return a == b or abs(len(a) - len(b)) <= 0.4 * max(len(a), len(b)) and SequenceMatcher(None, a, b, autojunk=False).ratio() >= least
 
@@ -281,7 +281,7 @@ def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if (edge or kind == "dressed") and page_of(line, pages, plain(lines[k - 1]) if k else ""):
                         rows.append((g, i, k, 0, line, int(m["n"]), kind, [_key("#" + kind)]))
                     continue
-                if not edge or not line.strip() or len(line) > 300 or _LAST_HALF.search(line) or _SENTENCE_END.search(line) or _TITLE_LINE.match(line) or re.search(r"[,、，;；]\s*$", line):
+                if not edge or not line.strip() or _LAST_HALF.search(line) or _SENTENCE_END.search(line) or _TITLE_LINE.match(line) or re.search(r"[,、，;；]\s*$", line):
                     continue
                 text, n = core(line)
                 tokens = text.casefold().split()

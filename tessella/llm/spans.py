@@ -370,10 +370,11 @@ class SharedSpans(Staging):
         runs = self.runs()
         texts = self.docs.join(runs.select("doc_id").distinct(), "doc_id", "left_semi")
         same = F.unhex(F.md5(F.expr(f"substring(text, start + 1, windows + {self.length - 1})")))
-        runs = self.stage(texts.join(runs, "doc_id").select("group", "doc_id", "start", "windows", same.alias("same")).distinct(), "same")
-        a = runs.select("group", "same", F.col("doc_id").alias("a"), F.col("start").alias("start_a"), "windows")
-        b = runs.select("group", "same", F.col("doc_id").alias("b"), F.col("start").alias("start_b"))
-        beside = a.join(b, ["group", "same"]).filter("a < b").withColumn("shift", F.col("start_b") - F.col("start_a"))
+        runs = self.stage(texts.join(runs, "doc_id").select("group", "n", "doc_id", "start", "windows", same.alias("same")).distinct(), "same")
+        parts = F.ceil(F.col("n") / PAIR_PART).cast("int")
+        a = runs.select("group", "same", F.col("doc_id").alias("a"), F.col("start").alias("start_a"), "windows", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"))
+        b = runs.select("group", "same", F.col("doc_id").alias("b"), F.col("start").alias("start_b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        beside = a.join(b.hint("merge"), ["group", "same", "part"]).filter("a < b").withColumn("shift", F.col("start_b") - F.col("start_a"))
         w = W.partitionBy("a", "b", "shift").orderBy("start_a")
         stop = F.col("start_a") + F.col("windows")
         step = beside.withColumn("new", (F.col("start_a") > F.coalesce(F.max(stop).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
