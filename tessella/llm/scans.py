@@ -80,8 +80,18 @@ def _fold_table() -> dict[int, str]:
     return table | gone | {0xAD: "­", 0x2010: "‐", 0x0D: "\n"}
 
 
+@lru_cache(maxsize=1)
+def _to_fold() -> frozenset[str]:
+    return frozenset(map(chr, _fold_table()))
+
+
 def plain(text: str) -> str:
-    return text if text.isascii() else unicodedata.normalize("NFC", text.replace("\r\n", "\n").translate(_fold_table()))
+    if text.isascii():
+        return text
+    text = text.replace("\r\n", "\n")
+    if not _to_fold().isdisjoint(text):  # most texts hold nothing to fold
+        text = text.translate(_fold_table())
+    return unicodedata.normalize("NFC", text)
 
 
 Learned = tuple[tuple[str, str], ...]
